@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import packing, quality, secrets, toxicity
+from quillspark.llm import ngram_join, packing, quality, secrets, toxicity
 from quillspark.llm.common import read
 
 
@@ -19,6 +19,10 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.good(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
@@ -27,7 +31,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("quality", drop_low_quality), ("secrets", redact_secrets), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality", drop_low_quality), ("near copies", drop_near_copies), ("secrets", redact_secrets), ("packing", pack)]
 
 #: The classifiers are trained, so no SQL gives the same rows.
 ORACLE_SQL = None
@@ -38,7 +42,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}-{name}"
+        path = f"{folder}/pipeline-{uuid.uuid4().hex}-{name.replace(' ', '-')}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, sharding, toxicity
+from . import bpe, ngram_join, packing, quality, secrets, sharding, token_ids, toxicity
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -32,6 +36,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op3_secret_scans, op4_packing, op6_sharding, op7_toxicity)}
+def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.encode(read(spark, sf_dir, "documents"))[0]
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_quality_classifier, op3_secret_scans, op4_packing, op5_ngram_jaccard_join, op6_sharding, op7_toxicity, op8_token_id_output, op10_bpe)
+}
 
-ORACLES: dict[str, str] = {"op3_secret_scans": secrets.oracle()}
+ORACLES: dict[str, str] = {"op3_secret_scans": secrets.oracle(), "op5_ngram_jaccard_join": ngram_join.oracle()}

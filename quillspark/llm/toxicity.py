@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, lists, mix, span_hashes, words
+from .common import LOWER, blocks, keep, lists, mix, span_hashes, words
 
 BITS = 20
 #: Bytes of the word beginnings that are features beside the whole word.
@@ -54,105 +54,129 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return feature.ravel(), np.repeat(sent, KINDS), doc[new], start[new], end[last]
 
 
-def distinct_bags(feature: np.ndarray, bag: np.ndarray, n: int, hashes: int = 4) -> np.ndarray:
-    """Which of n bags to fit on: one of each set of near copies, which would otherwise vote many times.
+def marks(feature: np.ndarray, bag: np.ndarray, n: int, hashes: int = 4) -> np.ndarray:
+    """A few min-hashes of the word triples of each of n bags; a bag without triples has all ones."""
+    out = np.full((n, hashes), -1, np.int64)
+    feature, bag = feature[::KINDS].astype(np.uint64), bag[::KINDS]
+    same = np.flatnonzero(bag[2:] == bag[:-2]) if len(bag) > 2 else np.zeros(0, np.int64)
+    if len(same):
+        triple = mix(feature[same] << np.uint64(2 * BITS) ^ feature[same + 1] << np.uint64(BITS) ^ feature[same + 2])
+        owners, start = np.unique(bag[same], return_index=True)
+        for k in range(hashes):
+            out[owners, k] = np.minimum.reduceat(mix(triple + np.uint64(k << 56)), start).view(np.int64)
+    return out
 
-    Two bags count as copies when they share one of a few min-hashes of their word triples.
-    """
-    keep = np.ones(n, bool)
-    feature, bag = feature[::KINDS], bag[::KINDS]
-    if len(feature) < 3:
-        return keep
-    same = (bag[2:] == bag[:-2]).nonzero()[0]
-    wide = feature.astype(np.uint64)
-    triple = wide[same] << np.uint64(2 * BITS) | wide[same + 1] << np.uint64(BITS) | wide[same + 2]
-    owners, start = np.unique(bag[same], return_index=True)
-    if not len(owners):
-        return keep
-    marks = np.stack([np.minimum.reduceat(mix(triple + np.uint64(k << 56)), start) for k in range(1, hashes + 1)], 1)
+
+def distinct_bags(marks: np.ndarray) -> np.ndarray:
+    """Which bags to fit on: one of each set of near copies (they share a mark), which would otherwise vote many times."""
+    keep = np.ones(len(marks), bool)
     seen: set[tuple[int, int]] = set()
-    for b, row in zip(owners.tolist(), marks.tolist()):
-        keys = set(enumerate(row))
-        keep[b] = not keys & seen
+    for i, row in enumerate(marks.tolist()):
+        keys = {(k, v) for k, v in enumerate(row) if v != -1}
+        keep[i] = not keys & seen
         seen |= keys
     return keep
 
 
-def _telling(present: np.ndarray, label: np.ndarray, z: float) -> np.ndarray:
-    """Features that go with the label beyond chance: signed root of the likelihood ratio of at least z. present: unique (feature, bag) pairs as feature * bags + bag."""
-    n = len(label)
-    f, y = present // n, label[present % n]
-    size = 1 << BITS
-    a, df = np.bincount(f, y, size), np.bincount(f, minlength=size).astype(float)
-    pos = label.sum()
-    ratio = np.zeros(size)
-    for seen, row, column in ((a, df, pos), (df - a, df, n - pos), (pos - a, n - df, pos), (n - pos - df + a, n - df, n - pos)):
+def telling(df: np.ndarray, toxic: np.ndarray, bags: int, toxic_bags: int, z: float) -> np.ndarray:
+    """Features that go with the label beyond chance: root of the likelihood ratio of at least z. df, toxic: by feature, the bags and toxic bags that have it."""
+    df, toxic = df.astype(float), toxic.astype(float)
+    ratio = np.zeros(len(df))
+    for seen, row, column in ((toxic, df, toxic_bags), (df - toxic, df, bags - toxic_bags), (toxic_bags - toxic, bags - df, toxic_bags), (bags - toxic_bags - df + toxic, bags - df, bags - toxic_bags)):
         with np.errstate(divide="ignore", invalid="ignore"):
-            ratio += np.where(seen > 0, seen * np.log(seen * n / (row * column)), 0)
-    return (a * n > df * pos) & (2 * ratio >= z * z)
+            ratio += np.where(seen > 0, seen * np.log(seen * bags / (row * column)), 0)
+    return (toxic * bags > df * toxic_bags) & (2 * ratio >= z * z)
 
 
-def fit(feature: np.ndarray, sent: np.ndarray, bag: np.ndarray, label: np.ndarray, steps: int = 150, l2: float = 2e-5, z: float = 5.0) -> tuple[np.ndarray, float]:
-    """Weights and bias. feature, sent: by word; bag: of each sentence; label: of each bag.
+def fit(f: np.ndarray, s: np.ndarray, bag: np.ndarray, plain: np.ndarray, label: np.ndarray, features: int, steps: int = 150, l2: float = 2e-5) -> tuple[np.ndarray, float]:
+    """Weights of the features and the bias.
 
-    Only features that go with the toxic label beyond chance take part, so wrong
-    labels move the bias and not the weight of harmless words. The screen leaves
-    the sentences' scores to the fit.
+    f, s: feature and sentence of each occurrence, a pair at most once; bag: of each
+    of those sentences; plain: sentences of each bag that have no feature.
     """
-    theta, bias = np.zeros(1 << BITS), -4.0
-    label = label.astype(float)
-    if not len(feature) or label.min(initial=1) == label.max(initial=0):
-        return theta, -50.0
-    pairs = np.unique(feature * len(label) + bag[sent])
-    used = _telling(pairs, label, z)
-    pairs = np.unique(feature[used[feature]] * len(bag) + sent[used[feature]])  # a word counts once in a sentence
-    f, s = pairs // len(bag), pairs % len(bag)
-    names, f = np.unique(f, return_inverse=True)
-    w, m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    w[-1] = bias
+    w, m, v = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
+    w[-1] = -4.0
     for t in range(1, steps + 1):
-        z = np.bincount(s, w[f], len(bag)) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        log_clean = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(label))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(s, w[f], len(bag)) + w[-1], -30, 30)))
+        base = 1 / (1 + np.exp(-w[-1]))
+        log_clean = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(label)) + plain * np.log1p(-base)
         toxic = np.clip(-np.expm1(log_clean), 1e-9, 1)
-        g = p * np.where(label[bag] > 0, -(1 - toxic[bag]) / toxic[bag], 1.0)
-        grad = np.r_[np.bincount(f, g[s], len(names)), g.sum()] / len(label)
+        pull = np.where(label > 0, -(1 - toxic) / toxic, 1.0)
+        g = p * pull[bag]
+        grad = np.r_[np.bincount(f, g[s], features), g.sum() + base * (pull * plain).sum()] / len(label)
         grad[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    theta[names] = w[:-1]
-    return theta, float(w[-1])
+    return w[:-1], float(w[-1])
+
 
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 12000, seed: int = 7, z: float = 5.0) -> tuple[np.ndarray, float]:
+    """Fit on the labelled documents among docs, max_train of them at most.
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 8000, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Fit on the labelled documents among docs, max_train of them at most."""
+    Only features that go with the toxic label beyond chance take part, so wrong
+    labels move the bias and not the weights of harmless words; the screen leaves the
+    sentences' scores to the fit. Features are counted by Spark, and only the
+    occurrences of telling ones reach the driver.
+    """
+    theta = np.zeros(1 << BITS)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_train)
     # at most max_train ids are broadcast
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "id").select("y", "text")
-    schema = "y int, feature array<int>, sent array<int>"
+    chosen = keep(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "id").select("y", "text", "id"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in blocks(batch.column(1)):
+                feature, sent, doc, *_ = sentences(data, offsets)
+                bag = doc[sent]
+                pairs = np.unique(bag << BITS | feature)
+                at = np.searchsorted(pairs >> BITS, np.arange(last - first + 1))
+                m = marks(feature, bag, last - first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(2)[first:last], batch.column(0)[first:last], lists(m.ravel(), np.arange(len(m) + 1) * m.shape[1], pa.int64()), lists(pairs & ((1 << BITS) - 1), at, pa.int32())], names=["id", "y", "marks", "features"]
+                )
+
+    bags = keep(chosen.mapInArrow(features, "id long, y int, marks array<long>, features array<int>"))
+    heads = bags.select("id", "y", "marks").toArrow().sort_by("id")
+    n = heads.num_rows
+    kept = distinct_bags(heads.column("marks").combine_chunks().flatten().to_numpy().reshape(n, -1)) if n else np.zeros(0, bool)
+    ids, label = heads.column("id").to_numpy()[kept], heads.column("y").to_numpy()[kept]
+    if not len(label) or label.min() == label.max():
+        return theta, -50.0
+    fitted = docs.sparkSession.createDataFrame(pa.table({"id": ids}))
+    counts = bags.join(F.broadcast(fitted), "id").select(F.explode("features").alias("f"), "y").groupBy("f").agg(F.count("*").alias("df"), F.sum("y").alias("toxic"))
+    # a feature in fewer bags than this cannot reach z, even if all of them are toxic
+    least = z * z / (2 * np.log(len(label) / max(1, label.sum())))
+    counts = counts.where((F.col("df") >= float(least)) & (F.col("toxic") * len(label) > F.col("df") * int(label.sum()))).toArrow()
+    f = counts.column("f").to_numpy()[telling(counts.column("df").to_numpy(), counts.column("toxic").to_numpy(), len(label), int(label.sum()), z)]
+    f = np.sort(f)
+    if not len(f):
+        return theta, -50.0
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(1 << BITS, bool)
+        wanted[f] = True
         for batch in batches:
             for first, last, data, offsets in blocks(batch.column(1)):
                 feature, sent, doc, *_ = sentences(data, offsets)
-                start = np.searchsorted(doc, np.arange(last - first + 1))
-                at = np.searchsorted(sent, start)
-                inner = sent - start[doc[sent]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], lists(feature, at, pa.int32()), lists(inner, at, pa.int32())], names=["y", "feature", "sent"])
-
-    rows = chosen.mapInArrow(work, schema).toArrow()
-    features, sents = rows.column("feature").combine_chunks(), rows.column("sent").combine_chunks()
-    length = np.diff(features.offsets.to_numpy())
-    sent = sents.flatten().to_numpy()
-    bag = np.repeat(np.arange(rows.num_rows), length)
-    new = np.r_[True, (np.diff(sent) != 0) | (np.diff(bag) != 0)][: len(sent)]
-    feature, label = features.flatten().to_numpy().astype(np.int64), rows.column("y").to_numpy()
-    kept = distinct_bags(feature, bag, len(label))
-    number = np.cumsum(kept) - 1
-    on = kept[bag]
-    new, bag = new[on], number[bag[on]]
-    return fit(feature[on], np.cumsum(new) - 1, bag[new], label[kept])
+                on = np.flatnonzero(wanted[feature])
+                pairs = np.unique(sent[on] << BITS | feature[on])
+                s = pairs >> BITS
+                at = np.searchsorted(doc[s], np.arange(last - first + 1))
+                inner = s - np.searchsorted(doc, doc[s])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(2)[first:last], pa.array(np.bincount(doc, minlength=last - first).astype(np.int32)), lists(pairs & ((1 << BITS) - 1), at, pa.int32()), lists(inner, at, pa.int32())], names=["id", "n", "f", "s"]
+                )
+
+    rows = chosen.join(F.broadcast(fitted), "id").select("y", "text", "id").mapInArrow(occurrences, "id long, n int, f array<int>, s array<int>").toArrow().sort_by("id")
+    order = np.argsort(ids, kind="stable")
+    fs, ss = rows.column("f").combine_chunks(), rows.column("s").combine_chunks()
+    bag = np.repeat(np.arange(rows.num_rows), np.diff(fs.offsets.to_numpy()))
+    inner = ss.flatten().to_numpy()
+    new = np.r_[True, (np.diff(inner) != 0) | (np.diff(bag) != 0)][: len(inner)]
+    plain = rows.column("n").to_numpy() - np.bincount(bag[new], minlength=rows.num_rows)
+    theta[f], bias = fit(np.searchsorted(f, fs.flatten().to_numpy()), np.cumsum(new) - 1, bag[new], plain, label[order], len(f))
+    return theta, bias
 
 
 def _scores(data: np.ndarray, offsets: np.ndarray, theta: np.ndarray, bias: float) -> tuple:

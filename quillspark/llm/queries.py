@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, packing, quality, secrets, sharding, token_ids, toxicity
+from . import ann, bpe, ngram_join, packing, quality, secrets, sharding, token_ids, toxicity, vector_dedup
 from .common import read
 
 
@@ -15,6 +15,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_pairs(read(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -40,13 +44,20 @@ def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.encode(read(spark, sf_dir, "documents"))[0]
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op3_secret_scans, op4_packing, op5_ngram_jaccard_join, op6_sharding, op7_toxicity, op8_token_id_output, op10_bpe)
+    for f in (
+        op1_quality_classifier, op2_embedding_near_dedup, op3_secret_scans, op4_packing, op5_ngram_jaccard_join,
+        op6_sharding, op7_toxicity, op8_token_id_output, op9_nearest_neighbours, op10_bpe,
+    )
 }
 
-ORACLES: dict[str, str] = {"op3_secret_scans": secrets.oracle(), "op5_ngram_jaccard_join": ngram_join.oracle()}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": vector_dedup.oracle(), "op3_secret_scans": secrets.oracle(), "op5_ngram_jaccard_join": ngram_join.oracle()}

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ from .graph import components
 
 N = 3
 THRESHOLD = 0.6
-#: n-grams in one fragment, about.
-MASS = 3_000_000
+#: n-grams in one fragment, about; those of the documents cut up together; and postings in a fragment of the prefixes.
+MASS, CHUNK, POSTED = 3_000_000, 1_200_000, 600_000
 _LOW = 40
 
 
@@ -85,6 +86,16 @@ def _from_five(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _small(values: np.ndarray, kind: str) -> bytes:
+    """Whole numbers, as differences and compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(values.astype(kind), prepend=values.dtype.type(0)).astype(kind).tobytes())
+
+
+def _large(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    big = zstandard.ZstdDecompressor()
+    return np.concatenate([np.cumsum(np.frombuffer(big.decompress(v), kind), dtype=kind) for v in table.column(name).to_pylist()] or [np.zeros(0, kind)])
+
+
 def _join(table: pa.Table, name: str) -> bytes:
     return b"".join(table.column(name).to_pylist())
 
@@ -97,16 +108,17 @@ def _segments(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
     def rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, sizes, owner, g = (np.concatenate(x) for x in zip(*held))
-        part = (g >> np.uint64(62 - bits)).astype(np.int64)
+        part = (g >> np.uint64(62 - bits)).astype(np.uint32)
         low = g >> np.uint64(62 - bits - _LOW) & np.uint64((1 << _LOW) - 1)
-        order = np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable")
+        del g
+        order = np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable").astype(np.uint32)
         part, low, owner = part[order], low[order], owner[order]
         start, length = _runs(part)
         out: list[list] = [[], [], [], [], []]
         for s, k in zip(start.tolist(), length.tolist()):
             own, count = _runs(owner[s : s + k])
             who = owner[s : s + k][own]
-            for column, v in zip(out, (int(part[s]), ids[who].tobytes(), sizes[who].astype("<u4").tobytes(), count.astype("<u4").tobytes(), _five(low[s : s + k]))):
+            for column, v in zip(out, (int(part[s]), _small(ids[who], "<i8"), _small(sizes[who], "<i8"), _small(count, "<i8"), _five(low[s : s + k]))):
                 column.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["part", "docs", "sizes", "counts", "keys"])
 
@@ -116,9 +128,9 @@ def _segments(docs: DataFrame, n: int, bits: int) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for first, last, data, offsets in blocks(batch.column(1)):
                 owner, g = grams(data, offsets, n)
-                held.append((ids[first:last], np.bincount(owner, minlength=last - first), owner + seen, g))
+                held.append((ids[first:last], np.bincount(owner, minlength=last - first), (owner + seen).astype(np.uint32), g))
                 mass, seen = mass + len(g), seen + last - first
-                if mass >= MASS:
+                if mass >= CHUNK:
                     yield from rows(held)
                     held, mass, seen = [], 0, 0
         if held:
@@ -132,7 +144,7 @@ def _shared(bits: int):  # noqa: ANN202
 
     def work(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        docs, sizes, counts = (np.frombuffer(_join(table, c), t) for c, t in (("docs", np.int64), ("sizes", "<u4"), ("counts", "<u4")))
+        docs, sizes, counts = (_large(table, c, "<i8") for c in ("docs", "sizes", "counts"))
         keys = _from_five(_join(table, "keys"))
         owner = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
         order = np.argsort(keys)
@@ -145,13 +157,13 @@ def _shared(bits: int):  # noqa: ANN202
         order = np.lexsort((who, bucket[who]))
         at, level, who = at[order], level[order], who[order]
         begin, length = _runs(bucket[who])
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], []]
         for s, k in zip(begin.tolist(), length.tolist()):
             own, count = _runs(who[s : s + k])
             w = who[s : s + k][own]
-            for column, v in zip(out, (int(bucket[w[0]]), docs[w].tobytes(), sizes[w].tobytes(), count.astype("<u4").tobytes(), (keys[at[s : s + k]] | np.uint64(part) << np.uint64(_LOW)).astype("<u8").tobytes(), level[s : s + k].tobytes())):
+            for column, v in zip(out, (int(bucket[w[0]]), part, _small(docs[w], "<i8"), _small(sizes[w], "<i8"), _small(count, "<i8"), _five(keys[at[s : s + k]]), level[s : s + k].tobytes())):
                 column.append(v)
-        return pa.table({"bucket": pa.array(out[0], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("docs", "sizes", "counts", "keys", "levels"), out[1:])}})
+        return pa.table({"bucket": pa.array(out[0], pa.int32()), "part": pa.array(out[1], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("docs", "sizes", "counts", "keys", "levels"), out[2:])}})
 
     return work
 
@@ -160,8 +172,10 @@ def _alive(threshold: float):  # noqa: ANN202
     """The documents of a bucket that can have partners, their shared n-grams in the global order."""
 
     def work(table: pa.Table) -> pa.Table:
-        docs, sizes, counts = (np.frombuffer(_join(table, c), t) for c, t in (("docs", np.int64), ("sizes", "<u4"), ("counts", "<u4")))
-        keys, levels = np.frombuffer(_join(table, "keys"), "<u8"), np.frombuffer(_join(table, "levels"), np.uint8)
+        docs, sizes, counts = (_large(table, c, "<i8") for c in ("docs", "sizes", "counts"))
+        keys, levels = _from_five(_join(table, "keys")), np.frombuffer(_join(table, "levels"), np.uint8)
+        each = [len(v) for v in table.column("levels").to_pylist()]
+        keys = keys | np.repeat(table.column("part").to_numpy().astype(np.uint64), each) << np.uint64(_LOW)
         ids, which = np.unique(docs, return_inverse=True)
         size = np.zeros(len(ids), np.int64)
         size[which] = sizes
@@ -200,7 +214,7 @@ def _candidates(threshold: float):  # noqa: ANN202
         ends = np.cumsum(place)
         found, done = np.zeros(0, np.int64), 0
         while done < len(gram):
-            upto = max(int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 2_000_000, "right")), done + 1)
+            upto = max(int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 400_000, "right")), done + 1)
             left = np.repeat(np.arange(done, upto), place[done:upto])
             right = ragged((np.arange(len(gram)) - place)[done:upto], place[done:upto])
             small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
@@ -283,7 +297,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
         rows = rows.join(repeated, "doc_id", "left_anti").unionAll(once)
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(22, max(0, math.ceil(math.log2(max(1, volume / 7 / MASS)))))
-    shared = _segments(rows, n, bits).repartition(1 << bits, "part").groupBy("part").applyInArrow(_shared(bits), "bucket int, docs binary, sizes binary, counts binary, keys binary, levels binary")
+    shared = _segments(rows, n, bits).repartition(1 << bits, "part").groupBy("part").applyInArrow(_shared(bits), "bucket int, part int, docs binary, sizes binary, counts binary, keys binary, levels binary")
     alive = keep(shared.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_alive(threshold), "doc_id long, size long, kept long, grams binary"))
 
     # documents with the same set; the copy of a set has no n-gram of its own
@@ -291,7 +305,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
     heads = alive.select("doc_id", "size", "kept", F.when(F.col("kept") == F.col("size"), F.md5("grams")).otherwise(F.col("doc_id").cast("string")).alias("sign"))
     heads = keep(heads.select("doc_id", F.min("doc_id").over(same).alias("rep")))
     copies = heads.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    reps = alive.join(heads.where("doc_id = rep").select("doc_id"), "doc_id")
+    reps = keep(alive.join(heads.where("doc_id = rep").select("doc_id"), "doc_id"))
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,16 +318,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
 
     posted = reps.select("doc_id", "size", "kept", "grams").mapInArrow(postings, "doc_id long, size long, rest long, gram long")
     total = alive.agg(F.sum("kept")).first()[0] or 0
-    pieces = max(1, math.ceil(total * (1 - threshold) / MASS))
+    pieces = max(1, math.ceil(total * (1 - threshold) / POSTED))
     posted = posted.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(pieces)).cast("int"))
     pairs = keep(posted.groupBy("part").applyInArrow(_candidates(threshold), "a long, b long").distinct())
 
     where = components(pairs)
-    placed = reps.join(where.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "size", "kept", "grams", "component")
-    mass = placed.groupBy("component").agg(F.sum("kept").alias("mass"))
-    spread = max(1, math.ceil(total / MASS))
+    mass = reps.select("doc_id", "kept").join(where.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("component").agg(F.sum("kept").alias("mass"))
+    spread = max(1, math.ceil(3 * total / MASS))
     # a small component shares a bucket with others, a large one is cut along the order
-    mass = keep(mass.select("component", F.ceil(F.col("mass") / MASS).cast("int").alias("cuts"), F.pmod(F.xxhash64("component"), F.lit(spread)).alias("bucket")))
+    mass = mass.select("component", F.ceil(F.col("mass") / MASS).cast("int").alias("cuts"), F.pmod(F.xxhash64("component"), F.lit(spread)).alias("bucket"))
+    where = keep(where.join(mass, "component"))
     group = F.when(F.col("cuts") > 1, F.concat_ws("-", F.lit("c"), F.col("component"), F.col("cut"))).otherwise(F.concat_ws("-", F.lit("b"), F.col("bucket")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,9 +343,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["doc_id", "component", "grams", "cuts", "bucket", "cut"])
 
-    segments = placed.join(mass, "component").select("doc_id", "component", "grams", "cuts", "bucket").mapInArrow(cut, "doc_id long, component long, grams binary, cuts int, bucket long, cut int")
+    placed = reps.select("doc_id", "grams").join(where.withColumnRenamed("node", "doc_id"), "doc_id")
+    segments = placed.select("doc_id", "component", "grams", "cuts", "bucket").mapInArrow(cut, "doc_id long, component long, grams binary, cuts int, bucket long, cut int")
     segments = segments.select("doc_id", "component", "grams", group.alias("grp"))
-    asked = pairs.join(where.withColumnRenamed("node", "a"), "a").join(mass, "component").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    asked = pairs.join(where.withColumnRenamed("node", "a"), "a").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     asked = asked.select("a", "b", group.alias("grp"))
     partial = segments.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_overlaps, "a long, b long, overlap long")
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))

@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import blocks, keep, mix, ragged, words
 from .graph import components
 
-N = 3
+#: Pairs of words: a changed word costs a pair of texts only two n-grams, so copies with every tenth word changed are still found.
+N = 2
 THRESHOLD = 0.6
 #: n-grams in one fragment, about; those of the documents cut up together; and postings in a fragment of the prefixes.
 MASS, CHUNK, POSTED = 3_000_000, 1_200_000, 600_000

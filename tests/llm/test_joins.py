@@ -6,7 +6,7 @@ from quillspark.llm.graph import components
 from quillspark.llm.vectors import unit, usable
 
 
-def word_sets(rows, n=3):
+def word_sets(rows, n=ngram_join.N):
     import re
 
     out = {}

@@ -63,6 +63,18 @@ class Engine:
         t = self.catalog.get(name)
         return self.storage.scan(t).select(*t.types)
 
+    def indexes(self, name: str) -> DataFrame:
+        """(kind, columns, built, files, bytes, rows_behind): the state of a table's indexes."""
+        t, rows = self.catalog.get(name), []
+        for i in t.indexes:
+            files = size = 0
+            if i.layout:
+                parts = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(i.layout)
+                files, size = parts.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+            behind = self.storage.read(t).where(F.col(RID) > i.upto).count()
+            rows.append((i.kind, ",".join(i.columns), i.layout is not None, files, size, behind))
+        return self.spark.createDataFrame(rows, "kind string, columns string, built boolean, files long, bytes long, rows_behind long")
+
     def register_descriptors(self, table: str, column: str, descriptors: DataFrame, codebook: list[list[float]]) -> None:
         """Descriptors (name, descriptors) of the files that a file column names, for ``<->`` searches."""
         hist = vision.histogram(descriptors.select(F.col(descriptors.columns[0]).alias("name"), F.col(descriptors.columns[1]).alias("descriptors")), codebook, "name")

@@ -141,6 +141,16 @@ def test_info(engine):
     assert rows["places", "id"].primary_key and rows["places", "city"]["index"] == "hash" and rows["places", "about"]["index"] == "spimi"
 
 
+def test_index_state(engine):
+    engine.sql("create table k (id int primary key);")
+    engine.sql("insert into k (id) values (1);")
+    (r,) = engine.indexes("k").collect()
+    assert (r.kind, r["columns"], r.built, r.rows_behind) == ("bptree", "id", False, 1)
+    engine.compact("k")
+    (r,) = engine.indexes("k").collect()
+    assert r.built and r.files > 0 and r.rows_behind == 0
+
+
 @pytest.mark.parametrize("bad", ["select * from t", "select from t;", "update t;", "select * from t where a, b in (1) closest 2;", "select * from t where a = 1;", "select * from t where a, b > [1, 2];", "create index btree on t;", "delete from t;", ";", "select * from t where a == 'x';"])
 def test_syntax_errors(bad):
     from quillspark.plans.parser import parse

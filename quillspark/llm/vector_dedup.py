@@ -42,7 +42,7 @@ def cells(x: np.ndarray, radius: float, axes: int) -> tuple[np.ndarray, np.ndarr
     width = 2 * radius
     base = np.floor(x[:, :axes] / width).astype(np.int64)
     place = x[:, :axes] - base * width
-    code = lambda c: sum(((c[:, a] + 512) & 1023) << (10 * a) for a in range(axes))
+    code = lambda c: sum(((c[:, a] + 128) & 255) << (8 * a) for a in range(axes))
     near = np.where(place < radius, -1, 1)  # the ball reaches beyond one side of each axis
     gap = np.minimum(place, width - place)
     rows, found = [], []
@@ -93,9 +93,9 @@ def near_pairs(df: DataFrame, cosine: float = 0.95, block: int = 8, id_col: str
     if not dim:
         return copies
     limit = 2 * (1 - cosine)
-    block = min(block, dim)
+    block = min(block, dim, 8)  # a cell is named in 64 bits, 8 for each axis
     blocks = -(-dim // block)
-    axes = max(1, min(block, dim % block or block, 6, math.ceil(math.log(max(1, reps.count() / CELL)) / math.log(3))))
+    axes = max(1, min(block, dim % block or block, math.ceil(math.log(max(1, reps.count() / CELL)) / math.log(3))))
     turn = rotation(dim)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +116,13 @@ def near_pairs(df: DataFrame, cosine: float = 0.95, block: int = 8, id_col: str
                     )
 
     posted = reps.mapInArrow(post, "block int, cell long, home boolean, vec_id long, coarse binary")
+    # a crowded cell is cut up: its residents are spread over parts, and each part gets all of its probes
+    crowded = keep(posted.where("home").groupBy("block", "cell").count().where(F.col("count") > 4 * CELL).select("block", "cell", F.ceil(F.col("count") / (4 * CELL)).cast("int").alias("parts")))
+    posted = posted.join(crowded, ["block", "cell"], "left")
+    part = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("home"), F.array(F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    posted = posted.withColumn("part", F.explode(part)).drop("parts")
     radius = math.sqrt(limit * block / dim)  # a last, shorter block has a smaller one; this only admits more
-    found = keep(posted.groupBy("block", "cell").applyInArrow(_cell_pairs(dim, block, radius, limit), "a long, b long").distinct())
+    found = keep(posted.groupBy("block", "cell", "part").applyInArrow(_cell_pairs(dim, block, radius, limit), "a long, b long").distinct())
     both = found.join(reps.select(F.col("vec_id").alias("a"), F.col("v").alias("va")), "a").join(reps.select(F.col("vec_id").alias("b"), F.col("v").alias("vb")), "b")
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     exact = both.select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"), (dot("va", "vb") / F.sqrt(dot("va", "va") * dot("vb", "vb"))).alias("cosine"))

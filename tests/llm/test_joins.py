@@ -99,7 +99,9 @@ def vectors(spark):
     return spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, a int, v int").repartition(3), m
 
 
-def test_near_pairs_against_brute_force(spark, vectors):
+@pytest.mark.parametrize("cell", [2048, 8])
+def test_near_pairs_against_brute_force(spark, vectors, monkeypatch, cell):
+    monkeypatch.setattr(vector_dedup, "CELL", cell)  # small cells: more axes, and crowded ones are cut up
     df, m = vectors
     got = {(r.vec_a, r.vec_b): r.cosine for r in vector_dedup.near_pairs(df, cosine=0.93).collect()}
     u = unit(m)

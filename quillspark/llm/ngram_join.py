@@ -26,7 +26,9 @@ repeat a doc_id the one of least text counts; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -284,6 +286,14 @@ def _overlaps(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({"a": ids[a[hit]], "b": ids[b[hit]], "overlap": out[hit]})
 
 
+def _release(df: DataFrame) -> None:
+    """Shuffle files go once the driver finds that nothing refers to them; have it look now, before more are written."""
+    for _ in range(2):  # what Python lets go in the first round, the JVM finds in the second
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """(doc_a, doc_b, jaccard) with doc_a < doc_b and jaccard >= threshold.
 
@@ -302,6 +312,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
     shared = _segments(rows, n, bits).repartition(1 << bits, "part").groupBy("part").applyInArrow(_shared(bits), "bucket int, part int, docs binary, sizes binary, counts binary, keys binary, levels binary")
     alive = keep(shared.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_alive(threshold), "doc_id long, size long, kept long, grams binary"))
 
+    del shared
+    _release(docs)
+
     # documents with the same set; the copy of a set has no n-gram of its own
     same = Window.partitionBy("size", "sign")
     heads = alive.select("doc_id", "size", "kept", F.when(F.col("kept") == F.col("size"), F.md5("grams")).otherwise(F.col("doc_id").cast("string")).alias("sign"))
@@ -324,6 +337,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
     posted = posted.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(pieces)).cast("int"))
     pairs = keep(posted.groupBy("part").applyInArrow(_candidates(threshold), "a long, b long").distinct())
 
+    del posted
+    _release(docs)
     where = components(pairs)
     mass = reps.select("doc_id", "kept").join(where.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("component").agg(F.sum("kept").alias("mass"))
     spread = max(1, math.ceil(3 * total / MASS))

@@ -46,6 +46,8 @@ N = 3
 THRESHOLD = 0.55
 #: n-grams in one fragment, about; those of the documents cut up together; and postings in a fragment of the prefixes.
 MASS, CHUNK, POSTED = 3_000_000, 1_200_000, 600_000
+#: Ids of dropped documents that may be broadcast.
+BROADCAST_IDS = 1_000_000
 _LOW = 40
 
 
@@ -377,7 +379,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """The documents without near copies: of each group linked by similar pairs the least doc_id stays, all columns with it. Rows of null doc_id stay."""
     pairs = join(docs, threshold, n).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    gone = components(pairs).where("node <> component").select(F.col("node").alias("__gone"))
+    gone = keep(components(pairs).where("node <> component").select(F.col("node").alias("__gone")))
+    if gone.count() <= BROADCAST_IDS:  # else the join shuffles the documents
+        gone = F.broadcast(gone)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 

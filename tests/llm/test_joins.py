@@ -20,7 +20,7 @@ def word_sets(rows, n=ngram_join.N):
     return out
 
 
-def brute(rows, threshold=0.6):
+def brute(rows, threshold=ngram_join.THRESHOLD):
     sets, reps, out = word_sets(rows), {}, []
     for i in sorted(sets):
         r = reps.setdefault(sets[i], i)
@@ -40,6 +40,7 @@ def brute(rows, threshold=0.6):
 def test_join_against_brute_force(spark, odd, none, monkeypatch, mass):
     monkeypatch.setattr(ngram_join, "MASS", mass)  # small fragments: several of every kind, and large groups are cut
     monkeypatch.setattr(ngram_join, "POSTED", mass)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", mass - 2_000)  # both ways of dropping
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(400)]
     shared = " ".join(rng.choice(words, 30))

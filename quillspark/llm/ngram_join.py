@@ -45,7 +45,7 @@ from .graph import components
 N = 3
 THRESHOLD = 0.55
 #: n-grams in one fragment, about; those of the documents cut up together; and postings in a fragment of the prefixes.
-MASS, CHUNK, POSTED = 3_000_000, 1_200_000, 600_000
+MASS, CHUNK, POSTED = 3_000_000, 400_000, 600_000
 #: Ids of dropped documents that may be broadcast.
 BROADCAST_IDS = 1_000_000
 _LOW = 40

@@ -243,7 +243,13 @@ def _overlaps(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     raw = docs.column("grams").to_pylist()
     sets = [np.frombuffer(raw[i], "<u8") for i in order.tolist()]
     ids = ids[order]
-    a, b = np.searchsorted(ids, pairs.column("a").to_numpy()), np.searchsorted(ids, pairs.column("b").to_numpy())
+    asked = [pairs.column(c).to_numpy() for c in ("a", "b")]
+    a, b = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in asked)
+    # a document without n-grams in this fragment has no row here
+    here = (ids[a] == asked[0]) & (ids[b] == asked[1])
+    a, b = a[here], b[here]
+    if not len(a):
+        return none
     comp = docs.column("component").to_numpy()[order]
     out = np.zeros(len(a), np.int64)
     by = np.argsort(comp[a], kind="stable")

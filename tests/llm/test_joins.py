@@ -71,6 +71,21 @@ def test_join_against_brute_force(spark, odd, none, monkeypatch, mass):
     assert one == {top(i) for i in group}
 
 
+def test_join_of_short_documents_in_many_cuts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MASS", 150)  # most documents of the large group have no n-gram in some of its cuts
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(30)]
+    rows = []
+    for d in range(90):
+        text = list(base)
+        for _ in range(d % 4):
+            text[rng.integers(len(text))] = f"x{rng.integers(40)}"
+        rows.append((d * 3, " ".join(text[rng.integers(0, 8) :])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, ngram_join.join(docs).collect()))
+    assert got == brute(rows) and len(got) > 500
+
+
 def test_join_of_odd_documents(odd, none):
     got = sorted(map(tuple, ngram_join.join(odd).collect()))
     assert got == brute([(r.doc_id, r.text) for r in odd.collect()])

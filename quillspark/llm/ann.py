@@ -5,8 +5,11 @@ loss weighs the residual's part along the vector more than the part across it, b
 only the former moves the large inner products. Codebooks are fitted to all
 vectors: each round assigns codes on the executors and sends sums of fixed size to the
 driver. For a query, inner products with the codewords form tables of sixteen; a
-scan adds up table entries by code and keeps the best ``rerank`` of each shard, whose exact
-inner products decide.
+scan adds up table entries by code. The exact inner products of the best ``rerank`` of a shard
+give a score that the k-th best has at least; every row that may reach it, by its approximate score and the
+length of its residual, is then reranked exactly. So the result is exact.
+
+Of a shard's equal vectors only the k + 1 of least vec_id can be among the k best of any query; the others are not scanned.
 
 Every row is a query against all others: shards of the data meet blocks of queries,
 so that the work is quadratic but its memory bounded, and no row is left out.
@@ -33,6 +36,8 @@ CODES = 16
 PAIR = 2
 #: Rows of a data shard and of a block of queries.
 SHARD, QUERIES = 65_536, 4_096
+#: Rounding of sums in single precision, as a share of the vectors' lengths.
+SLACK, ROUND, TINY = np.float32(1e-5), np.float32(1e-6), np.float32(1e-30)
 
 
 def weight(dim: int, threshold: float = 0.2) -> float:
@@ -126,19 +131,56 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8)
 
 
-def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray, best: int) -> np.ndarray:
-    """For each query the rows of the best approximate inner products, in no order. codes: one byte column after the other."""
+def approximate(queries: np.ndarray, codes: np.ndarray, books: np.ndarray) -> Iterator[np.ndarray]:
+    """For each query the approximate inner products with all rows, in a buffer used again. codes: one byte column after the other."""
     m = len(books)
     tables = np.einsum("qjp,jcp->qjc", queries.reshape(len(queries), m, PAIR), books).astype(np.float32)
     pairs = (tables[:, 1::2, :, None] + tables[:, ::2, None, :]).reshape(len(queries), m // 2, 256)
-    out = np.empty((len(queries), best), np.int64)
     score, entry = np.empty(codes.shape[1], np.float32), np.empty(codes.shape[1], np.float32)
-    for q, table in enumerate(pairs):
+    for table in pairs:
         np.take(table[0], codes[0], out=score, mode="clip")
         for j in range(1, m // 2):
             np.take(table[j], codes[j], out=entry, mode="clip")
             score += entry
-        out[q] = np.argpartition(score, len(score) - best)[len(score) - best :]
+        yield score
+
+
+def _best(score: np.ndarray, best: int) -> np.ndarray:
+    return np.argpartition(score, len(score) - best)[len(score) - best :]
+
+
+def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray, best: int) -> np.ndarray:
+    """For each query the rows of the best approximate inner products, in no order."""
+    return np.stack([_best(score, best) for score in approximate(queries, codes, books)])
+
+
+def residual(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of x - (its codewords): the part along x as a multiple of x, and the length of the part across it."""
+    r = x - np.stack([books[j][codes[:, j]] for j in range(len(books))], 1).reshape(x.shape)
+    along = (r * x).sum(1) / (x**2).sum(1)
+    return along, np.sqrt(((r - along[:, None] * x) ** 2).sum(1))
+
+
+def reachable(score: np.ndarray, least: float, along: np.ndarray, across: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The rows whose inner product s with a unit query may be at least ``least``, by their approximate scores.
+
+    s (1 - along) - score is the inner product of the residual across x with the query, of which the part
+    across x has the length sqrt(1 - (s / |x|)^2); so score >= s (1 - along) - sqrt(1 - (s / |x|)^2) across, which rises with s >= 0.
+    """
+    part = np.sqrt(np.maximum(0, 1 - (least / length) ** 2) + ROUND) if least > 0 else np.float32(1)
+    bound = least * (1 - along) - part * across - SLACK * (length + across + np.abs(along) * length)
+    return np.flatnonzero(~(score < bound))
+
+
+def unneeded(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Whether a row has at least k equal rows of smaller id."""
+    key = np.ascontiguousarray(x + np.float32(0)).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()  # + 0: -0.0 equals 0.0
+    same = np.unique(key, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, same))
+    first = np.r_[True, np.diff(same[order]) > 0]
+    place = np.arange(len(ids))
+    out = np.empty(len(ids), bool)
+    out[order] = place - np.maximum.accumulate(np.where(first, place, 0)) >= k
     return out
 
 
@@ -158,11 +200,13 @@ def neighbours(df: DataFrame, k: int = 10, rerank: int = 200, id_col: str = "vec
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = packed(assign(_padded(matrix(batch.column(1), dim)), books, eta)[0])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "codes"])
+            x = _padded(matrix(batch.column(1), dim))
+            codes = assign(x, books, eta)[0]
+            columns = [pa.array([c.tobytes() for c in packed(codes)], pa.binary()), *map(pa.array, residual(x, codes, books))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["vec_id", "v", "codes", "along", "across"])
 
     spread = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    coded = keep(rows.select("vec_id", "v").mapInArrow(encode, "vec_id long, v array<float>, codes binary"))
+    coded = keep(rows.select("vec_id", "v").mapInArrow(encode, "vec_id long, v array<float>, codes binary, along double, across double"))
     data = coded.withColumn("shard", spread(shards, "shard")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asks = rows.withColumn("grp", spread(groups, "grp")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
@@ -172,19 +216,38 @@ def neighbours(df: DataFrame, k: int = 10, rerank: int = 200, id_col: str = "vec
             return none
         ask, q = left.column("vec_id").to_numpy(), matrix(left.column("v"), dim)
         ids, x = right.column("vec_id").to_numpy(), matrix(right.column("v"), dim)
-        codes = np.ascontiguousarray(np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).T).astype(np.intp)
-        best, top = min(len(ids), rerank + 1), min(len(ids), k + 1)
+        codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+        rows = np.flatnonzero(~unneeded(ids, x, k + 1))
+        ids, x = ids[rows], x[rows]
+        codes = np.ascontiguousarray(codes[rows].T).astype(np.intp)
+        along, across = (right.column(c).to_numpy()[rows].astype(np.float32) for c in ("along", "across"))
+        length = np.linalg.norm(x.astype(np.float64), axis=1).astype(np.float32)
+        across[(along > 1) | (length < TINY)] = np.inf  # no bound: always reranked
+        best = min(len(ids), max(rerank, k) + 1)
         out_q, out_v, out_s = [], [], []
+
+        def exact(me: int, query: np.ndarray, near: np.ndarray) -> np.ndarray:
+            s = np.einsum("d,nd->n", query, x[near].astype(np.float64))
+            s[ids[near] == me] = -np.inf
+            return s
+
         for i in range(0, len(ask), 256):
-            near = scan(_padded(q[i : i + 256]), codes, books, best)
-            exact = np.einsum("qd,qnd->qn", q[i : i + 256].astype(np.float64), x[near].astype(np.float64))
-            exact[ids[near] == ask[i : i + 256, None]] = -np.inf
-            order = np.lexsort((ids[near], -exact), axis=1)[:, :top]
-            s, v = np.take_along_axis(exact, order, 1), ids[np.take_along_axis(near, order, 1)]
-            ok = np.isfinite(s)
-            out_q.append(np.repeat(ask[i : i + 256], ok.sum(1)))
-            out_v.append(v[ok])
-            out_s.append(s[ok])
+            wide = q[i : i + 256].astype(np.float64)
+            norm = np.linalg.norm(wide, axis=1)
+            one = wide / norm[:, None]
+            for j, score in enumerate(approximate(_padded(one), codes, books)):
+                me, near = ask[i + j], _best(score, best)
+                s = exact(me, wide[j], near)
+                if best < len(ids):
+                    least = float(np.partition(s, best - k)[best - k] / norm[j])
+                    near = reachable(score, least, along, across, length)
+                    near = near[~(x[near] @ one[j].astype(np.float32) < least - SLACK * length[near] - TINY)]
+                    s = exact(me, wide[j], near)
+                order = np.lexsort((ids[near], -s))[:k]
+                order = order[np.isfinite(s[order])]
+                out_q.append(np.repeat(me, len(order)))
+                out_v.append(ids[near[order]])
+                out_s.append(s[order])
         return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
     found = asks.select("vec_id", "v", "grp", "shard").groupBy("grp", "shard").cogroup(data.groupBy("grp", "shard")).applyInArrow(search, schema)

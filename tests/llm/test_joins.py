@@ -172,6 +172,23 @@ def test_neighbours_recall_and_ties(spark, vectors):
     assert len(few) == 12 and all(r.query_id != r.vec_id for r in few)
 
 
+def test_neighbours_within_large_groups_are_exact(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((2, 16))
+    near = centre[:1] + rng.standard_normal((2000, 16)) * 1e-3
+    m = np.concatenate([rng.standard_normal((500, 16)), near, np.repeat(centre[1:], 400, 0)]).astype(np.float32)
+    m = m[rng.permutation(len(m))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in ann.neighbours(df, k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    wide = m.astype(float)
+    for i in range(len(m)):
+        s = np.einsum("d,nd->n", wide[i], wide)
+        s[i] = -np.inf
+        assert got[i] == np.argsort(-s, kind="stable")[:10].tolist()
+
+
 def test_anisotropic_loss_falls():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((2000, 16))

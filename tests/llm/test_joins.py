@@ -86,6 +86,16 @@ def test_join_of_short_documents_in_many_cuts(spark, monkeypatch):
     assert got == brute(rows) and len(got) > 500
 
 
+def test_join_finds_copies_with_a_tenth_of_the_words_changed(spark):
+    rows = []
+    for d, size in enumerate((50, 100, 200, 1000)):
+        text = [f"d{d}w{i}" for i in range(size)]
+        rows.append((2 * d, " ".join(text)))
+        rows.append((2 * d + 1, " ".join(f"x{i}" if i % 10 == 5 else w for i, w in enumerate(text))))
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_a, r.doc_b) for r in got) == [(0, 1), (2, 3), (4, 5), (6, 7)]
+
+
 def test_join_of_odd_documents(odd, none):
     got = sorted(map(tuple, ngram_join.join(odd).collect()))
     assert got == brute([(r.doc_id, r.text) for r in odd.collect()])

@@ -328,6 +328,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
     heads = keep(heads.select("doc_id", F.min("doc_id").over(same).alias("rep")))
     copies = heads.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     reps = keep(alive.join(heads.where("doc_id = rep").select("doc_id"), "doc_id"))
+    total = alive.agg(F.sum("kept")).first()[0] or 0
+    del alive, heads  # and with the last reference the files of the sets
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,7 +341,6 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count)), pa.array(np.repeat(size, count)), pa.array(rest), pa.array(np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64))], names=["doc_id", "size", "rest", "gram"])
 
     posted = reps.select("doc_id", "size", "kept", "grams").mapInArrow(postings, "doc_id long, size long, rest long, gram long")
-    total = alive.agg(F.sum("kept")).first()[0] or 0
     pieces = max(1, math.ceil(total * (1 - threshold) / POSTED))
     posted = posted.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(pieces)).cast("int"))
     pairs = keep(posted.groupBy("part").applyInArrow(_candidates(threshold), "a long, b long").distinct())
@@ -374,7 +375,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
     asked = asked.select("a", "b", group.alias("grp"))
     partial = segments.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_overlaps, "a long, b long, overlap long")
     summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    sizes = alive.select("doc_id", "size")
+    sizes = reps.select("doc_id", "size")
     scored = summed.join(sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("size").alias("sb")), "b")
     jaccard = F.col("overlap").cast("double") / (F.col("sa") + F.col("sb") - F.col("overlap")).cast("double")
     scored = scored.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)

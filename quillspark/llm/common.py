@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text in one block; a longer document is a block of its own.
 BLOCK_BYTES = 1_000_000
@@ -28,12 +29,35 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; where neither it nor the context's own is set, a temporary one, but on a single machine only."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return named or sc.getCheckpointDir()
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a checkpoint in the folder that all executors share; what was shuffled for it is removed once it is written."""
+    spark = df.sparkSession
+    folder(spark)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan takes the setting when it is made
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
+def whole(column: str) -> Column:
+    """A column of ids as 64-bit integers; what is no such number counts as null."""
+    return F.col(column).try_cast("long")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

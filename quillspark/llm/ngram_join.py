@@ -6,52 +6,65 @@ fragment is worked on by itself:
 1. Every set is split into segments by fragment (ranges of n-gram hashes). A fragment
    sees all occurrences of its n-grams, so it knows how many documents have each.
    Those that only one document has are dropped (they stay counted in the set's size).
-2. Put together again, a document whose remaining n-grams are fewer than threshold * size
-   can have no partner and is dropped: few but copies are left. The global order
-   is now (frequency class, hash), rare first. Documents with the same set are joined
-   through their least doc_id.
-3. Of each remaining set only a prefix is posted: two similar sets share an n-gram in
-   it. Fragments of the postings give candidate pairs, filtered by size and position.
-4. Candidates are counted in groups of connected candidates; a large group is cut
-   along the global order into fragments, whose partial overlaps are counted
-   separately and summed per pair.
-
-No pair is lost and no number of partners is capped.
+   Put together again, a document whose remaining n-grams are fewer than threshold * size
+   can have no partner and is dropped. Documents with the same set are represented by
+   the one of least doc_id. A second pass over those left drops most of the
+   documents that only looked shared because of others now gone. The global order is
+   then (frequency class, hash), rare first.
+2. Cores: documents that agree in one of a few min-hashes are compared with the least among
+   them, and those that are similar are put together. This only saves work and decides nothing.
+3. Within a core, similar pairs are the rule, so all its pairs are counted: along the
+   global order, fragment by fragment, partial overlaps are counted separately and summed
+   for each pair. The sums stay in the task, which returns the number of links of each
+   document; a large core is cut into parts, and parts meet in pairs.
+4. Between cores, similar pairs are the exception. Of each set a prefix in the global order is
+   posted; two similar sets share an n-gram in it. Fragments of the postings give the
+   pairs of documents of different cores, filtered by size and position, which are compared exactly.
+
+So every pair of different sets is either counted in 3 or found in 4: no link is lost, and no
+number of partners is capped. N-grams are compared by a hash of 48 to 56 bits: two different ones
+of a pair of documents of a thousand words each meet with a chance below 1e-8.
 
 Defined cases: words are runs of ASCII letters, digits and non-ASCII characters, ASCII
 capitals as small letters; a text of fewer than n words has one n-gram, all its words; a
-null text or one without words joins nothing; a null doc_id is left out; of rows that
-repeat a doc_id the one of least text counts; other columns are ignored.
+null text or one without words is a class of its own; a null doc_id, or one that is no whole number, is left out; of rows that
+repeat a doc_id the one of least text counts; very long texts are sets like any other; similarities of
+exactly the threshold are links; a class is named after its least doc_id; other columns are ignored, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, keep, mix, ragged, words
+from .common import blocks, keep, mix, ragged, whole, words
 from .graph import components
 
 #: Pairs of words: a changed word costs a pair of texts only two n-grams, so copies with every tenth word changed, at 0.8/1.2, are still found.
 N = 2
 THRESHOLD = 0.6
-#: n-grams in one fragment, about; those of the documents cut up together; and postings in a fragment of the prefixes.
-MASS, CHUNK, POSTED = 3_000_000, 400_000, 600_000
-#: Ids of dropped documents that may be broadcast.
-BROADCAST_IDS = 1_000_000
-_LOW = 40
+#: n-grams in one fragment, about; those of the documents cut up together; and of a core's part.
+MASS, CHUNK, PART = 3_000_000, 400_000, 1_000_000
+#: Postings in a fragment of the prefixes; and of one n-gram, beyond which they are cut up.
+POSTED, CROWD = 600_000, 4096
+#: Bits by which fragments are told apart in one shuffle; more of them take another, so that the pieces of a chunk stay large.
+LEVEL = 11
+#: Min-hashes of a document.
+SKETCH = 4
+_HASH = 56
+_MASK = np.uint64((1 << _HASH) - 1)
+_LOW = np.uint64((1 << 48) - 1)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """(document, 62-bit n-gram), sorted, each once."""
+    """(document, 56-bit n-gram), sorted, each once."""
     h, doc, *_ = words(data, offsets)
     size = len(offsets) - 1
     count = np.bincount(doc, minlength=size)
@@ -64,7 +77,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray
     for k in range(n):
         there = first + k < last
         g[there] = mix(g[there] * np.uint64(3) + h[first[there] + k] + np.uint64(k))
-    g >>= np.uint64(2)
+    g >>= np.uint64(64 - _HASH)
     order = np.argsort(g)
     order = order[np.argsort(owner[order].astype(np.uint16) if size < 1 << 16 else owner[order], kind="stable")]
     owner, g = owner[order], g[order]
@@ -80,325 +93,418 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.r_[start, len(values)])
 
 
-def _five(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+# Pieces of sets on their way: one row holds, for one part of a cut, what many documents have there.
+PIECES = "part int, docs binary, sizes binary, counts binary, keys binary"
+_NAMES = ["docs", "sizes", "counts", "keys"]
 
 
-def _from_five(raw: bytes) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(part), 8), np.uint8)
-    wide[:, :5] = part
-    return wide.view("<u8").ravel()
+def _small(values: np.ndarray) -> bytes:
+    """Whole numbers, as differences and compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(values.astype("<i8"), prepend=np.int64(0)).tobytes())
 
 
-def _small(values: np.ndarray, kind: str) -> bytes:
-    """Whole numbers, as differences and compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(values.astype(kind), prepend=values.dtype.type(0)).astype(kind).tobytes())
+def _pieces(part: np.ndarray, ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, keys: np.ndarray, width: int) -> pa.RecordBatch:
+    """ids, sizes: of documents; part, owner, keys: of n-grams, of whose keys the lowest bytes are stored, ``width`` of them."""
+    order = np.lexsort((owner, part)) if len(part) and part.max() >= 1 << 16 else np.argsort(part.astype(np.uint16), kind="stable")
+    part, keys, owner = part[order], keys[order], owner[order]
+    out: list[list] = [[], [], [], [], []]
+    for s, k in zip(*(x.tolist() for x in _runs(part))):
+        own, count = _runs(owner[s : s + k])
+        who = owner[s : s + k][own]
+        raw = np.ascontiguousarray(keys[s : s + k].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+        for column, v in zip(out, (int(part[s]), _small(ids[who]), _small(sizes[who]), _small(count), raw)):
+            column.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["part", *_NAMES])
 
 
-def _large(table: pa.Table, name: str, kind: str) -> np.ndarray:
+def _unpacked(rows: pa.Table | pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, sizes, owner, keys) of the rows, one after the other."""
     big = zstandard.ZstdDecompressor()
-    return np.concatenate([np.cumsum(np.frombuffer(big.decompress(v), kind), dtype=kind) for v in table.column(name).to_pylist()] or [np.zeros(0, kind)])
+    ids, sizes, counts = (np.concatenate([np.zeros(0, np.int64), *(np.cumsum(np.frombuffer(big.decompress(v), "<i8")) for v in rows.column(c).to_pylist())]) for c in _NAMES[:3])
+    part = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint8).reshape(-1, width)
+    wide = np.zeros((len(part), 8), np.uint8)
+    wide[:, :width] = part
+    return ids, sizes, np.repeat(np.arange(len(ids), dtype=np.int32), counts), wide.view("<u8").ravel()
+
+
+def _fragment(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fragment of each n-gram, its key there): 2^bits ranges of hashes; the key has 48 bits."""
+    return (g >> np.uint64(_HASH - bits)).astype(np.uint32), g >> np.uint64(max(0, 8 - bits)) & _LOW
+
+
+def _whole_hash(part: np.ndarray | int, key: np.ndarray, bits: int) -> np.ndarray:
+    """The n-gram again, but for the lowest bits that the key has no room for."""
+    return (np.uint64(part) >> np.uint64(max(0, bits - 8)) << np.uint64(48) | key) << np.uint64(max(0, 8 - bits))
+
+
+def _bucket(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+class _Held:
+    """Sets gathered until they are cut up together."""
 
+    def __init__(self) -> None:
+        self.parts: list[tuple] = []
+        self.mass = self.seen = 0
 
-def _join(table: pa.Table, name: str) -> bytes:
-    return b"".join(table.column(name).to_pylist())
+    def add(self, ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, keys: np.ndarray) -> bool:
+        self.parts.append((ids, sizes, (owner + self.seen).astype(np.uint32), keys))
+        self.mass, self.seen = self.mass + len(keys), self.seen + len(ids)
+        return self.mass >= CHUNK
 
+    def take(self) -> list[np.ndarray]:
+        out = [np.concatenate(x) for x in zip(*self.parts)]
+        self.__init__()
+        return out
 
-SEGMENTS = "part int, docs binary, sizes binary, counts binary, keys binary"
 
+def _segments(source: DataFrame, of, bits: int) -> DataFrame:  # noqa: ANN001
+    """Each set cut into 2^bits segments. of: from a batch of source, (ids, sizes, owner, n-grams) of some of its documents at a time."""
 
-def _segments(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """Each set cut into 2^bits segments; one row holds the segments of a fragment for many documents."""
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+        cut = min(bits, LEVEL)
 
-    def rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, owner, g = (np.concatenate(x) for x in zip(*held))
-        part = (g >> np.uint64(62 - bits)).astype(np.uint32)
-        low = g >> np.uint64(62 - bits - _LOW) & np.uint64((1 << _LOW) - 1)
-        del g
-        order = np.argsort(part.astype(np.uint16) if bits <= 16 else part, kind="stable").astype(np.uint32)
-        part, low, owner = part[order], low[order], owner[order]
-        start, length = _runs(part)
-        out: list[list] = [[], [], [], [], []]
-        for s, k in zip(start.tolist(), length.tolist()):
-            own, count = _runs(owner[s : s + k])
-            who = owner[s : s + k][own]
-            for column, v in zip(out, (int(part[s]), _small(ids[who], "<i8"), _small(sizes[who], "<i8"), _small(count, "<i8"), _five(low[s : s + k]))):
-                column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["part", "docs", "sizes", "counts", "keys"])
+        def pieces() -> pa.RecordBatch:
+            ids, sizes, owner, g = held.take()
+            part, key = _fragment(g, cut)
+            return _pieces(part, ids, sizes, owner, key, 6)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mass, seen = [], 0, 0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, last, data, offsets in blocks(batch.column(1)):
-                owner, g = grams(data, offsets, n)
-                held.append((ids[first:last], np.bincount(owner, minlength=last - first), (owner + seen).astype(np.uint32), g))
-                mass, seen = mass + len(g), seen + last - first
-                if mass >= CHUNK:
-                    yield from rows(held)
-                    held, mass, seen = [], 0, 0
-        if held:
-            yield from rows(held)
+            for sets in of(batch):
+                if held.add(*sets):
+                    yield pieces()
+        if held.parts:
+            yield pieces()
 
-    return docs.mapInArrow(work, SEGMENTS)
+    return _finer(source.mapInArrow(first, PIECES), bits, 6)
+
+
+def _finer(rows: DataFrame, bits: int, width: int) -> DataFrame:
+    """Rows cut at LEVEL bits are shuffled and cut further, as often as it takes. Width 6: by n-grams; width 8: by documents."""
+    done = min(bits, LEVEL)
+    while done < bits:
+        new = min(bits, done + LEVEL)
+
+        def work(batches: Iterator[pa.RecordBatch], done: int = done, new: int = new) -> Iterator[pa.RecordBatch]:
+            held = _Held()
+
+            def pieces() -> pa.RecordBatch:
+                ids, sizes, owner, keys = held.take()
+                part, keys = _fragment(keys, new) if width == 6 else (_bucket(ids, new)[owner].astype(np.uint32), keys)
+                return _pieces(part, ids, sizes, owner, keys, width)
+
+            for batch in batches:
+                for i in range(len(batch)):
+                    ids, sizes, owner, keys = _unpacked(batch.slice(i, 1), width)
+                    if held.add(ids, sizes, owner, _whole_hash(batch.column(0)[i].as_py(), keys, done) if width == 6 else keys):
+                        yield pieces()
+            if held.parts:
+                yield pieces()
+
+        rows = rows.repartition(1 << done, "part").sortWithinPartitions("part").mapInArrow(work, PIECES)
+        done = new
+    return rows
 
 
 def _shared(bits: int):  # noqa: ANN202
-    """A fragment's n-grams that several documents have, sorted out by buckets of documents."""
+    """A fragment's n-grams that several documents have, as codes (frequency class, hash), sorted out by buckets of documents."""
 
     def work(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        docs, sizes, counts = (_large(table, c, "<i8") for c in ("docs", "sizes", "counts"))
-        keys = _from_five(_join(table, "keys"))
-        owner = np.repeat(np.arange(len(docs), dtype=np.int32), counts)
+        ids, sizes, owner, keys = _unpacked(table, 6)
         order = np.argsort(keys)
-        start, df = _runs(keys[order])
+        df = _runs(keys[order])[1]
         many = np.repeat(df > 1, df)
+        level = np.repeat(np.minimum(255, (8 * np.log2(df)).astype(np.int64)).astype(np.uint64), df)[many]
         at = order[many]
-        level = np.repeat(np.minimum(255, (8 * np.log2(df)).astype(np.int64)).astype(np.uint8), df)[many]
-        bucket = (mix(docs.astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        who = owner[at]
-        order = np.lexsort((who, bucket[who]))
-        at, level, who = at[order], level[order], who[order]
-        begin, length = _runs(bucket[who])
-        out: list[list] = [[], [], [], [], [], [], []]
-        for s, k in zip(begin.tolist(), length.tolist()):
-            own, count = _runs(who[s : s + k])
-            w = who[s : s + k][own]
-            for column, v in zip(out, (int(bucket[w[0]]), part, _small(docs[w], "<i8"), _small(sizes[w], "<i8"), _small(count, "<i8"), _five(keys[at[s : s + k]]), level[s : s + k].tobytes())):
-                column.append(v)
-        return pa.table({"bucket": pa.array(out[0], pa.int32()), "part": pa.array(out[1], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("docs", "sizes", "counts", "keys", "levels"), out[2:])}})
+        codes = level << np.uint64(_HASH) | _whole_hash(part, keys[at], bits)
+        # together by document
+        order = np.argsort(owner[at], kind="stable")
+        who = owner[at][order]
+        return pa.Table.from_batches([_pieces(_bucket(ids, min(bits, LEVEL))[who].astype(np.uint32), ids, sizes, who, codes[order], 8)])
 
     return work
 
 
+def _least(size: np.ndarray, threshold: float) -> np.ndarray:
+    """The smallest overlap that a set of this size can have with a similar one."""
+    return np.ceil(size * threshold - 1e-9).astype(np.int64)
+
+
 def _alive(threshold: float):  # noqa: ANN202
     """The documents of a bucket that can have partners, their shared n-grams in the global order."""
 
     def work(table: pa.Table) -> pa.Table:
-        docs, sizes, counts = (_large(table, c, "<i8") for c in ("docs", "sizes", "counts"))
-        keys, levels = _from_five(_join(table, "keys")), np.frombuffer(_join(table, "levels"), np.uint8)
-        each = [len(v) for v in table.column("levels").to_pylist()]
-        keys = keys | np.repeat(table.column("part").to_numpy().astype(np.uint64), each) << np.uint64(_LOW)
+        docs, sizes, owner, codes = _unpacked(table, 8)
         ids, which = np.unique(docs, return_inverse=True)
         size = np.zeros(len(ids), np.int64)
         size[which] = sizes
-        kept = np.bincount(which, counts, len(ids)).astype(np.int64)
+        kept = np.bincount(which[owner], minlength=len(ids)).astype(np.int64)
         ok = kept >= _least(size, threshold)
-        who = np.repeat(which, counts)
-        on = np.flatnonzero(ok[who])
-        # rare first, then by hash: the class fills the upper bits, 56 bits of the hash follow
-        code = levels[on].astype(np.uint64) << np.uint64(56) | (keys[on] & np.uint64((1 << 56) - 1))
-        order = np.lexsort((code, who[on]))
-        code, ends = code[order], np.cumsum(kept[ok])
-        raw = code.astype("<u8").tobytes()
-        cuts = zip((np.r_[0, ends[:-1]] * 8).tolist() if len(ends) else [], (ends * 8).tolist())
-        return pa.table({"doc_id": ids[ok], "size": size[ok], "kept": kept[ok], "grams": pa.array([raw[a:b] for a, b in cuts], pa.binary())})
+        on = np.flatnonzero(ok[which[owner]])
+        codes = codes[on][np.lexsort((codes[on], which[owner[on]]))]
+        return pa.table({"doc_id": ids[ok], "size": size[ok], "kept": kept[ok], "grams": _binaries(codes, kept[ok])})
 
     return work
 
 
-def _least(size: np.ndarray, threshold: float) -> np.ndarray:
-    """The smallest overlap that a set of this size can have with a similar one."""
-    return np.ceil(size * threshold - 1e-9).astype(np.int64)
+def _binaries(codes: np.ndarray, counts: np.ndarray) -> pa.Array:
+    raw, ends = codes.astype("<u8").tobytes(), np.cumsum(counts) * 8
+    return pa.array([raw[a:b] for a, b in zip((ends - counts * 8).tolist(), ends.tolist())], pa.binary())
+
+
+def _sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(r, "<u8") for r in column.to_pylist()]
+
+
+def _of_texts(n: int):  # noqa: ANN202
+    def of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        ids = batch.column(0).to_numpy()
+        for first, last, data, offsets in blocks(batch.column(1)):
+            owner, g = grams(data, offsets, n)
+            yield ids[first:last], np.bincount(owner, minlength=last - first), owner, g
+
+    return of
+
+
+def _of_sets(batch: pa.RecordBatch) -> Iterator[tuple]:
+    ids, size, kept = (batch.column(i).to_numpy() for i in range(3))
+    for i in range(0, len(ids), 500):
+        flat = np.frombuffer(b"".join(batch.column(3)[i : i + 500].to_pylist()), "<u8")
+        yield ids[i : i + 500], size[i : i + 500], np.repeat(np.arange(len(kept[i : i + 500])), kept[i : i + 500]), flat & _MASK
+
+
+def _pruned(source: DataFrame, of, mass: int, threshold: float) -> DataFrame:  # noqa: ANN001
+    """(doc_id, size, kept, grams) of the documents that share enough n-grams with others."""
+    bits = min(32, max(0, math.ceil(math.log2(max(1, mass / MASS)))))
+    shared = _segments(source, of, bits).repartition(1 << bits, "part").groupBy("part").applyInArrow(_shared(bits), PIECES)
+    return keep(_finer(shared, bits, 8).repartition(1 << bits, "part").groupBy("part").applyInArrow(_alive(threshold), "doc_id long, size long, kept long, grams binary"))
 
 
 def _candidates(threshold: float):  # noqa: ANN202
-    """Pairs of documents that share an n-gram in both prefixes and whose sizes and positions allow enough overlap."""
+    """Pairs of documents of different cores that share an n-gram in both prefixes and whose sizes and positions allow enough overlap.
+
+    Where the postings of an n-gram are cut up, row and col name the two parts that meet; a pair of parts gives only pairs from one to the other.
+    """
 
     def work(table: pa.Table) -> pa.Table:
-        doc, size, rest = (table.column(c).to_numpy() for c in ("doc_id", "size", "rest"))
-        gram = table.column("gram").to_numpy()
+        doc, core, size, rest, gram, side, row, col = (table.column(c).to_numpy() for c in ("doc_id", "core", "size", "rest", "gram", "side", "row", "col"))
         ids, who = np.unique(doc, return_inverse=True)
-        order = np.lexsort((who, gram))
-        gram, who, size, rest = gram[order], who[order], size[order].astype(np.int64), rest[order].astype(np.int64)
-        start, length = _runs(gram)
-        # the k-th of a run pairs with the k before it
-        place = np.arange(len(gram)) - np.repeat(start, length)
-        ends = np.cumsum(place)
-        found, done = np.zeros(0, np.int64), 0
+        order = np.lexsort((who, core, col, row, gram))
+        gram, who, core, side, row, col, size, rest = gram[order], who[order], core[order], side[order], row[order], col[order], size[order].astype(np.int64), rest[order].astype(np.int64)
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1])][: len(gram)]
+        place = np.arange(len(gram))
+        start = np.maximum.accumulate(np.where(new, place, 0))
+        alone = np.maximum.accumulate(np.where(new | np.r_[True, core[1:] != core[:-1]][: len(gram)], place, 0))
+        # each pairs with those before it that are of other cores
+        many = alone - start
+        ends = np.cumsum(many)
+        found, done = [], 0
         while done < len(gram):
             upto = max(int(np.searchsorted(ends, (ends[done - 1] if done else 0) + 400_000, "right")), done + 1)
-            left = np.repeat(np.arange(done, upto), place[done:upto])
-            right = ragged((np.arange(len(gram)) - place)[done:upto], place[done:upto])
+            left, right = np.repeat(np.arange(done, upto), many[done:upto]), ragged(start[done:upto], many[done:upto])
             small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
             need = np.ceil((size[left] + size[right]) * threshold / (1 + threshold) - 1e-9)
-            ok = (small >= large * threshold - 1e-9) & (1 + np.minimum(rest[left], rest[right]) >= need)
-            found = np.union1d(found, who[right[ok]] * len(ids) + who[left[ok]])
+            ok = (small >= large * threshold - 1e-9) & (1 + np.minimum(rest[left], rest[right]) >= need) & ((row[left] == col[left]) | (side[left] != side[right]))
+            a, b = who[right[ok]], who[left[ok]]
+            found.append(np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b)))
             done = upto
-        return pa.table({"a": ids[found // max(1, len(ids))], "b": ids[found % max(1, len(ids))]})
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        return pa.table({"a": ids[pairs // max(1, len(ids))], "b": ids[pairs % max(1, len(ids))]})
+
+    return work
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(_sets(batch.column(4)), _sets(batch.column(5)))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(both, pa.int64())], names=["a", "b", "sa", "sb", "overlap"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar."""
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("size").alias(f"s{x}"), F.col("grams").alias(f"g{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "ga", "gb").mapInArrow(_common, "a long, b long, sa long, sb long, overlap long")
+    return keep(both.where(F.col("overlap").cast("double") / (F.col("sa") + F.col("sb") - F.col("overlap")).cast("double") >= threshold).select("a", "b"))
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [[int(mix((g & _MASK) + np.uint64(k << _HASH)).min()) - (1 << 63) for k in range(SKETCH)] for g in _sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "keys"])
+
+
+def links_within(ids: np.ndarray, size: np.ndarray, part: np.ndarray, sets: list[np.ndarray], threshold: float, row: int, col: int, side: int = 1024, span: int = 4096) -> np.ndarray:
+    """Of each document the number of others that are similar to it: among all where row equals col, else from part row to part col."""
+    order = np.lexsort((ids, size))
+    size, part = size[order], part[order]
+    sets = [sets[i] for i in order.tolist()]
+    count = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    at = np.r_[0, np.cumsum(count)]
+    owner = np.repeat(np.arange(len(sets)), count)
+    links = np.zeros(len(sets), np.int64)
+    for i in range(0, len(sets), side):
+        for j in range(i, len(sets), side):
+            if size[j] * threshold > size[min(i + side, len(sets)) - 1] + 1e-9:
+                break  # those behind are longer still
+            ends = (min(i + side, len(sets)), min(j + side, len(sets)))
+            x, y = flat[at[i] : at[ends[0]]], flat[at[j] : at[ends[1]]]
+            wanted = np.unique(x) if i == j else np.intersect1d(x, y)
+            overlap = np.zeros((ends[0] - i, ends[1] - j), np.float32)
+            # fragment by fragment of the global order; sums of ones below 2^24 are exact
+            for c in range(0, len(wanted), span):
+                fragment = wanted[c : c + span]
+                ones = []
+                for values, base, end in ((x, i, ends[0]),) if i == j else ((x, i, ends[0]), (y, j, ends[1])):
+                    k = np.searchsorted(fragment, values)
+                    hit = np.flatnonzero(fragment[np.minimum(k, len(fragment) - 1)] == values)
+                    m = np.zeros((end - base, len(fragment)), np.float32)
+                    m[owner[at[base] : at[end]][hit] - base, k[hit]] = 1
+                    ones.append(m)
+                overlap += ones[0] @ ones[-1].T
+            total = size[i : ends[0], None] + size[j : ends[1]] - overlap.astype(np.float64)
+            similar = overlap / total >= threshold
+            if row != col:
+                similar &= part[i : ends[0], None] != part[j : ends[1]]
+            if i == j:
+                np.fill_diagonal(similar, False)
+                links[i : ends[0]] += similar.sum(1)
+            else:
+                links[i : ends[0]] += similar.sum(1)
+                links[j : ends[1]] += similar.sum(0)
+    out = np.empty(len(sets), np.int64)
+    out[order] = links
+    return out
+
+
+def _core_links(threshold: float):  # noqa: ANN202
+    def work(table: pa.Table) -> pa.Table:
+        ids, core, size, part, row, col = (table.column(c).to_numpy() for c in ("doc_id", "core", "size", "part", "row", "col"))
+        sets, order = _sets(table.column("grams")), np.argsort(core, kind="stable")
+        links = np.zeros(len(ids), np.int64)
+        for s, k in zip(*(x.tolist() for x in _runs(core[order]))):
+            these = order[s : s + k]
+            links[these] = links_within(ids[these], size[these], part[these], [sets[i] for i in these.tolist()], threshold, int(row[these[0]]), int(col[these[0]]))
+        return pa.table({"doc_id": ids, "links": links})
 
     return work
 
 
-def _overlaps(docs: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Partial overlaps of the candidate pairs of one group in one fragment of the order."""
-    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "overlap": pa.array([], pa.int64())})
-    if not docs.num_rows or not pairs.num_rows:
-        return none
-    ids = docs.column("doc_id").to_numpy()
-    order = np.argsort(ids)
-    raw = docs.column("grams").to_pylist()
-    sets = [np.frombuffer(raw[i], "<u8") for i in order.tolist()]
-    ids = ids[order]
-    asked = [pairs.column(c).to_numpy() for c in ("a", "b")]
-    a, b = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in asked)
-    # a document without n-grams in this fragment has no row here
-    here = (ids[a] == asked[0]) & (ids[b] == asked[1])
-    a, b = a[here], b[here]
-    if not len(a):
-        return none
-    comp = docs.column("component").to_numpy()[order]
-    out = np.zeros(len(a), np.int64)
-    by = np.argsort(comp[a], kind="stable")
-    start, length = _runs(comp[a][by])
-    for s, k in zip(start.tolist(), length.tolist()):
-        these = by[s : s + k]
-        who, local = np.unique(np.r_[a[these], b[these]], return_inverse=True)
-        if len(who) == 2:
-            out[these] = len(np.intersect1d(sets[who[0]], sets[who[1]], assume_unique=True))
-            continue
-        la, lb = local[:k], local[k:]
-        flat = np.concatenate([sets[i] for i in who.tolist()])
-        _, column = np.unique(flat, return_inverse=True)
-        row = np.repeat(np.arange(len(who)), [len(sets[i]) for i in who.tolist()])
-        # overlaps are products of 0/1 rows, taken over bounded blocks of documents and columns
-        by_row = np.argsort(row * (int(column.max(initial=0)) + 1) + column)
-        row, column = row[by_row], column[by_row]
-        ends = np.searchsorted(row, np.arange(len(who) + 1))
-        side = 1024
-        blocks_of = la // side * (len(who) // side + 1) + lb // side
-        for block in np.unique(blocks_of):
-            mine = np.flatnonzero(blocks_of == block)
-            ra, rb = int(la[mine[0]]) // side * side, int(lb[mine[0]]) // side * side
-            xa, xb = slice(ends[ra], ends[min(ra + side, len(who))]), slice(ends[rb], ends[min(rb + side, len(who))])
-            if len(mine) * 50 < side * side and len(mine) < 2000:
-                for i in mine.tolist():
-                    x, y = column[ends[la[i]] : ends[la[i] + 1]], column[ends[lb[i]] : ends[lb[i] + 1]]
-                    out[these[i]] = len(np.intersect1d(x, y, assume_unique=True))
-                continue
-            common, _ = np.unique(np.intersect1d(column[xa], column[xb])), None
-            for c in range(0, len(common), 4096):
-                wanted = common[c : c + 4096]
-                both = []
-                for x, base in ((xa, ra), (xb, rb)):
-                    at = np.searchsorted(wanted, column[x])
-                    hit = (at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == column[x])
-                    m = np.zeros((min(side, len(who) - base), len(wanted)), np.float32)
-                    m[row[x][hit] - base, at[hit]] = 1
-                    both.append(m)
-                out[these[mine]] += (both[0] @ both[1].T)[la[mine] - ra, lb[mine] - rb].astype(np.int64)
-    hit = out > 0
-    return pa.table({"a": ids[a[hit]], "b": ids[b[hit]], "overlap": out[hit]})
-
-
-def _release(df: DataFrame) -> None:
-    """Shuffle files go once the driver finds that nothing refers to them; have it look now, before more are written."""
-    for _ in range(2):  # what Python lets go in the first round, the JVM finds in the second
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def _tiles(parts: str, part: str):  # noqa: ANN202
+    """An array of the tiles (row, col) with row <= col that a part takes part in."""
+    return F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda i: F.struct(F.least(i, F.col(part)).alias("row"), F.greatest(i, F.col(part)).alias("col")))
+
+
+def _spread(column: str, n) -> Column:  # noqa: ANN001
+    return F.pmod(F.xxhash64(column), n).cast("int")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """(doc_a, doc_b, jaccard) with doc_a < doc_b and jaccard >= threshold.
+    """(doc_id, class_id, links): one row for each document.
 
-    Documents with the same set are represented by the least doc_id among them: it is
-    paired with each of them (jaccard 1) and stands for them in all other pairs. So the
-    result is complete, and its size does not square with the number of exact copies.
+    links is the number of other sets of n-grams that are similar to the document's own (documents
+    with the same set have the same links, and are none to each other); a class is what such links and equal sets connect,
+    class_id the least doc_id in it.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    rows = docs.select(whole("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    everyone = rows.select("doc_id").distinct()
+    rows = rows.where("text is not null")
     repeated = keep(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not repeated.isEmpty():
         once = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
         rows = rows.join(repeated, "doc_id", "left_anti").unionAll(once)
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(22, max(0, math.ceil(math.log2(max(1, volume / 7 / MASS)))))
-    shared = _segments(rows, n, bits).repartition(1 << bits, "part").groupBy("part").applyInArrow(_shared(bits), "bucket int, part int, docs binary, sizes binary, counts binary, keys binary, levels binary")
-    alive = keep(shared.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_alive(threshold), "doc_id long, size long, kept long, grams binary"))
-
-    del shared
-    _release(docs)
-
-    # documents with the same set; the copy of a set has no n-gram of its own
-    same = Window.partitionBy("size", "sign")
-    heads = alive.select("doc_id", "size", "kept", F.when(F.col("kept") == F.col("size"), F.md5("grams")).otherwise(F.col("doc_id").cast("string")).alias("sign"))
-    heads = keep(heads.select("doc_id", F.min("doc_id").over(same).alias("rep")))
-    copies = heads.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    reps = keep(alive.join(heads.where("doc_id = rep").select("doc_id"), "doc_id"))
-    total = alive.agg(F.sum("kept")).first()[0] or 0
-    del alive, heads  # and with the last reference the files of the sets
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    alive = _pruned(rows, _of_texts(n), volume // 7, threshold)
+
+    # documents with the same set; a set that lost n-grams had some that no other has
+    signs = alive.where("kept = size").select("doc_id", "size", F.md5("grams").alias("sign"))
+    least = signs.groupBy("size", "sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = keep(signs.join(least, ["size", "sign"]).where("doc_id <> rep").select("doc_id", "rep"))
+    sets = alive.join(copies.select("doc_id"), "doc_id", "left_anti")
+    sets = _pruned(sets, _of_sets, sets.agg(F.sum("kept")).first()[0] or 0, threshold)
+    total = sets.agg(F.sum("kept")).first()[0] or 0
+
+    # cores
+    keys = sets.select("doc_id", "grams").mapInArrow(_sketched, "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("k", "key"))
+    first = keys.groupBy("k", "key").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = keep(keys.join(first, ["k", "key"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
+    core = components(_similar(near, sets, threshold)).select(F.col("node").alias("doc_id"), F.col("component").alias("core"))
+
+    # pairs within a core; a small core shares a bucket with others
+    held = keep(sets.select("doc_id", "size", "kept").join(core, "doc_id").groupBy("core").agg(F.sum("kept").alias("mass")))
+    held = held.select("core", F.ceil(F.col("mass") / PART).cast("int").alias("parts"), _spread("core", F.lit(max(1, math.ceil(total / PART)))).alias("bucket"))
+    placed = sets.select("doc_id", "size", "grams").join(core.join(held, "core"), "doc_id").withColumn("part", _spread("doc_id", F.col("parts")))
+    placed = placed.withColumn("tile", F.explode(_tiles("parts", "part"))).select("doc_id", "core", "size", "grams", "part", "tile.row", "tile.col", F.when(F.col("parts") == 1, F.struct(F.lit(-1).cast("long").alias("core"), F.col("bucket").alias("row"), F.lit(0).alias("col"))).otherwise(F.struct("core", "tile.row", "tile.col")).alias("grp"))
+    within = placed.groupBy("grp").applyInArrow(_core_links(threshold), "doc_id long, links long")
+    within = keep(within.groupBy("doc_id").agg(F.sum("links").alias("links")))
+
+    # pairs between cores
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, size, kept = (batch.column(i).to_numpy() for i in range(3))
-            count = kept - _least(size, threshold) + 1
-            raw = batch.column(3).to_pylist()
-            flat = [np.frombuffer(r, "<u8")[:c] for r, c in zip(raw, count.tolist())]
-            rest = np.repeat(kept, count) - 1 - ragged(np.zeros(len(count), np.int64), count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count)), pa.array(np.repeat(size, count)), pa.array(rest), pa.array(np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64))], names=["doc_id", "size", "rest", "gram"])
-
-    posted = reps.select("doc_id", "size", "kept", "grams").mapInArrow(postings, "doc_id long, size long, rest long, gram long")
-    pieces = max(1, math.ceil(total * (1 - threshold) / POSTED))
-    posted = posted.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(pieces)).cast("int"))
+            size, kept = (batch.column(i).to_numpy() for i in (2, 3))
+            many = kept - _least(size, threshold) + 1
+            flat = [g[:c] for g, c in zip(_sets(batch.column(4)), many.tolist())]
+            rest = np.repeat(kept, many) - 1 - ragged(np.zeros(len(many), np.int64), many)
+            which = np.repeat(np.arange(len(many)), many)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(which)) for i in range(3)), pa.array(rest), pa.array(np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64))], names=["doc_id", "core", "size", "rest", "gram"])
+
+    posted = sets.join(core, "doc_id", "left").select("doc_id", F.coalesce("core", "doc_id").alias("core"), "size", "kept", "grams").mapInArrow(post, "doc_id long, core long, size long, rest long, gram long")
+    # the frequency class tells which n-grams have many postings
+    df = F.pow(F.lit(2.0), (F.shiftrightunsigned("gram", _HASH) + 1) / 8)
+    posted = posted.withColumn("parts", F.ceil(df / CROWD).cast("int")).withColumn("side", _spread("doc_id", F.col("parts"))).withColumn("tile", F.explode(_tiles("parts", "side")))
+    pieces = F.lit(max(1, math.ceil(total * (1 - threshold) / POSTED)))
+    posted = posted.select("doc_id", "core", "size", "rest", "gram", "side", "tile.row", "tile.col", F.pmod(F.xxhash64("gram", "tile.row", "tile.col"), pieces).cast("int").alias("part"))
     pairs = keep(posted.groupBy("part").applyInArrow(_candidates(threshold), "a long, b long").distinct())
+    across = _similar(pairs, sets, threshold)
 
-    del posted
-    _release(docs)
-    where = components(pairs)
-    mass = reps.select("doc_id", "kept").join(where.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("component").agg(F.sum("kept").alias("mass"))
-    spread = max(1, math.ceil(3 * total / MASS))
-    # a small component shares a bucket with others, a large one is cut along the order
-    mass = mass.select("component", F.ceil(F.col("mass") / MASS).cast("int").alias("cuts"), F.pmod(F.xxhash64("component"), F.lit(spread)).alias("bucket"))
-    where = keep(where.join(mass, "component"))
-    group = F.when(F.col("cuts") > 1, F.concat_ws("-", F.lit("c"), F.col("component"), F.col("cut"))).otherwise(F.concat_ws("-", F.lit("b"), F.col("bucket")))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, comp, raw, cuts, bucket = (batch.column(i).to_pylist() for i in range(5))
-            out: list[list] = [[], [], [], [], [], []]
-            for i, c, r, k, b in zip(ids, comp, raw, cuts, bucket):
-                g = np.frombuffer(r, "<u8")
-                where_to = (mix(g) % np.uint64(k)).astype(np.int64) if k > 1 else np.zeros(len(g), np.int64)
-                for x in np.unique(where_to).tolist():
-                    for column, v in zip(out, (i, c, g[where_to == x].tobytes() if k > 1 else r, k, b, x)):
-                        column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["doc_id", "component", "grams", "cuts", "bucket", "cut"])
-
-    placed = reps.select("doc_id", "grams").join(where.withColumnRenamed("node", "doc_id"), "doc_id")
-    segments = placed.select("doc_id", "component", "grams", "cuts", "bucket").mapInArrow(cut, "doc_id long, component long, grams binary, cuts int, bucket long, cut int")
-    segments = segments.select("doc_id", "component", "grams", group.alias("grp"))
-    asked = pairs.join(where.withColumnRenamed("node", "a"), "a").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    asked = asked.select("a", "b", group.alias("grp"))
-    partial = segments.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_overlaps, "a long, b long, overlap long")
-    summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    sizes = reps.select("doc_id", "size")
-    scored = summed.join(sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("size").alias("sb")), "b")
-    jaccard = F.col("overlap").cast("double") / (F.col("sa") + F.col("sb") - F.col("overlap")).cast("double")
-    scored = scored.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
-    return scored.unionAll(copies)
+    ends = across.select(F.col("a").alias("doc_id")).unionAll(across.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("links"))
+    links = within.unionAll(ends).groupBy("doc_id").agg(F.sum("links").alias("links"))
+    # cores joined by links across them
+    named = lambda x: core.select(F.col("doc_id").alias(x), F.col("core").alias(f"c{x}"))
+    crossed = across.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(crossed).withColumnRenamed("node", "core").withColumnRenamed("component", "joined")
+    named = sets.select("doc_id").join(core, "doc_id", "left").withColumn("core", F.coalesce("core", "doc_id")).join(joined, "core", "left").select("doc_id", F.coalesce("joined", "core").alias("class_id"))
+    named = named.join(links, "doc_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")).where("class_id <> doc_id or links > 0")
+    found = named.join(copies.withColumnRenamed("doc_id", "copy"), F.col("doc_id") == F.col("rep"), "right").select(F.col("copy").alias("doc_id"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    found = keep(named.unionAll(found))
+    return everyone.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """The documents without near copies: of each group linked by similar pairs the least doc_id stays, all columns with it. Rows of null doc_id stay."""
-    pairs = join(docs, threshold, n).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    gone = keep(components(pairs).where("node <> component").select(F.col("node").alias("__gone")))
-    if gone.count() <= BROADCAST_IDS:  # else the join shuffles the documents
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """The documents without near copies: of each class the least doc_id stays, all columns with it.
+
+    Rows of a null doc_id (or one that is no whole number) stay; of rows that repeat doc_id and text one stays; rows that repeat a
+    doc_id with other texts stay or go with it. The join on ids is Spark's to plan, at every size.
+    """
+    gone = f"gone{'_' * max(map(len, docs.columns))}"  # no column's name
+    classes = join(docs, threshold, n).where("doc_id <> class_id").select(F.col("doc_id").alias(gone))
+    key = "row" + gone
+    ids = docs.where(whole("doc_id").isNotNull()).select(whole("doc_id").alias(gone)).groupBy(gone).count().where("count > 1").select(gone)
+    twice = keep(ids)
+    if not twice.isEmpty():
+        same = docs.join(twice, whole("doc_id") == F.col(gone), "left_semi")
+        rest = docs.join(twice, whole("doc_id") == F.col(gone), "left_anti")
+        first = F.row_number().over(Window.partitionBy(whole("doc_id"), F.col("text")).orderBy(F.lit(0)))
+        docs = rest.unionAll(same.withColumn(key, first).where(F.col(key) == 1).drop(key))
+    return docs.join(classes, whole("doc_id") == F.col(gone), "left_anti")
 
 
 def oracle(threshold: float = THRESHOLD, n: int = N) -> str:
     """The same rows in SQL by comparing all pairs that share an n-gram."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{upper}', '{lower}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
 s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {n - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))) AS g FROM w WHERE len(w) > 0),
 r AS (SELECT doc_id, g, len(g) AS size, min(doc_id) OVER (PARTITION BY md5(array_to_string(g, '|'))) AS rep FROM s),
 e AS (SELECT doc_id, size, unnest(g) AS gram FROM r WHERE doc_id = rep),
-o AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.size) AS sa, any_value(b.size) AS sb, count(*) AS c FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a AS doc_a, b AS doc_b, c::DOUBLE / (sa + sb - c)::DOUBLE AS jaccard FROM o WHERE c::DOUBLE / (sa + sb - c)::DOUBLE >= {threshold}
-UNION ALL SELECT rep, doc_id, 1.0::DOUBLE FROM r WHERE doc_id <> rep"""
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.size) AS sa, any_value(b.size) AS sb, count(*) AS c FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM o WHERE c::DOUBLE / (sa + sb - c)::DOUBLE >= {threshold}),
+d AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (SELECT DISTINCT a AS doc_id, a AS top FROM d UNION SELECT d.b, c.top FROM c JOIN d ON c.doc_id = d.a WHERE c.top < d.b),
+k AS (SELECT doc_id, min(top) AS top FROM c GROUP BY 1),
+m AS (SELECT a AS doc_id, count(*) AS links FROM d GROUP BY 1)
+SELECT documents.doc_id, coalesce(k.top, r.rep, documents.doc_id) AS class_id, coalesce(m.links, 0)::BIGINT AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) documents LEFT JOIN r ON r.doc_id = documents.doc_id LEFT JOIN k ON k.doc_id = r.rep LEFT JOIN m ON m.doc_id = r.rep"""

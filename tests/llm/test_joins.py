@@ -21,69 +21,77 @@ def word_sets(rows, n=ngram_join.N):
 
 
 def brute(rows, threshold=ngram_join.THRESHOLD):
-    sets, reps, out = word_sets(rows), {}, []
-    for i in sorted(sets):
-        r = reps.setdefault(sets[i], i)
-        if r != i:
-            out.append((r, i, 1.0))
-    ids = sorted(reps.values())
+    """(doc_id, class, links) by comparing all different sets."""
+    sets, reps = word_sets(rows), {}
+    rep = {i: reps.setdefault(sets[i], i) for i in sorted(sets)}
+    ids, links = sorted(reps.values()), dict.fromkeys(sets, 0)
+    up = {i: rep.get(i, i) for i, _ in rows if i is not None}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             c = len(sets[a] & sets[b])
-            j = c / (len(sets[a]) + len(sets[b]) - c)
-            if j >= threshold:
-                out.append((a, b, j))
-    return sorted(out)
+            if c / (len(sets[a]) + len(sets[b]) - c) >= threshold:
+                links[a], links[b] = links[a] + 1, links[b] + 1
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return sorted((i, top(i), links.get(rep.get(i, i), 0)) for i in up)
+
 
+SIZES = {"MASS": (2_000, 150), "CHUNK": (3_000, 500), "PART": (1_500, 100), "POSTED": (300, 50), "CROWD": (16, 4), "LEVEL": (11, 2), "SKETCH": (2, 1)}
 
-@pytest.mark.parametrize("mass", [3_000_000, 2_000])
-def test_join_against_brute_force(spark, odd, none, monkeypatch, mass):
-    monkeypatch.setattr(ngram_join, "MASS", mass)  # small fragments: several of every kind, and large groups are cut
-    monkeypatch.setattr(ngram_join, "POSTED", mass)
-    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", mass - 2_000)  # both ways of dropping
+
+@pytest.mark.parametrize("scale", [None, 0, 1])
+def test_join_against_brute_force(spark, monkeypatch, scale):
+    for name, small in SIZES.items() if scale is not None else ():  # several fragments of every kind, cores in parts, crowded n-grams, cuts in two steps
+        monkeypatch.setattr(ngram_join, name, small[scale])
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(400)]
     shared = " ".join(rng.choice(words, 30))
     rows = []
     for d in range(60):
         rows.append((len(rows), " ".join(rng.choice(words, rng.integers(1, 120))) + (" " + shared if d % 3 == 0 else "")))
-    for d in range(0, 40):
+    for d in range(0, 60):
         base = rows[d % 4][1].split()
-        for _ in range(rng.integers(0, 6)):
+        for _ in range(rng.integers(0, 9)):
             base[rng.integers(len(base))] = str(rng.choice(words))
         rows.append((len(rows), " ".join(base)))
     rows += [(len(rows) + k, rows[3][1]) for k in range(5)]
     rows += [(900, None), (901, ""), (902, "..."), (903, "Hi there"), (904, "hi, THERE"), (905, "hi")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(map(tuple, ngram_join.join(docs).collect()))
-    assert got == brute(rows) and len(got) > 30
-    one = {r.doc_id for r in ngram_join.one_of_each(docs).collect()}
-    group = {i: i for i, _ in rows}
-
-    def top(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for a, b, _ in got:
-        x, y = sorted((top(a), top(b)))
-        group[y] = x
-    assert one == {top(i) for i in group}
+    got, want = sorted(map(tuple, ngram_join.join(docs).collect())), brute(rows)
+    assert got == want and sum(n for *_, n in got) > 300
+    assert {r.doc_id for r in ngram_join.one_of_each(docs).collect()} == {i for i, c, _ in want if i == c}
 
 
-def test_join_of_short_documents_in_many_cuts(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "MASS", 150)  # most documents of the large group have no n-gram in some of its cuts
+def test_join_of_many_short_documents(spark, monkeypatch):
+    for name, small in SIZES.items():
+        monkeypatch.setattr(ngram_join, name, small[1])
     rng = np.random.default_rng(11)
     base = [f"w{i}" for i in range(30)]
     rows = []
     for d in range(90):
         text = list(base)
-        for _ in range(d % 4):
+        for _ in range(d % 5):
             text[rng.integers(len(text))] = f"x{rng.integers(40)}"
         rows.append((d * 3, " ".join(text[rng.integers(0, 8) :])))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(map(tuple, ngram_join.join(docs).collect()))
-    assert got == brute(rows) and len(got) > 500
+    assert got == brute(rows) and sum(n for *_, n in got) > 1000
+
+
+def test_links_within_blocks():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(70)]
+    size, part = np.array([len(s) for s in sets]), np.arange(70) % 2
+    like = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.3 for b in sets] for a in sets]) & ~np.eye(70, dtype=bool)
+    one = lambda row, col: ngram_join.links_within(np.arange(70), size, part, sets, 0.3, row, col, side=16, span=8).tolist()
+    assert one(0, 0) == like.sum(1).tolist() and like.sum() > 100
+    assert one(0, 1) == (like & (part[:, None] != part)).sum(1).tolist()
 
 
 def test_join_finds_copies_with_a_tenth_of_the_words_changed(spark):
@@ -93,17 +101,20 @@ def test_join_finds_copies_with_a_tenth_of_the_words_changed(spark):
         rows.append((2 * d, " ".join(text)))
         rows.append((2 * d + 1, " ".join(f"x{i}" if i % 10 == 5 else w for i, w in enumerate(text))))
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted((r.doc_a, r.doc_b) for r in got) == [(0, 1), (2, 3), (4, 5), (6, 7)]
+    assert sorted(map(tuple, got)) == [(i, i - i % 2, 1) for i in range(8)]
 
 
-def test_join_of_odd_documents(odd, none):
+def test_join_of_odd_documents(spark, odd, none):
     got = sorted(map(tuple, ngram_join.join(odd).collect()))
     assert got == brute([(r.doc_id, r.text) for r in odd.collect()])
-    assert (1, 2, 1.0) in got and any(p[:2] == (1, 3) for p in got)
+    assert (2, 1, 1) in got and (3, 1, 1) in got
     kept = ngram_join.one_of_each(odd)
     assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 1
-    assert sorted({r.doc_id for r in kept.where("doc_id is not null").collect()}) == [1, 4, 5, 6, 7, 8, 9]
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 4, 5, 6, 7, 8, 9]  # one of the two rows of 8
     assert ngram_join.join(none).count() == ngram_join.one_of_each(none).count() == 0
+    named = spark.createDataFrame([("7", "a b c", 1), ("x", "a b c", 2), ("3", "a b c", 3)], "doc_id string, text string, __gone int")
+    assert sorted(map(tuple, ngram_join.join(named).collect())) == [(3, 3, 0), (7, 3, 0)]
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(named).collect()) == ["3", "x"]
 
 
 def test_components(spark):

@@ -5,14 +5,19 @@ hashed words and word beginnings (inflected forms share one); the bag's probabil
 document labels are needed to fit the sentence scores, by gradient descent on
 the bags' likelihood. Afterwards the sentences that carry a verdict are located.
 
-The fit uses at most ``max_train`` labelled documents (those of least hashed id);
-scoring and locating cover every document and its whole text.
+The fit uses at most ``max_train`` labelled documents (those of least hashed id), one row of
+each; near copies among them share one vote, none is left out. Scoring and locating cover
+every document and its whole text.
 
 Defined cases: a null or empty text has no sentences and scores 0; a document is
 toxic when its noisy-or reaches ``threshold`` and at least one sentence does so by
 itself (many harmless sentences alone never condemn a long text); null labels and
-labels of unknown documents are left out; with no toxic or no clean label nothing
-is toxic; repeated rows are scored each on its own.
+labels of unknown documents are left out, of a document's several labels the toxic one counts; with no toxic or no clean label nothing
+is toxic. Repeated rows are scored each on its own; in the fit the one of least text stands for rows that
+repeat an id. An id that is no whole number counts as null, and its row is scored all the same. Ties: features and
+documents are taken in the order of their numbers, so the fit does not depend on the order of rows. Very long texts are worked on
+whole, a block each. Further columns, whatever their names, are ignored by ``train`` and ``score`` and kept by ``clean``. An empty table
+gives an empty result, and no fit.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, keep, lists, mix, span_hashes, words
+from .common import LOWER, blocks, keep, lists, mix, span_hashes, whole, words
 
 BITS = 20
 #: Bytes of the word beginnings that are features beside the whole word.
@@ -67,33 +72,43 @@ def marks(feature: np.ndarray, bag: np.ndarray, n: int, hashes: int = 4) -> np.n
     return out
 
 
-def distinct_bags(marks: np.ndarray) -> np.ndarray:
-    """Which bags to fit on: one of each set of near copies (they share a mark), which would otherwise vote many times."""
-    keep = np.ones(len(marks), bool)
-    seen: set[tuple[int, int]] = set()
-    for i, row in enumerate(marks.tolist()):
-        keys = {(k, v) for k, v in enumerate(row) if v != -1}
-        keep[i] = not keys & seen
-        seen |= keys
-    return keep
+def votes(marks: np.ndarray) -> np.ndarray:
+    """The weight of each bag: one over the number of bags in its set of near copies, so that every set has one vote. Near copies agree in all marks but one at most, themselves or through others."""
+    up = np.arange(len(marks))
 
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
 
-def telling(df: np.ndarray, toxic: np.ndarray, bags: int, toxic_bags: int, z: float) -> np.ndarray:
+    has = np.flatnonzero((marks != -1).any(1))
+    for left_out in range(marks.shape[1]):
+        _, group = np.unique(np.delete(marks[has], left_out, 1), axis=0, return_inverse=True)
+        order = np.argsort(group.ravel(), kind="stable")
+        same = np.flatnonzero(np.diff(group.ravel()[order]) == 0)
+        for i, j in zip(has[order[same]].tolist(), has[order[same + 1]].tolist()):
+            up[top(j)] = top(i)
+    heads = np.array([top(i) for i in range(len(marks))], np.int64)
+    return 1 / np.bincount(heads, minlength=len(marks))[heads]
+
+
+def telling(df: np.ndarray, toxic: np.ndarray, bags: float, toxic_bags: float, z: float) -> np.ndarray:
     """Features that go with the label beyond chance: root of the likelihood ratio of at least z. df, toxic: by feature, the bags and toxic bags that have it."""
     df, toxic = df.astype(float), toxic.astype(float)
     ratio = np.zeros(len(df))
     for seen, row, column in ((toxic, df, toxic_bags), (df - toxic, df, bags - toxic_bags), (toxic_bags - toxic, bags - df, toxic_bags), (bags - toxic_bags - df + toxic, bags - df, bags - toxic_bags)):
         with np.errstate(divide="ignore", invalid="ignore"):
-            ratio += np.where(seen > 0, seen * np.log(seen * bags / (row * column)), 0)
+            ratio += np.where(seen > 1e-9, seen * np.log(seen * bags / (row * column)), 0)
     return (toxic * bags > df * toxic_bags) & (2 * ratio >= z * z)
 
 
-def fit(f: np.ndarray, s: np.ndarray, bag: np.ndarray, plain: np.ndarray, label: np.ndarray, features: int, steps: int = 150, l2: float = 2e-5) -> tuple[np.ndarray, float]:
+def fit(f: np.ndarray, s: np.ndarray, bag: np.ndarray, plain: np.ndarray, label: np.ndarray, features: int, vote: np.ndarray | float = 1.0, steps: int = 150, l2: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights of the features and the bias.
 
     f, s: feature and sentence of each occurrence, a pair at most once; bag: of each
-    of those sentences; plain: sentences of each bag that have no feature.
+    of those sentences; plain: sentences of each bag that have no feature; vote: weight of each bag.
     """
+    vote = np.broadcast_to(vote, len(label))
     w, m, v = np.zeros(features + 1), np.zeros(features + 1), np.zeros(features + 1)
     w[-1] = -4.0
     for t in range(1, steps + 1):
@@ -101,9 +116,9 @@ def fit(f: np.ndarray, s: np.ndarray, bag: np.ndarray, plain: np.ndarray, label:
         base = 1 / (1 + np.exp(-w[-1]))
         log_clean = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(label)) + plain * np.log1p(-base)
         toxic = np.clip(-np.expm1(log_clean), 1e-9, 1)
-        pull = np.where(label > 0, -(1 - toxic) / toxic, 1.0)
+        pull = vote * np.where(label > 0, -(1 - toxic) / toxic, 1.0)
         g = p * pull[bag]
-        grad = np.r_[np.bincount(f, g[s], features), g.sum() + base * (pull * plain).sum()] / len(label)
+        grad = np.r_[np.bincount(f, g[s], features), g.sum() + base * (pull * plain).sum()] / vote.sum()
         grad[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -119,10 +134,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12000, seed: int
     occurrences of telling ones reach the driver.
     """
     theta = np.zeros(1 << BITS)
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y is not null")
+    known = labels.select(whole("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_train)
     # at most max_train ids are broadcast
-    chosen = keep(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "id").select("y", "text", "id"))
+    chosen = docs.select(whole("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "id")
+    chosen = keep(chosen.groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")).select("y", "text", "id"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,16 +155,17 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12000, seed: int
     bags = keep(chosen.mapInArrow(features, "id long, y int, marks array<long>, features array<int>"))
     heads = bags.select("id", "y", "marks").toArrow().sort_by("id")
     n = heads.num_rows
-    kept = distinct_bags(heads.column("marks").combine_chunks().flatten().to_numpy().reshape(n, -1)) if n else np.zeros(0, bool)
-    ids, label = heads.column("id").to_numpy()[kept], heads.column("y").to_numpy()[kept]
-    if not len(label) or label.min() == label.max():
+    ids, label = heads.column("id").to_numpy(), heads.column("y").to_numpy()
+    if not n or label.min() == label.max():
         return theta, -50.0
-    fitted = docs.sparkSession.createDataFrame(pa.table({"id": ids}))
-    counts = bags.join(F.broadcast(fitted), "id").select(F.explode("features").alias("f"), "y").groupBy("f").agg(F.count("*").alias("df"), F.sum("y").alias("toxic"))
-    # a feature in fewer bags than this cannot reach z, even if all of them are toxic
-    least = z * z / (2 * np.log(len(label) / max(1, label.sum())))
-    counts = counts.where((F.col("df") >= float(least)) & (F.col("toxic") * len(label) > F.col("df") * int(label.sum()))).toArrow()
-    f = counts.column("f").to_numpy()[telling(counts.column("df").to_numpy(), counts.column("toxic").to_numpy(), len(label), int(label.sum()), z)]
+    vote = votes(heads.column("marks").combine_chunks().flatten().to_numpy().reshape(n, -1))
+    cast, toxic = float(vote.sum()), float(vote[label > 0].sum())
+    fitted = docs.sparkSession.createDataFrame(pa.table({"id": ids, "vote": vote}))
+    counts = bags.join(F.broadcast(fitted), "id").select(F.explode("features").alias("f"), "y", "vote").groupBy("f").agg(F.sum("vote").alias("df"), F.sum(F.when(F.col("y") > 0, F.col("vote")).otherwise(0.0)).alias("toxic"))
+    # a feature with fewer votes than this cannot reach z, even if all of them are toxic
+    least = z * z / (2 * np.log(cast / toxic))
+    counts = counts.where((F.col("df") >= float(least) - 1e-6) & (F.col("toxic") * cast > F.col("df") * toxic)).toArrow()
+    f = counts.column("f").to_numpy()[telling(counts.column("df").to_numpy(), counts.column("toxic").to_numpy(), cast, toxic, z)]
     f = np.sort(f)
     if not len(f):
         return theta, -50.0
@@ -168,14 +185,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12000, seed: int
                     [batch.column(2)[first:last], pa.array(np.bincount(doc, minlength=last - first).astype(np.int32)), lists(pairs & ((1 << BITS) - 1), at, pa.int32()), lists(inner, at, pa.int32())], names=["id", "n", "f", "s"]
                 )
 
-    rows = chosen.join(F.broadcast(fitted), "id").select("y", "text", "id").mapInArrow(occurrences, "id long, n int, f array<int>, s array<int>").toArrow().sort_by("id")
-    order = np.argsort(ids, kind="stable")
+    rows = chosen.mapInArrow(occurrences, "id long, n int, f array<int>, s array<int>").toArrow().sort_by("id")
     fs, ss = rows.column("f").combine_chunks(), rows.column("s").combine_chunks()
     bag = np.repeat(np.arange(rows.num_rows), np.diff(fs.offsets.to_numpy()))
     inner = ss.flatten().to_numpy()
     new = np.r_[True, (np.diff(inner) != 0) | (np.diff(bag) != 0)][: len(inner)]
     plain = rows.column("n").to_numpy() - np.bincount(bag[new], minlength=rows.num_rows)
-    theta[f], bias = fit(np.searchsorted(f, fs.flatten().to_numpy()), np.cumsum(new) - 1, bag[new], plain, label[order], len(f))
+    theta[f], bias = fit(np.searchsorted(f, fs.flatten().to_numpy()), np.cumsum(new) - 1, bag[new], plain, label, len(f), vote)
     return theta, bias
 
 
@@ -211,7 +227,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
                     [batch.column(0)[first:last], pa.array(bag), pa.array(toxic.astype(np.int32)), lists(number, at, pa.int32()), lists(said, at, pa.string())], schema=schema
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, toxicity double, toxic int, sentence_no array<int>, sentence array<string>")
+    return docs.select(whole("doc_id").alias("doc_id"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, toxicity double, toxic int, sentence_no array<int>, sentence array<string>")
 
 
 def clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:

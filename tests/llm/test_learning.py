@@ -38,6 +38,32 @@ def test_noisy_or_finds_the_sentences(spark, odd, none):
     assert toxicity.train(none, labels)[1] == -50.0
 
 
+def test_repeated_labelled_rows_change_nothing(spark):
+    rng = np.random.default_rng(9)
+    rows, labels = [], []
+    for d in range(800):
+        said = [" ".join(rng.choice([f"word{i}" for i in range(200)], 8)) for _ in range(rng.integers(1, 8))]
+        if d % 4 == 0:
+            said[-1] += " " + ("vile", "foul")[d % 8 // 4]
+        rows.append((d, ". ".join(said)))
+        labels.append((d, int(d % 4 == 0)))
+    make = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    labels = spark.createDataFrame(labels + labels[:50], "doc_id long, toxic int")
+    theta, bias = toxicity.train(make(rows), labels)
+    assert np.count_nonzero(theta)
+    more = rows + rows + [(d, t + " zzz vile. and other words") for d, t in rows[:300]] + [(5, None)]
+    again, other = toxicity.train(make(more), labels)
+    assert np.allclose(theta, again) and abs(bias - other) < 1e-9
+    got = {(r.doc_id, r.toxicity) for r in toxicity.score(make(more), (theta, bias)).collect() if r.doc_id >= 300}
+    assert got == {(r.doc_id, r.toxicity) for r in toxicity.score(make(rows), (theta, bias)).collect() if r.doc_id >= 300}
+
+
+def test_near_copies_share_a_vote():
+    a = [5, 6, 7, 8]
+    marks = np.array([a, a, [5, 6, 7, 9], [5, 1, 2, 3], [-1] * 4, [-1] * 4, [5, 6, 0, 0]])
+    assert toxicity.votes(marks).round(3).tolist() == [0.333, 0.333, 0.333, 1, 1, 1, 1]
+
+
 def test_gradient_of_the_bags_likelihood():
     # two bags: one toxic with a telling feature, one clean without
     w, b = toxicity.fit(np.array([0]), np.array([0]), np.array([0]), np.array([2, 3]), np.array([1, 0]), 1, steps=400)

@@ -8,6 +8,7 @@ not depend on the partition's size and no Python loop runs per word.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,41 @@ def keep(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
 
 
+class Table:
+    """A DataFrame written to the shared folder as a table in buckets of an id, so that joins on the id don't shuffle it; ``drop`` removes its files."""
+
+    def __init__(self, df: DataFrame, buckets: int, column: str):
+        spark = df.sparkSession
+        self.name = f"kept_{uuid.uuid4().hex}"
+        self.path = f"{folder(spark)}/{self.name}"
+        before = spark.conf.get(_CLEANUP, None)
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.select("*").write.bucketBy(buckets, column).option("path", self.path).option("compression", "none").saveAsTable(self.name)
+        finally:
+            spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        self.df = spark.table(self.name)
+
+    def drop(self) -> None:
+        spark = self.df.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that Spark puts a 64-bit integer in: its Murmur3 hash (seed 42) modulo the number of buckets."""
+    wide = ids.astype(np.int64).view(np.uint64)
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    h = np.full(len(ids), 42, np.uint32)
+    for half in ((wide & np.uint64(0xFFFFFFFF)).astype(np.uint32), (wide >> np.uint64(32)).astype(np.uint32)):
+        h = turn(h ^ turn(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+    return h.view(np.int32).astype(np.int64) % buckets
+
+
 def whole(column: str) -> Column:
     """A column of ids as 64-bit integers; what is no such number counts as null."""
     return F.col(column).try_cast("long")

@@ -8,10 +8,9 @@ fragment is worked on by itself:
    Those that only one document has are dropped (they stay counted in the set's size).
    Put together again, a document whose remaining n-grams are fewer than threshold * size
    can have no partner and is dropped. Documents with the same set are represented by
-   the one of least doc_id. A second pass over those left drops most of the
-   documents that only looked shared because of others now gone. The global order is
-   then (frequency class, hash), rare first.
-2. Cores: documents that agree in one of a few min-hashes are compared with the least among
+   the one of least doc_id. The global order is (frequency class, hash), rare first. The
+   sets are written as a table in buckets of doc_id, so that what follows doesn't shuffle it.
+2. Cores: documents that agree in one of a few min-hashes of their rare n-grams are compared with the least among
    them, and those that are similar are put together. This only saves work and decides nothing.
 3. Within a core, similar pairs are the rule, so all its pairs are counted: along the
    global order, fragment by fragment, partial overlaps are counted separately and summed
@@ -22,8 +21,8 @@ fragment is worked on by itself:
    pairs of documents of different cores, filtered by size and position, which are compared exactly.
 
 So every pair of different sets is either counted in 3 or found in 4: no link is lost, and no
-number of partners is capped. N-grams are compared by a hash of 48 to 56 bits: two different ones
-of a pair of documents of a thousand words each meet with a chance below 1e-8.
+number of partners is capped. N-grams are compared by a hash of 43 bits (40 in tiny tables): for a pair of documents
+of a thousand words each, the chance that two different n-grams count as one is 1e-7.
 
 Defined cases: words are runs of ASCII letters, digits and non-ASCII characters, ASCII
 capitals as small letters; a text of fewer than n words has one n-gram, all its words; a
@@ -44,7 +43,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, keep, mix, ragged, whole, words
+from .common import Table, blocks, bucket_of, keep, mix, ragged, whole, words
 from .graph import components
 
 #: Pairs of words: a changed word costs a pair of texts only two n-grams, so copies with every tenth word changed, at 0.8/1.2, are still found.
@@ -58,13 +57,14 @@ POSTED, CROWD = 600_000, 4096
 LEVEL = 11
 #: Min-hashes of a document.
 SKETCH = 4
-_HASH = 56
+#: Bits of a hash, of its key in a fragment, and of the frequency class before it in a code, which has six bytes.
+_HASH, _KEY, _CLASSES = 43, 40, 31
 _MASK = np.uint64((1 << _HASH) - 1)
-_LOW = np.uint64((1 << 48) - 1)
+_LOW = np.uint64((1 << _KEY) - 1)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """(document, 56-bit n-gram), sorted, each once."""
+    """(document, 43-bit n-gram), sorted, each once."""
     h, doc, *_ = words(data, offsets)
     size = len(offsets) - 1
     count = np.bincount(doc, minlength=size)
@@ -111,34 +111,26 @@ def _pieces(part: np.ndarray, ids: np.ndarray, sizes: np.ndarray, owner: np.ndar
     for s, k in zip(*(x.tolist() for x in _runs(part))):
         own, count = _runs(owner[s : s + k])
         who = owner[s : s + k][own]
-        raw = np.ascontiguousarray(keys[s : s + k].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-        for column, v in zip(out, (int(part[s]), _small(ids[who]), _small(sizes[who]), _small(count), raw)):
+        for column, v in zip(out, (int(part[s]), _small(ids[who]), _small(sizes[who]), _small(count), _narrow(keys[s : s + k], width))):
             column.append(v)
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["part", *_NAMES])
 
 
 def _unpacked(rows: pa.Table | pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, sizes, owner, keys) of the rows, one after the other."""
-    big = zstandard.ZstdDecompressor()
-    ids, sizes, counts = (np.concatenate([np.zeros(0, np.int64), *(np.cumsum(np.frombuffer(big.decompress(v), "<i8")) for v in rows.column(c).to_pylist())]) for c in _NAMES[:3])
-    part = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint8).reshape(-1, width)
-    wide = np.zeros((len(part), 8), np.uint8)
-    wide[:, :width] = part
-    return ids, sizes, np.repeat(np.arange(len(ids), dtype=np.int32), counts), wide.view("<u8").ravel()
+    ids, sizes, counts = (_list(rows, c) for c in _NAMES[:3])
+    return ids, sizes, np.repeat(np.arange(len(ids), dtype=np.int32), counts), _wide(b"".join(rows.column("keys").to_pylist()), width)
 
 
 def _fragment(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(fragment of each n-gram, its key there): 2^bits ranges of hashes; the key has 48 bits."""
-    return (g >> np.uint64(_HASH - bits)).astype(np.uint32), g >> np.uint64(max(0, 8 - bits)) & _LOW
+    """(fragment of each n-gram, its key there): 2^bits ranges of hashes; the key has 40 bits."""
+    return (g >> np.uint64(_HASH - bits)).astype(np.uint32), g >> np.uint64(max(0, _HASH - _KEY - bits)) & _LOW
 
 
 def _whole_hash(part: np.ndarray | int, key: np.ndarray, bits: int) -> np.ndarray:
     """The n-gram again, but for the lowest bits that the key has no room for."""
-    return (np.uint64(part) >> np.uint64(max(0, bits - 8)) << np.uint64(48) | key) << np.uint64(max(0, 8 - bits))
-
-
-def _bucket(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    over = bits - (_HASH - _KEY)
+    return (np.uint64(part) >> np.uint64(max(0, over)) << np.uint64(_KEY) | key) << np.uint64(max(0, -over))
 
 
 class _Held:
@@ -169,7 +161,7 @@ def _segments(source: DataFrame, of, bits: int) -> DataFrame:  # noqa: ANN001
         def pieces() -> pa.RecordBatch:
             ids, sizes, owner, g = held.take()
             part, key = _fragment(g, cut)
-            return _pieces(part, ids, sizes, owner, key, 6)
+            return _pieces(part, ids, sizes, owner, key, 5)
 
         for batch in batches:
             for sets in of(batch):
@@ -178,11 +170,11 @@ def _segments(source: DataFrame, of, bits: int) -> DataFrame:  # noqa: ANN001
         if held.parts:
             yield pieces()
 
-    return _finer(source.mapInArrow(first, PIECES), bits, 6)
+    return _finer(source.mapInArrow(first, PIECES), bits, 5)
 
 
 def _finer(rows: DataFrame, bits: int, width: int) -> DataFrame:
-    """Rows cut at LEVEL bits are shuffled and cut further, as often as it takes. Width 6: by n-grams; width 8: by documents."""
+    """Rows cut at LEVEL bits are shuffled and cut further, as often as it takes. Width 5: by n-grams; width 6: by documents."""
     done = min(bits, LEVEL)
     while done < bits:
         new = min(bits, done + LEVEL)
@@ -192,13 +184,13 @@ def _finer(rows: DataFrame, bits: int, width: int) -> DataFrame:
 
             def pieces() -> pa.RecordBatch:
                 ids, sizes, owner, keys = held.take()
-                part, keys = _fragment(keys, new) if width == 6 else (_bucket(ids, new)[owner].astype(np.uint32), keys)
+                part, keys = _fragment(keys, new) if width == 5 else (bucket_of(ids, 1 << new)[owner].astype(np.uint32), keys)
                 return _pieces(part, ids, sizes, owner, keys, width)
 
             for batch in batches:
                 for i in range(len(batch)):
                     ids, sizes, owner, keys = _unpacked(batch.slice(i, 1), width)
-                    if held.add(ids, sizes, owner, _whole_hash(batch.column(0)[i].as_py(), keys, done) if width == 6 else keys):
+                    if held.add(ids, sizes, owner, _whole_hash(batch.column(0)[i].as_py(), keys, done) if width == 5 else keys):
                         yield pieces()
             if held.parts:
                 yield pieces()
@@ -213,17 +205,17 @@ def _shared(bits: int):  # noqa: ANN202
 
     def work(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        ids, sizes, owner, keys = _unpacked(table, 6)
+        ids, sizes, owner, keys = _unpacked(table, 5)
         order = np.argsort(keys)
         df = _runs(keys[order])[1]
         many = np.repeat(df > 1, df)
-        level = np.repeat(np.minimum(255, (8 * np.log2(df)).astype(np.int64)).astype(np.uint64), df)[many]
+        level = np.repeat(np.minimum(_CLASSES, np.log2(df).astype(np.int64)).astype(np.uint64), df)[many]
         at = order[many]
         codes = level << np.uint64(_HASH) | _whole_hash(part, keys[at], bits)
         # together by document
         order = np.argsort(owner[at], kind="stable")
         who = owner[at][order]
-        return pa.Table.from_batches([_pieces(_bucket(ids, min(bits, LEVEL))[who].astype(np.uint32), ids, sizes, who, codes[order], 8)])
+        return pa.Table.from_batches([_pieces(bucket_of(ids, 1 << min(bits, LEVEL))[who].astype(np.uint32), ids, sizes, who, codes[order], 6)])
 
     return work
 
@@ -237,7 +229,7 @@ def _alive(threshold: float):  # noqa: ANN202
     """The documents of a bucket that can have partners, their shared n-grams in the global order."""
 
     def work(table: pa.Table) -> pa.Table:
-        docs, sizes, owner, codes = _unpacked(table, 8)
+        docs, sizes, owner, codes = _unpacked(table, 6)
         ids, which = np.unique(docs, return_inverse=True)
         size = np.zeros(len(ids), np.int64)
         size[which] = sizes
@@ -250,13 +242,24 @@ def _alive(threshold: float):  # noqa: ANN202
     return work
 
 
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _wide(raw: bytes, width: int) -> np.ndarray:
+    part = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    out = np.zeros((len(part), 8), np.uint8)
+    out[:, :width] = part
+    return out.view("<u8").ravel()
+
+
 def _binaries(codes: np.ndarray, counts: np.ndarray) -> pa.Array:
-    raw, ends = codes.astype("<u8").tobytes(), np.cumsum(counts) * 8
-    return pa.array([raw[a:b] for a, b in zip((ends - counts * 8).tolist(), ends.tolist())], pa.binary())
+    raw, ends = _narrow(codes, 6), np.cumsum(counts) * 6
+    return pa.array([raw[a:b] for a, b in zip((ends - counts * 6).tolist(), ends.tolist())], pa.binary())
 
 
 def _sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(r, "<u8") for r in column.to_pylist()]
+    return [_wide(r, 6) for r in column.to_pylist()]
 
 
 def _of_texts(n: int):  # noqa: ANN202
@@ -269,18 +272,56 @@ def _of_texts(n: int):  # noqa: ANN202
     return of
 
 
-def _of_sets(batch: pa.RecordBatch) -> Iterator[tuple]:
-    ids, size, kept = (batch.column(i).to_numpy() for i in range(3))
-    for i in range(0, len(ids), 500):
-        flat = np.frombuffer(b"".join(batch.column(3)[i : i + 500].to_pylist()), "<u8")
-        yield ids[i : i + 500], size[i : i + 500], np.repeat(np.arange(len(kept[i : i + 500])), kept[i : i + 500]), flat & _MASK
+def _alive_sets(rows: DataFrame, n: int, threshold: float) -> Table:
+    """(doc_id, size, kept, grams) of the documents that share enough n-grams with others."""
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(30, max(0, math.ceil(math.log2(max(1, volume / 7 / MASS)))))
+    shared = _segments(rows, _of_texts(n), bits).repartition(1 << bits, "part").groupBy("part").applyInArrow(_shared(bits), PIECES)
+    alive = _finer(shared, bits, 6).repartition(1 << bits, "part").groupBy("part").applyInArrow(_alive(threshold), "doc_id long, size long, kept long, grams binary")
+    return Table(alive, 1 << bits, "doc_id")
 
 
-def _pruned(source: DataFrame, of, mass: int, threshold: float) -> DataFrame:  # noqa: ANN001
-    """(doc_id, size, kept, grams) of the documents that share enough n-grams with others."""
-    bits = min(32, max(0, math.ceil(math.log2(max(1, mass / MASS)))))
-    shared = _segments(source, of, bits).repartition(1 << bits, "part").groupBy("part").applyInArrow(_shared(bits), PIECES)
-    return keep(_finer(shared, bits, 8).repartition(1 << bits, "part").groupBy("part").applyInArrow(_alive(threshold), "doc_id long, size long, kept long, grams binary"))
+# Postings on their way: one row holds those of many documents in one fragment, side is the part of a crowded n-gram's postings in the tile (row, col).
+POSTINGS = "part int, row int, col int, side int, docs binary, cores binary, sizes binary, counts binary, keys binary, rests binary"
+
+
+def _posted(threshold: float, pieces: int):  # noqa: ANN202
+    """The prefixes of sets (doc_id, core, size, kept, grams)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, core, size, kept = (batch.column(i).to_numpy() for i in range(4))
+            many = kept - _least(size, threshold) + 1
+            code = np.concatenate([np.zeros(0, np.uint64), *(_wide(r[: 6 * k], 6) for r, k in zip(batch.column(4).to_pylist(), many.tolist()))])
+            owner = np.repeat(np.arange(len(many)), many)
+            rest = np.repeat(kept, many) - 1 - ragged(np.zeros(len(many), np.int64), many)
+            # the frequency class tells which n-grams have many postings: these are cut into parts, and parts meet in pairs
+            parts = -(-(np.int64(2) << (code >> np.uint64(_HASH)).astype(np.int64)) // CROWD)
+            side = (mix(ids.astype(np.uint64))[owner] % parts.astype(np.uint64)).astype(np.int64)
+            which, other = np.repeat(np.arange(len(code)), parts), ragged(np.zeros(len(code), np.int64), parts)
+            side = side[which]
+            row, col = np.minimum(side, other), np.maximum(side, other)
+            part = (mix(code[which] ^ mix((row << 32 | col).astype(np.uint64))) % np.uint64(pieces)).astype(np.int64)
+            order = np.lexsort((which, side, col, row, part))
+            which, side, row, col, part = which[order], side[order], row[order], col[order], part[order]
+            new = np.r_[True, np.any([np.diff(x) != 0 for x in (part, row, col, side)], 0)][: len(part)]
+            start = np.flatnonzero(new)
+            out: list[list] = [[] for _ in range(10)]
+            for s, e in zip(start.tolist(), np.r_[start[1:], len(part)].tolist()):
+                w = which[s:e]
+                own, count = _runs(owner[w])
+                who = owner[w][own]
+                for column, v in zip(out, (int(part[s]), int(row[s]), int(col[s]), int(side[s]), _small(ids[who]), _small(core[who]), _small(size[who]), _small(count), _narrow(code[w], 6), rest[w].astype("<i4").tobytes())):
+                    column.append(v)
+            kinds = [pa.int32()] * 4 + [pa.binary()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=[f.split()[0] for f in POSTINGS.split(", ")])
+
+    return work
+
+
+def _list(rows: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    big = zstandard.ZstdDecompressor()
+    return np.concatenate([np.zeros(0, np.int64), *(np.cumsum(np.frombuffer(big.decompress(v), "<i8")) for v in rows.column(name).to_pylist())])
 
 
 def _candidates(threshold: float):  # noqa: ANN202
@@ -290,10 +331,14 @@ def _candidates(threshold: float):  # noqa: ANN202
     """
 
     def work(table: pa.Table) -> pa.Table:
-        doc, core, size, rest, gram, side, row, col = (table.column(c).to_numpy() for c in ("doc_id", "core", "size", "rest", "gram", "side", "row", "col"))
+        doc, core, size, counts = (_list(table, c) for c in ("docs", "cores", "sizes", "counts"))
+        gram, rest = _wide(b"".join(table.column("keys").to_pylist()), 6), np.frombuffer(b"".join(table.column("rests").to_pylist()), "<i4")
+        each = [len(x) // 4 for x in table.column("rests").to_pylist()]
+        row, col, side = (np.repeat(table.column(c).to_numpy(), each) for c in ("row", "col", "side"))
         ids, who = np.unique(doc, return_inverse=True)
+        who, core, size = (np.repeat(x, counts) for x in (who, core, size))
         order = np.lexsort((who, core, col, row, gram))
-        gram, who, core, side, row, col, size, rest = gram[order], who[order], core[order], side[order], row[order], col[order], size[order].astype(np.int64), rest[order].astype(np.int64)
+        gram, who, core, side, row, col, size, rest = gram[order], who[order], core[order], side[order], row[order], col[order], size[order], rest[order].astype(np.int64)
         new = np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1])][: len(gram)]
         place = np.arange(len(gram))
         start = np.maximum.accumulate(np.where(new, place, 0))
@@ -330,10 +375,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return keep(both.where(F.col("overlap").cast("double") / (F.col("sa") + F.col("sb") - F.col("overlap")).cast("double") >= threshold).select("a", "b"))
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [[int(mix((g & _MASK) + np.uint64(k << _HASH)).min()) - (1 << 63) for k in range(SKETCH)] for g in _sets(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "keys"])
+def _sketched(threshold: float):  # noqa: ANN202
+    """Min-hashes of the prefixes of sets (doc_id, size, kept, grams): what is common to unlike documents comes last in the order."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = batch.column(2).to_numpy() - _least(batch.column(1).to_numpy(), threshold) + 1
+            rare = (_wide(r[: 6 * k], 6) for r, k in zip(batch.column(3).to_pylist(), many.tolist()))
+            out = [[int(mix(g + np.uint64(k << 50)).min()) - (1 << 63) for k in range(SKETCH)] for g in rare]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "keys"])
+
+    return work
 
 
 def links_within(ids: np.ndarray, size: np.ndarray, part: np.ndarray, sets: list[np.ndarray], threshold: float, row: int, col: int, side: int = 1024, span: int = 4096) -> np.ndarray:
@@ -416,19 +468,18 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
     if not repeated.isEmpty():
         once = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
         rows = rows.join(repeated, "doc_id", "left_anti").unionAll(once)
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    alive = _pruned(rows, _of_texts(n), volume // 7, threshold)
+    table = _alive_sets(rows, n, threshold)
+    alive = table.df
 
     # documents with the same set; a set that lost n-grams had some that no other has
     signs = alive.where("kept = size").select("doc_id", "size", F.md5("grams").alias("sign"))
     least = signs.groupBy("size", "sign").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = keep(signs.join(least, ["size", "sign"]).where("doc_id <> rep").select("doc_id", "rep"))
     sets = alive.join(copies.select("doc_id"), "doc_id", "left_anti")
-    sets = _pruned(sets, _of_sets, sets.agg(F.sum("kept")).first()[0] or 0, threshold)
     total = sets.agg(F.sum("kept")).first()[0] or 0
 
     # cores
-    keys = sets.select("doc_id", "grams").mapInArrow(_sketched, "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("k", "key"))
+    keys = sets.select("doc_id", "size", "kept", "grams").mapInArrow(_sketched(threshold), "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("k", "key"))
     first = keys.groupBy("k", "key").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = keep(keys.join(first, ["k", "key"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
     core = components(_similar(near, sets, threshold)).select(F.col("node").alias("doc_id"), F.col("component").alias("core"))
@@ -442,21 +493,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
     within = keep(within.groupBy("doc_id").agg(F.sum("links").alias("links")))
 
     # pairs between cores
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, kept = (batch.column(i).to_numpy() for i in (2, 3))
-            many = kept - _least(size, threshold) + 1
-            flat = [g[:c] for g, c in zip(_sets(batch.column(4)), many.tolist())]
-            rest = np.repeat(kept, many) - 1 - ragged(np.zeros(len(many), np.int64), many)
-            which = np.repeat(np.arange(len(many)), many)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(which)) for i in range(3)), pa.array(rest), pa.array(np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64))], names=["doc_id", "core", "size", "rest", "gram"])
-
-    posted = sets.join(core, "doc_id", "left").select("doc_id", F.coalesce("core", "doc_id").alias("core"), "size", "kept", "grams").mapInArrow(post, "doc_id long, core long, size long, rest long, gram long")
-    # the frequency class tells which n-grams have many postings
-    df = F.pow(F.lit(2.0), (F.shiftrightunsigned("gram", _HASH) + 1) / 8)
-    posted = posted.withColumn("parts", F.ceil(df / CROWD).cast("int")).withColumn("side", _spread("doc_id", F.col("parts"))).withColumn("tile", F.explode(_tiles("parts", "side")))
-    pieces = F.lit(max(1, math.ceil(total * (1 - threshold) / POSTED)))
-    posted = posted.select("doc_id", "core", "size", "rest", "gram", "side", "tile.row", "tile.col", F.pmod(F.xxhash64("gram", "tile.row", "tile.col"), pieces).cast("int").alias("part"))
+    posted = sets.join(core, "doc_id", "left").select("doc_id", F.coalesce("core", "doc_id").alias("core"), "size", "kept", "grams")
+    posted = posted.mapInArrow(_posted(threshold, max(1, math.ceil(total * (1 - threshold) / POSTED))), POSTINGS)
     pairs = keep(posted.groupBy("part").applyInArrow(_candidates(threshold), "a long, b long").distinct())
     across = _similar(pairs, sets, threshold)
 
@@ -470,6 +508,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
     named = named.join(links, "doc_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")).where("class_id <> doc_id or links > 0")
     found = named.join(copies.withColumnRenamed("doc_id", "copy"), F.col("doc_id") == F.col("rep"), "right").select(F.col("copy").alias("doc_id"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     found = keep(named.unionAll(found))
+    table.drop()
     return everyone.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 

@@ -10,7 +10,7 @@ fragment is worked on by itself:
    can have no partner and is dropped. Documents with the same set are represented by
    the one of least doc_id. The global order is (frequency class, hash), rare first. The
    sets are written as a table in buckets of doc_id, so that what follows doesn't shuffle it.
-2. Cores: documents that agree in one of a few min-hashes of their rare n-grams are compared with the least among
+2. Cores: documents that agree in one of a few pairs of min-hashes of their rare n-grams are compared with the least among
    them, and those that are similar are put together. This only saves work and decides nothing.
 3. Within a core, similar pairs are the rule, so all its pairs are counted: along the
    global order, fragment by fragment, partial overlaps are counted separately and summed
@@ -40,11 +40,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, blocks, bucket_of, keep, mix, ragged, whole, words
-from .graph import components
+from .common import Table, blocks, bucket_of, keep, lists, mix, ragged, whole, words
+from .cores import classified, cores, leaders, placed
 
 #: Pairs of words: a changed word costs a pair of texts only two n-grams, so copies with every tenth word changed, at 0.8/1.2, are still found.
 N = 2
@@ -55,8 +55,8 @@ MASS, CHUNK, PART = 3_000_000, 400_000, 1_000_000
 POSTED, CROWD = 600_000, 4096
 #: Bits by which fragments are told apart in one shuffle; more of them take another, so that the pieces of a chunk stay large.
 LEVEL = 11
-#: Min-hashes of a document.
-SKETCH = 4
+#: Pairs of min-hashes of a document.
+SKETCH = 5
 #: Bits of a hash, of its key in a fragment, and of the frequency class before it in a code, which has six bytes.
 _HASH, _KEY, _CLASSES = 43, 40, 31
 _MASK = np.uint64((1 << _HASH) - 1)
@@ -376,14 +376,16 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _sketched(threshold: float):  # noqa: ANN202
-    """Min-hashes of the prefixes of sets (doc_id, size, kept, grams): what is common to unlike documents comes last in the order."""
+    """Pairs of min-hashes of the prefixes of sets (doc_id, size, kept, grams): what is common to unlike documents comes last in the order, and seldom agrees twice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             many = batch.column(2).to_numpy() - _least(batch.column(1).to_numpy(), threshold) + 1
-            rare = (_wide(r[: 6 * k], 6) for r, k in zip(batch.column(3).to_pylist(), many.tolist()))
-            out = [[int(mix(g + np.uint64(k << 50)).min()) - (1 << 63) for k in range(SKETCH)] for g in rare]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "keys"])
+            rare = np.concatenate([np.zeros(0, np.uint64), *(_wide(r[: 6 * k], 6) for r, k in zip(batch.column(3).to_pylist(), many.tolist()))])
+            start = np.cumsum(many) - many
+            least = [np.minimum.reduceat(mix(rare + np.uint64(k << 50)), start) if len(rare) else rare for k in range(2 * SKETCH)]
+            keys = np.stack([mix(x ^ mix(y)) for x, y in zip(least[::2], least[1::2])], 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(keys.ravel(), np.arange(len(keys) + 1) * SKETCH, pa.int64())], names=["doc_id", "keys"])
 
     return work
 
@@ -445,15 +447,6 @@ def _core_links(threshold: float):  # noqa: ANN202
     return work
 
 
-def _tiles(parts: str, part: str):  # noqa: ANN202
-    """An array of the tiles (row, col) with row <= col that a part takes part in."""
-    return F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda i: F.struct(F.least(i, F.col(part)).alias("row"), F.greatest(i, F.col(part)).alias("col")))
-
-
-def _spread(column: str, n) -> Column:  # noqa: ANN001
-    return F.pmod(F.xxhash64(column), n).cast("int")
-
-
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """(doc_id, class_id, links): one row for each document.
 
@@ -478,18 +471,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
     sets = alive.join(copies.select("doc_id"), "doc_id", "left_anti")
     total = sets.agg(F.sum("kept")).first()[0] or 0
 
-    # cores
-    keys = sets.select("doc_id", "size", "kept", "grams").mapInArrow(_sketched(threshold), "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("k", "key"))
-    first = keys.groupBy("k", "key").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = keep(keys.join(first, ["k", "key"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct())
-    core = components(_similar(near, sets, threshold)).select(F.col("node").alias("doc_id"), F.col("component").alias("core"))
-
-    # pairs within a core; a small core shares a bucket with others
-    held = keep(sets.select("doc_id", "size", "kept").join(core, "doc_id").groupBy("core").agg(F.sum("kept").alias("mass")))
-    held = held.select("core", F.ceil(F.col("mass") / PART).cast("int").alias("parts"), _spread("core", F.lit(max(1, math.ceil(total / PART)))).alias("bucket"))
-    placed = sets.select("doc_id", "size", "grams").join(core.join(held, "core"), "doc_id").withColumn("part", _spread("doc_id", F.col("parts")))
-    placed = placed.withColumn("tile", F.explode(_tiles("parts", "part"))).select("doc_id", "core", "size", "grams", "part", "tile.row", "tile.col", F.when(F.col("parts") == 1, F.struct(F.lit(-1).cast("long").alias("core"), F.col("bucket").alias("row"), F.lit(0).alias("col"))).otherwise(F.struct("core", "tile.row", "tile.col")).alias("grp"))
-    within = placed.groupBy("grp").applyInArrow(_core_links(threshold), "doc_id long, links long")
+    near = leaders(sets.select("doc_id", "size", "kept", "grams").mapInArrow(_sketched(threshold), "doc_id long, keys array<long>"))
+    core = cores(_similar(near, sets, threshold))
+
+    within = placed(sets.select("doc_id", "size", "kept", "grams"), core, "kept", PART).drop("kept")
+    within = within.groupBy("grp").applyInArrow(_core_links(threshold), "doc_id long, links long")
     within = keep(within.groupBy("doc_id").agg(F.sum("links").alias("links")))
 
     # pairs between cores
@@ -498,18 +484,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame
     pairs = keep(posted.groupBy("part").applyInArrow(_candidates(threshold), "a long, b long").distinct())
     across = _similar(pairs, sets, threshold)
 
-    ends = across.select(F.col("a").alias("doc_id")).unionAll(across.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("links"))
-    links = within.unionAll(ends).groupBy("doc_id").agg(F.sum("links").alias("links"))
-    # cores joined by links across them
-    named = lambda x: core.select(F.col("doc_id").alias(x), F.col("core").alias(f"c{x}"))
-    crossed = across.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = components(crossed).withColumnRenamed("node", "core").withColumnRenamed("component", "joined")
-    named = sets.select("doc_id").join(core, "doc_id", "left").withColumn("core", F.coalesce("core", "doc_id")).join(joined, "core", "left").select("doc_id", F.coalesce("joined", "core").alias("class_id"))
-    named = named.join(links, "doc_id", "left").select("doc_id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")).where("class_id <> doc_id or links > 0")
-    found = named.join(copies.withColumnRenamed("doc_id", "copy"), F.col("doc_id") == F.col("rep"), "right").select(F.col("copy").alias("doc_id"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    found = keep(named.unionAll(found))
+    out = classified(everyone, sets, copies, core, within, across)
     table.drop()
-    return everyone.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:

@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole
+
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, int]:
     """((vec_id, v), dimension): rows with an id and a finite vector that is not zero and has the most common length (the least such length in a tie).
 
-    Of rows that repeat an id, the one of least vector counts.
+    Of rows that repeat an id, the one of least vector counts. An id that is no whole number counts as null.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
+    rows = df.select(whole(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return rows, 0

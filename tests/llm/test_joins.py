@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from quillspark.llm import ann, ngram_join, vector_dedup
+from quillspark.llm import ann, cores, ngram_join, vector_dedup
 from quillspark.llm.graph import components
 from quillspark.llm.vectors import unit, usable
 
@@ -47,6 +47,7 @@ SIZES = {"MASS": (2_000, 150), "CHUNK": (3_000, 500), "PART": (1_500, 100), "POS
 
 @pytest.mark.parametrize("scale", [None, 0, 1])
 def test_join_against_brute_force(spark, monkeypatch, scale):
+    monkeypatch.setattr(cores, "STAR", 1000 if scale is None else 5)
     for name, small in SIZES.items() if scale is not None else ():  # several fragments of every kind, cores in parts, crowded n-grams, cuts in two steps
         monkeypatch.setattr(ngram_join, name, small[scale])
     rng = np.random.default_rng(7)
@@ -136,27 +137,37 @@ def vectors(spark):
     return spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, a int, v int").repartition(3), m
 
 
-@pytest.mark.parametrize("cell", [2048, 8])
-def test_near_pairs_against_brute_force(spark, vectors, monkeypatch, cell):
+@pytest.mark.parametrize("cell", [1024, 8])
+def test_near_classes_against_brute_force(spark, vectors, monkeypatch, cell):
     monkeypatch.setattr(vector_dedup, "CELL", cell)  # small cells: more axes, and crowded ones are cut up
+    monkeypatch.setattr(vector_dedup, "PART", cell)
+    monkeypatch.setattr(vector_dedup, "SKETCH", 6 if cell > 8 else 1)
     df, m = vectors
-    got = {(r.vec_a, r.vec_b): r.cosine for r in vector_dedup.near_pairs(df, cosine=0.93).collect()}
+    got = sorted(map(tuple, vector_dedup.near_classes(df, cosine=0.93).collect()))
     u = unit(m)
-    s = u @ u.T
-    first = {}
-    want = {}
+    like = u @ u.T >= 0.93
+    first, rep = {}, {}
     for i, v in enumerate(m):
-        r = first.setdefault(v.tobytes(), i)
-        if r != i:
-            want[r, i] = 1.0
+        rep[i] = first.setdefault(v.tobytes(), i)
     reps = sorted(first.values())
-    for k, a in enumerate(reps):
-        want |= {(a, b): s[a, b] for b in reps[k + 1 :] if s[a, b] >= 0.93}
-    assert got.keys() == want.keys() and len(got) > 100
-    assert max(abs(got[k] - want[k]) for k in got) < 1e-9
+    up, links = dict(rep), dict.fromkeys(reps, 0)
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in reps:
+        for b in reps:
+            if a < b and like[a, b]:
+                links[a], links[b] = links[a] + 1, links[b] + 1
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    want = [(i, top(i), links[rep[i]]) for i in rep] + [(i, i, 0) for i in range(2000, 2004)]
+    assert got == sorted(want) and sum(links.values()) > 400
     none = df.where("false")
-    assert vector_dedup.near_pairs(none).count() == ann.neighbours(none).count() == 0
-    assert vector_dedup.near_pairs(df.where("vec_id >= 2000")).count() == 0
+    assert vector_dedup.near_classes(none).count() == ann.neighbours(none).count() == 0
+    assert sorted(map(tuple, vector_dedup.near_classes(df.where("vec_id >= 2000")).collect())) == [(i, i, 0) for i in range(2000, 2004)]
 
 
 def test_usable(vectors):
@@ -168,7 +179,7 @@ def test_cells_cover_the_ball():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 3)) * 0.2
     home, row, cell = vector_dedup.cells(x, 0.1, 3)
-    probes = set(zip(row.tolist(), cell.tolist()))
+    probes = set(zip(row.tolist(), cell.tolist())) | set(enumerate(home.tolist()))
     for i in range(300):
         for j in np.flatnonzero(((x - x[i]) ** 2).sum(1) <= 0.01):
             assert (i, int(home[j])) in probes
@@ -177,34 +188,36 @@ def test_cells_cover_the_ball():
 def test_neighbours_recall_and_ties(spark, vectors):
     df, m = vectors
     got = {}
-    for r in ann.neighbours(df, k=10, rerank=60).collect():
+    for r in ann.neighbours(df, k=10, rerank=60, every=3).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     s = m.astype(float) @ m.astype(float).T
     np.fill_diagonal(s, -np.inf)
-    assert set(got) == set(range(len(m)))
+    assert set(got) == set(range(0, len(m), 3))
     hits = 0
     for i, rows in got.items():
         rows.sort()
         assert [r[0] for r in rows] == list(range(1, 11))
         assert all(abs(v - s[i, j]) < 1e-4 for _, j, v in rows) and rows == sorted(rows, key=lambda r: (-r[2], r[1]))
         hits += len({r[1] for r in rows} & set(np.argsort(-s[i], kind="stable")[:10].tolist()))
-    assert hits / (10 * len(m)) >= 0.9
-    few = ann.neighbours(df.where("vec_id < 4"), k=10).collect()
+    assert hits / (10 * len(got)) >= 0.9
+    few = ann.neighbours(df.where("vec_id < 4"), k=10, every=1).collect()
     assert len(few) == 12 and all(r.query_id != r.vec_id for r in few)
+    assert ann.neighbours(df.where("vec_id in (1, 2)"), every=50).count() == 0  # no query among them
 
 
-def test_neighbours_within_large_groups_are_exact(spark):
+def test_neighbours_within_large_groups_are_exact(spark, monkeypatch):
     rng = np.random.default_rng(5)
     centre = rng.standard_normal((2, 16))
     near = centre[:1] + rng.standard_normal((2000, 16)) * 1e-3
     m = np.concatenate([rng.standard_normal((500, 16)), near, np.repeat(centre[1:], 400, 0)]).astype(np.float32)
     m = m[rng.permutation(len(m))]
+    monkeypatch.setattr(ann, "SHARD", 1000)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>").repartition(3)
     got = {}
-    for r in ann.neighbours(df, k=10).orderBy("query_id", "rank").collect():
+    for r in ann.neighbours(df, k=10, every=7).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     wide = m.astype(float)
-    for i in range(len(m)):
+    for i in range(0, len(m), 7):
         s = np.einsum("d,nd->n", wide[i], wide)
         s[i] = -np.inf
         assert got[i] == np.argsort(-s, kind="stable")[:10].tolist()

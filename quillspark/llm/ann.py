@@ -2,21 +2,20 @@
 
 Vectors are product-quantised, two coordinates to a four-bit code. The quantiser's
 loss weighs the residual's part along the vector more than the part across it, because
-only the former moves the large inner products. Codebooks are fitted to all
-vectors: each round assigns codes on the executors and sends sums of fixed size to the
-driver. For a query, inner products with the codewords form tables of sixteen; a
+only the former moves the large inner products. Codebooks are fitted to a sample of at most
+``max_train`` vectors (those of least hashed id); every vector is indexed. For a query, inner products with the codewords form tables of sixteen; a
 scan adds up table entries by code. The exact inner products of the best ``rerank`` of a shard
 give a score that the k-th best has at least; every row that may reach it, by its approximate score and the
 length of its residual, is then reranked exactly. So the result is exact.
 
 Of a shard's equal vectors only the k + 1 of least vec_id can be among the k best of any query; the others are not scanned.
 
-Every row is a query against all others: shards of the data meet blocks of queries,
-so that the work is quadratic but its memory bounded, and no row is left out.
+Queries are the rows whose id is divisible by ``every``, and each meets all rows: shards of the data meet blocks of queries,
+so that memory is bounded, and no row is left out.
 
 Defined cases: see ``vectors.usable``; a vector is not its own neighbour; with fewer than
 k others all of them are returned; equal scores rank by vec_id; other columns are
-ignored; an empty table gives an empty result.
+ignored, whatever their names; an empty table, or one without a query, gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ from .vectors import matrix, usable
 CODES = 16
 PAIR = 2
 #: Rows of a data shard and of a block of queries.
-SHARD, QUERIES = 65_536, 4_096
+SHARD, QUERIES = 16_384, 16_384
 #: Rounding of sums in single precision, as a share of the vectors' lengths.
 SLACK, ROUND, TINY = np.float32(1e-5), np.float32(1e-6), np.float32(1e-30)
 
@@ -91,34 +90,25 @@ def sums(x: np.ndarray, books: np.ndarray, eta: float) -> np.ndarray:
     return out
 
 
-def train(rows: DataFrame, dim: int, eta: float, rounds: int = 6) -> np.ndarray:
-    """Codebooks fitted to all vectors; the start is taken from those of least hashed id."""
-    first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(64 * CODES).toArrow()
+def train(rows: DataFrame, dim: int, eta: float, max_train: int, rounds: int = 6) -> np.ndarray:
+    """Codebooks fitted on the driver to the vectors of least hashed id, max_train of them at most."""
+    first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_train).toArrow()
     x = _padded(matrix(first.column("v"), dim))
     x = x[np.argsort(first.column("vec_id").to_numpy())]
     m = x.shape[1] // PAIR
-    parts = x.reshape(len(x), m, PAIR)
+    some = x[:: max(1, len(x) // (64 * CODES))]
+    parts = some.reshape(len(some), m, PAIR)
     start = np.random.default_rng(3)
-    books = np.stack([parts[start.choice(len(x), CODES, len(x) < CODES), j] for j in range(m)])
+    books = np.stack([parts[start.choice(len(some), CODES, len(some) < CODES), j] for j in range(m)])
     books = books + start.standard_normal(books.shape) * 1e-6  # so that equal points part
-    for _ in range(8):  # plain k-means on the start sample
+    for _ in range(8):  # plain k-means to begin with
         for j in range(m):
             c = ((parts[:, j, None] - books[j]) ** 2).sum(2).argmin(1)
             count = np.bincount(c, minlength=CODES)
             for i in range(PAIR):
                 books[j, :, i] = np.where(count > 0, np.bincount(c, parts[:, j, i], CODES) / np.maximum(count, 1), books[j, :, i])
     for _ in range(rounds):
-
-        def work(batches: Iterator[pa.RecordBatch], books: np.ndarray = books) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((m, CODES, 6))
-            for batch in batches:
-                for i in range(0, len(batch), 4096):
-                    total += sums(_padded(matrix(batch.column(1)[i : i + 4096], dim)), books, eta)
-            flat = total.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "v"])
-
-        got = rows.select("vec_id", "v").mapInArrow(work, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow().sort_by("i")
-        s = got.column("v").to_numpy().reshape(m, CODES, 6)
+        s = sum(sums(x[i : i + 4096], books, eta) for i in range(0, len(x), 4096))
         a = np.stack([np.stack([s[..., 0], s[..., 1]], -1), np.stack([s[..., 1], s[..., 2]], -1)], -2)
         used = s[..., 0] > 0
         a[~used] = np.eye(PAIR)
@@ -184,19 +174,21 @@ def unneeded(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def neighbours(df: DataFrame, k: int = 10, rerank: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows of largest inner product with each row."""
+def neighbours(df: DataFrame, k: int = 10, every: int = 50, rerank: int = 200, max_train: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k rows of largest inner product with each row whose id is divisible by ``every``."""
     rows, dim = usable(df, id_col, vector_col)
     schema = "query_id long, vec_id long, score double"
+    none = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not dim:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return none
     rows = keep(rows)
-    total = rows.count()
-    if not total:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    chosen = rows.where(F.col("vec_id") % every == 0)
+    total, asked = rows.count(), chosen.count()
+    if not asked:
+        return none
     eta = max(1.0, weight(dim))
-    books = train(rows, dim, eta)
-    shards, groups = -(-total // SHARD), -(-total // QUERIES)
+    books = train(rows, dim, eta, max_train)
+    shards, groups = -(-total // SHARD), -(-asked // QUERIES)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +200,7 @@ def neighbours(df: DataFrame, k: int = 10, rerank: int = 200, id_col: str = "vec
     spread = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     coded = keep(rows.select("vec_id", "v").mapInArrow(encode, "vec_id long, v array<float>, codes binary, along double, across double"))
     data = coded.withColumn("shard", spread(shards, "shard")).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asks = rows.withColumn("grp", spread(groups, "grp")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asks = chosen.withColumn("grp", spread(groups, "grp")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -253,3 +245,12 @@ def neighbours(df: DataFrame, k: int = 10, rerank: int = 200, id_col: str = "vec
     found = asks.select("vec_id", "v", "grp", "shard").groupBy("grp", "shard").cogroup(data.groupBy("grp", "shard")).applyInArrow(search, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def oracle(k: int = 10, every: int = 50) -> str:
+    """The same neighbours in SQL, scores to six places."""
+    return f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= {k}"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, bpe, ngram_join, packing, quality, secrets, sharding, token_ids, toxicity, vector_dedup
 from .common import read
@@ -16,7 +17,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_dedup.near_pairs(read(spark, sf_dir, "embeddings"))
+    return vector_dedup.near_classes(read(spark, sf_dir, "embeddings"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.neighbours(read(spark, sf_dir, "embeddings"))
+    return ann.neighbours(read(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +61,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op2_embedding_near_dedup": vector_dedup.oracle(), "op3_secret_scans": secrets.oracle(), "op5_ngram_jaccard_join": ngram_join.oracle()}
+ORACLES: dict[str, str] = {"op2_embedding_near_dedup": vector_dedup.oracle(), "op3_secret_scans": secrets.oracle(), "op5_ngram_jaccard_join": ngram_join.oracle(), "op9_nearest_neighbours": ann.oracle()}

@@ -7,27 +7,35 @@ unlabelled documents that it is sure of and hands them to the other. Held-out
 labelled documents then calibrate each view and set how the two are combined, and
 every document is scored.
 
-The fit uses at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents
-(those of least hashed id); scoring covers every document and its whole text.
-
-Defined cases: a null or empty text has all-zero statistics; null metadata is a
+The fit uses at most ``max_labelled`` labelled documents (those of least hashed id), one row of
+each. The pool of unlabelled documents is the whole table: the bins' edges are quantiles over all documents, and
+in each round each view hands on the ``per_round`` documents of a class that it is surest of
+among all (how many are handed on in a round is the method's step, not a sample). Features of all documents are
+computed once for that and kept in the checkpoint folder; a round reads them and sends those few rows to the driver.
+Scoring covers every document and its whole text.
+
+Defined cases: a null or empty text has all-zero statistics; null metadata (or a missing column) is a
 value of its own; a document is kept when its combined probability of good quality
 reaches ``threshold``; with labels of one class only (or none) everything is kept;
-null labels and labels of unknown documents are left out; repeated rows are scored
-each on its own.
+null labels and labels of unknown documents are left out, of a document's several labels the worse one counts. Repeated rows are scored
+each on its own; in the fit the one of least features stands for rows that repeat a labelled id. An id that is no whole number counts as
+null, and its row is scored all the same. Documents of which a view is equally sure are handed on by a hash of their features, and
+all the others are in the order of their ids, so the fit does not depend on the order of rows. Very long texts are worked on whole, a block
+each. Further columns, whatever their names, are ignored by ``train`` and ``score`` and kept by ``good``. An empty table gives an empty
+result, and no fit.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, blocks, lists, words
+from .common import WORD, blocks, keep, lists, whole, words
 
 STATS = 14
 BINS = 12
@@ -114,40 +122,37 @@ def _logistic(z: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
     return w
 
 
-def cotrain(stats: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4, sure: float = 0.97, per_round: int = 400) -> dict:
-    """Fit both views. y is 1 good, 0 bad, -1 unlabelled; every third labelled row is held out for calibration."""
-    labelled = np.flatnonzero(y >= 0)
-    if not len(labelled) or len(np.unique(y[labelled])) < 2:
+#: From (models, calibration) of both views: (view that is sure, class, statistics, metadata) of documents to be handed on.
+Pool = Callable[[list, list], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def cotrain(stats: np.ndarray, meta: np.ndarray, y: np.ndarray, edges: np.ndarray, pool: Pool, rounds: int = 4) -> dict:
+    """Fit both views. y is 1 good, 0 bad; every third row is held out for calibration."""
+    if not len(y) or len(np.unique(y)) < 2:
         return {}
-    edges = np.quantile(stats, np.linspace(0, 1, BINS + 1)[1:-1], axis=0)
-    views = [bins(stats, edges), meta]
-    held, seen = labelled[::3], np.setdiff1d(labelled, labelled[::3])
+    rows = np.arange(len(y))
+    held, seen = rows[::3], np.setdiff1d(rows, rows[::3])
     if len(np.unique(y[held])) < 2 or len(np.unique(y[seen])) < 2:
-        held = seen = labelled
-    sizes = (STATS * BINS, META_SIZE)
-    own = [{int(i): (int(y[i]), 1.0) for i in seen} for _ in views]  # training rows of each view: row -> (label, weight)
-    pool = set(np.flatnonzero(y < 0).tolist())
-    models, calibration = [None, None], [None, None]
+        held = seen = rows
+    views, sizes = [bins(stats, edges), meta], (STATS * BINS, META_SIZE)
+    own = [(x[seen], y[seen].astype(float), np.ones(len(seen))) for x in views]  # training rows of each view, targets, weights
+    models, calibration, handed = [None, None], [None, None], [0, 0]
     for r in range(rounds + 1):
         for k, x in enumerate(views):
-            rows = np.array(list(own[k]))
-            target, weight = np.array(list(own[k].values())).T
-            models[k] = Additive(sizes[k]).fit(x[rows], target, weight)
+            models[k] = Additive(sizes[k]).fit(*own[k])
             calibration[k] = _logistic(models[k].score(x[held])[:, None], y[held])
-        if r == rounds or not pool:
+        if r == rounds:
+            break
+        sure, cls, s, m = pool(models, calibration)
+        for k in range(2):
+            mine = np.flatnonzero(sure == 1 - k)
+            handed[k] += len(mine)
+            more = (bins(s[mine], edges), m[mine])[k]
+            own[k] = tuple(np.concatenate(x) for x in zip(own[k], (more, cls[mine].astype(float), np.full(len(mine), 0.5))))
+        if not len(sure):
             break
-        for k, x in enumerate(views):
-            rows = np.array(sorted(pool - own[1 - k].keys()), np.int64)
-            if not len(rows):
-                continue
-            a, b = calibration[k]
-            p = 1 / (1 + np.exp(-np.clip(a * models[k].score(x[rows]) + b, -30, 30)))
-            for cls, certainty in ((1, p), (0, 1 - p)):
-                best = np.argsort(-certainty, kind="stable")[:per_round]
-                for i in best[certainty[best] >= sure]:
-                    own[1 - k][int(rows[i])] = (cls, 0.5)
     both = np.stack([a * m.score(x[held]) + b for (a, b), m, x in zip(calibration, models, views)], 1)
-    return {"edges": edges, "models": models, "calibration": calibration, "combine": _logistic(both, y[held]), "handed": [len(o) - len(seen) for o in own]}
+    return {"edges": edges, "models": models, "calibration": calibration, "combine": _logistic(both, y[held]), "handed": handed}
 
 
 def bins(stats: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -167,30 +172,58 @@ def predict(model: dict, stats: np.ndarray, meta: np.ndarray) -> tuple[np.ndarra
 def _columns(docs: DataFrame) -> list:
     there = set(docs.columns)
     kinds = {"source": "string", "lang": "string", "n_chars": "long"}
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *((F.col(c) if c in there else F.lit(None)).cast(k).alias(c) for c, k in kinds.items())]
+    return [whole("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), *((F.col(c) if c in there else F.lit(None)).cast(k).alias(c) for c, k in kinds.items())]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int = 6000, seed: int = 11) -> dict:
-    """Co-train on labelled and unlabelled documents of docs."""
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y is not null")
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, per_round: int = 400, sure: float = 0.97, seed: int = 11) -> dict:
+    """Co-train on the labelled documents of docs and all others. sure: the certainty from which a document is handed on."""
+    known = labels.select(whole("doc_id").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_labelled)
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).where("id is not null")
-    pool = ids.join(labels.select(F.col("doc_id").cast("long").alias("id")), "id", "left_anti").distinct().orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_pool)
-    # at most max_labelled + max_pool ids are broadcast
-    wanted = F.broadcast(known.unionAll(pool.select("id", F.lit(-1).alias("y"))))
-    chosen = docs.select(*_columns(docs)).join(wanted, F.col("doc_id") == F.col("id")).select("y", "text", "source", "lang", "n_chars", "id")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in blocks(batch.column(1)):
                 s, m = statistics(data, offsets), metadata(batch, first, last)
                 n = np.arange(last - first + 1)
-                yield pa.RecordBatch.from_arrays([batch.column(5)[first:last], batch.column(0)[first:last], lists(s.ravel(), n * STATS, pa.float64()), lists(m.ravel(), n * 4, pa.int32())], names=["id", "y", "s", "m"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], lists(s.ravel(), n * STATS, pa.float32()), lists(m.ravel(), n * 4, pa.int32())], names=["id", "s", "m"])
+
+    # at most max_labelled ids are broadcast
+    known = F.broadcast(keep(known))
+    all_rows = keep(docs.select(*_columns(docs)).mapInArrow(features, "id long, s array<float>, m array<int>"))
+    rows = all_rows.join(known, "id").groupBy("id").agg(F.max("y").alias("y"), F.min(F.struct("s", "m")).alias("x")).select("id", "y", "x.s", "x.m").toArrow().sort_by("id")
+    if not rows.num_rows:
+        return {}
+    cuts = [k / BINS for k in range(1, BINS)]
+    edges = np.array(all_rows.agg(*(F.percentile_approx(F.col("s")[i], cuts, 10_000).alias(str(i)) for i in range(STATS))).first()).T.astype(float)
+    rest = all_rows.join(known, "id", "left_anti").select(F.xxhash64("id", "s", "m").alias("h"), "s", "m")
+    taken: list[list[int]] = [[], []]  # hashes of what each view has been handed
+
+    def pool(models: list, calibration: list) -> tuple:
+        done = [np.array(sorted(t), np.int64) for t in taken]
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h, s, m = batch.column(0).to_numpy(), *(batch.column(i).flatten().to_numpy().reshape(len(batch), -1) for i in (1, 2))
+                for k, x in enumerate((bins(s.astype(float), edges), m.astype(np.int64))):
+                    (a, b), fresh = calibration[k], ~np.isin(h, done[1 - k])
+                    p = 1 / (1 + np.exp(-np.clip(a * models[k].score(x) + b, -30, 30)))
+                    for cls, certainty in ((1, p), (0, 1 - p)):
+                        at = np.flatnonzero(fresh & (certainty >= sure))
+                        at = at[np.lexsort((h[at], -certainty[at]))][:per_round]
+                        take = pa.array(at)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), cls, np.int32)), pa.array(certainty[at]), *(batch.column(i).take(take) for i in range(3))], names=["view", "cls", "certainty", "h", "s", "m"])
+
+        best = F.row_number().over(Window.partitionBy("view", "cls").orderBy(F.desc("certainty"), "h"))
+        got = rest.mapInArrow(work, "view int, cls int, certainty double, h long, s array<float>, m array<int>").dropDuplicates(["view", "cls", "h"])
+        got = got.withColumn("best", best).where(F.col("best") <= per_round).toArrow().sort_by([("view", "ascending"), ("cls", "ascending"), ("best", "ascending")])
+        n, view, h = got.num_rows, got.column("view").to_numpy(), got.column("h").to_numpy()
+        for k in range(2):
+            taken[1 - k] += h[view == k].tolist()
+        return view, got.column("cls").to_numpy(), *(got.column(c).combine_chunks().flatten().to_numpy().reshape(n, k) for c, k in (("s", STATS), ("m", 4)))
 
-    rows = chosen.mapInArrow(work, "id long, y int, s array<double>, m array<int>").toArrow().sort_by("id")
     n = rows.num_rows
     flat = lambda c, k: rows.column(c).combine_chunks().flatten().to_numpy().reshape(n, k)
-    return cotrain(flat("s", STATS), flat("m", 4).astype(np.int64), rows.column("y").to_numpy())
+    return cotrain(flat("s", STATS).astype(float), flat("m", 4).astype(np.int64), rows.column("y").to_numpy(), edges, pool)
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
@@ -200,7 +233,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in blocks(batch.column(1)):
-                a, b, p = predict(held.value, statistics(data, offsets), metadata(batch, first, last))
+                a, b, p = predict(held.value, statistics(data, offsets).astype(np.float32).astype(float), metadata(batch, first, last))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(a), pa.array(b), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "p_text", "p_meta", "quality", "keep"])
 
     return docs.select(*_columns(docs)).mapInArrow(work, "doc_id long, p_text double, p_meta double, quality double, keep int")
@@ -214,7 +247,7 @@ def good(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             view = pa.RecordBatch.from_arrays([batch.column(names.index(c)) if c in names else pa.nulls(len(batch)) for c in ("doc_id", "text", "source", "lang", "n_chars")], names=["a", "b", "c", "d", "e"])
-            ok = [predict(held.value, statistics(d, o), metadata(view, i, j))[2] >= threshold for i, j, d, o in blocks(view.column(1))]
+            ok = [predict(held.value, statistics(d, o).astype(np.float32).astype(float), metadata(view, i, j))[2] >= threshold for i, j, d, o in blocks(view.column(1))]
             yield batch.filter(pa.array(np.concatenate(ok))) if ok else batch
 
     return docs.mapInArrow(work, docs.schema)

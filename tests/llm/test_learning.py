@@ -88,6 +88,17 @@ def test_statistics():
     assert s[3, 7] == 0.75 and s[0, 7] == 0
 
 
+def test_repeated_labelled_rows_of_quality(spark):
+    rng = np.random.default_rng(6)
+    rows = [(d, " ".join(rng.choice(["alpha", "beta", "gamma"], 30)) + ("!!!" if d % 2 else "."), "s") for d in range(600)]
+    labels = spark.createDataFrame([(d, 1 - d % 2) for d in range(300)] * 2, "doc_id long, quality int")
+    make = lambda x: spark.createDataFrame(x, "doc_id long, text string, source string")
+    one, two = quality.train(make(rows), labels), quality.train(make(rows + rows[:100] * 3), labels)
+    for model in (one, two):
+        got = quality.score(make(rows), model).toPandas()
+        assert (got.keep == 1 - got.doc_id % 2).mean() > 0.98
+
+
 def test_cotraining(spark, odd, none):
     rng = np.random.default_rng(2)
     rows, labels = [], []

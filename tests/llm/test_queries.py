@@ -67,13 +67,40 @@ def test_op7(spark, docs):
         assert got[i].sentence_no == (bad if got[i].toxic else [])
 
 
+def naive_statistics(text: str) -> list[float]:
+    """The content statistics of quality.py, one character and word at a time."""
+    raw = (text or "").encode()
+    word = lambda b: b >= 128 or chr(b).isalnum()
+    found = list(re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw))
+    w = [m[0].lower() for m in found]
+    sizes = [len(m[0]) for m in found]
+    size, some, letters = max(len(raw), 1), max(len(w), 1), max(sum(map(word, raw)), 1)
+    blank = [b == 32 or 9 <= b <= 13 for b in raw]
+    symbol = [not word(b) and not s for b, s in zip(raw, blank)]
+    mean = sum(sizes) / some
+    return [
+        sum(symbol) / size, sum(s and a == b for s, a, b in zip(symbol[1:], raw[1:], raw)) / size, sum(65 <= b <= 90 for b in raw) / letters, sum(48 <= b <= 57 for b in raw) / size, sum(blank) / size,
+        mean, max(sum(x * x for x in sizes) / some - mean**2, 0) ** 0.5, sum(a == b for a, b in zip(w, w[1:])) / some, sum(a == b for a, b in zip(w, w[2:])) / some,
+        len(set(w)) / some / max(1, np.log2(some + 1)), sum(chr(b) in "|<>{}" for b in raw) / size, raw.count(b"\n") / some, raw.count(b"!") / some, (raw.count(b".") + raw.count(b",")) / some,
+    ]
+
+
 def test_op1(spark, docs):
-    got = QUERIES["op1_quality_classifier"](spark, DIR).toPandas()
-    labels = spark.read.parquet(f"{DIR}/labels.parquet").toPandas()
-    assert sorted(got.doc_id) == [i for i, _ in docs]
-    m = got.merge(labels, on="doc_id")
-    assert (m.keep == m["quality_y"]).mean() > 0.9
-    assert (got.keep == (got.quality >= 0.5)).all()
+    tables = [spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels")]
+    model = quality.train(*tables)
+    got = {r.doc_id: r for r in QUERIES["op1_quality_classifier"](spark, DIR).collect()}
+    assert sorted(got) == [i for i, _ in docs]
+    about = {r.doc_id: (r.source, r.lang, r.n_chars) for r in tables[0].collect()}
+    for i, t in docs:  # the same scores, one document at a time
+        s = np.float32(naive_statistics(t)).astype(float)
+        z = []
+        for k, x in enumerate(([sum(e <= v for e in model["edges"][:, j]) + j * quality.BINS for j, v in enumerate(s)], quality._meta_code(*about[i]))):
+            (a, b), w = model["calibration"][k], model["models"][k].w
+            z.append(a * np.clip(sum(w[c] for c in x) + w[-1], -30, 30) + b)
+        p = 1 / (1 + np.exp(-np.clip(z[0] * model["combine"][0] + z[1] * model["combine"][1] + model["combine"][2], -30, 30)))
+        assert abs(got[i].quality - p) < 1e-6 and got[i].keep == int(got[i].quality >= 0.5)
+    right = [got[r.doc_id].keep == r.quality for r in tables[1].collect() if r.doc_id in got]
+    assert np.mean(right) > 0.9
 
 
 def naive_pack(docs, groups, key):

@@ -1,16 +1,18 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has SLOTS positions; each shard owns several virtual nodes. Keys are
+The ring has a fixed number of slots for its virtual nodes (at least sixteen for each); each shard owns several virtual nodes. Keys are
 placed in ring order (slot, hash, key): a key goes to the first shard clockwise
 from its slot that is not full, a shard being full at
 ceil((1 + slack) * keys / shards). Which shard takes how many keys of a slot
-depends only on the number of keys of each slot, a table of fixed size, so the
-driver settles it from counts; only keys of the few slots that are split between
-shards are ranked. The texts are never read.
+depends only on the number of keys of each slot, a table whose size follows shards * vnodes and not the data, so the
+driver settles it from counts. Of the few slots that are split between
+shards, the different keys are counted and ranked, never their copies: rows of one key are alike, so they are
+dealt out by number, and a key that a third of all rows have costs no more than another. The texts are never read.
 
-Defined cases: a null key is a key like any other (all nulls share a slot);
+Defined cases: a null key is a key like any other (all nulls share a slot), and so is one that is no whole number, which counts as null;
 repeated keys count each time, and copies of a key may part only at a shard's
-limit; an empty table gives an empty result; other columns are ignored.
+limit; ties in the hash go by key, nulls first; an empty table gives an empty result; other columns, very long texts among them, are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,26 +21,32 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOT_BITS = 16
-SLOTS = 1 << SLOT_BITS
+from .common import whole
+
+#: Slots of the smallest ring, in bits; and rows of one key that are dealt out together.
+SLOT_BITS, DEALT = 16, 10_000
+
+
+def slot_bits(shards: int, vnodes: int) -> int:
+    return max(SLOT_BITS, math.ceil(math.log2(shards * vnodes)) + 4)
 
 
 def ring(shards: int, vnodes: int) -> np.ndarray:
     """The owner of each slot: the shard of the first virtual node at or after it."""
-    owner = np.full(SLOTS, -1, np.int64)
-    if shards * vnodes > SLOTS // 2:
-        raise ValueError("too many virtual nodes for the ring's resolution")
+    slots = 1 << slot_bits(shards, vnodes)
+    owner = np.full(slots, -1, np.int64)
     for s in range(shards):
         for v in range(vnodes):
-            at = int.from_bytes(hashlib.blake2b(f"{s}:{v}".encode(), digest_size=8).digest()) % SLOTS
+            at = int.from_bytes(hashlib.blake2b(f"{s}:{v}".encode(), digest_size=8).digest()) % slots
             while owner[at] >= 0:
-                at = (at + 1) % SLOTS
+                at = (at + 1) % slots
             owner[at] = s
     nodes = np.flatnonzero(owner >= 0)
-    nearest = np.searchsorted(nodes, np.arange(SLOTS))
+    nearest = np.searchsorted(nodes, np.arange(slots))
     return owner[nodes[nearest % len(nodes)]]
 
 
@@ -46,11 +54,11 @@ def settle(counts: np.ndarray, owner: np.ndarray, capacity: int) -> list[tuple[i
     """(slot, first rank, last rank + 1, shard) for all keys, taking slots in ring order."""
     load: dict[int, int] = dict.fromkeys(np.unique(owner).tolist(), 0)
     change = np.flatnonzero(np.diff(np.r_[owner, owner[0]]))  # the last slot of each arc
-    arcs = owner[(change + 1) % SLOTS]
+    arcs = owner[(change + 1) % len(owner)]
+    arc_of = np.searchsorted(change, np.arange(len(owner)))
     out = []
     for slot in np.flatnonzero(counts).tolist():
-        left, rank, shard = int(counts[slot]), 0, int(owner[slot])
-        arc = int(np.searchsorted(change, slot))
+        left, rank, shard, arc = int(counts[slot]), 0, int(owner[slot]), int(arc_of[slot])
         while left:
             take = min(left, capacity - load[shard])
             if take:
@@ -64,25 +72,26 @@ def settle(counts: np.ndarray, owner: np.ndarray, capacity: int) -> list[tuple[i
 
 def shard(docs: DataFrame, shards: int = 64, vnodes: int = 128, slack: float = 0.1, key: str = "doc_id") -> DataFrame:
     """(doc_id, shard, home_shard, moved): home_shard is the ring's owner of the key's slot, moved tells whether the bound sent it on."""
-    spark = docs.sparkSession
-    keys = docs.select(F.col(key).cast("long").alias("doc_id")).select("doc_id", F.xxhash64("doc_id", F.lit("ring")).alias("h"))
-    keys = keys.select("doc_id", "h", F.shiftrightunsigned("h", 64 - SLOT_BITS).cast("int").alias("slot"))
-    counts = np.zeros(SLOTS, np.int64)
-    for slot, n in keys.groupBy("slot").count().collect():  # at most SLOTS rows
-        counts[slot] = n
+    spark, bits = docs.sparkSession, slot_bits(shards, vnodes)
+    keys = docs.select(whole(key).alias("doc_id")).select("doc_id", F.xxhash64("doc_id", F.lit("ring")).alias("h"))
+    keys = keys.select("doc_id", "h", F.shiftrightunsigned("h", 64 - bits).cast("int").alias("slot"))
+    found = keys.groupBy("slot").count().toArrow()  # at most as many rows as slots
+    counts = np.zeros(1 << bits, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("count").to_numpy()
     owner = ring(shards, vnodes)
     capacity = math.ceil((1 + slack) * int(counts.sum()) / shards)
-    rows = [(s, a, b, t, int(owner[s])) for s, a, b, t in settle(counts, owner, capacity)]
-    plan = spark.createDataFrame(rows, "slot int, lo long, hi long, shard int, home_shard int")
-    uses = np.bincount([r[0] for r in rows], minlength=SLOTS)
-    split = [int(s) for s in np.flatnonzero(uses > 1)]
-    marked = spark.createDataFrame([(s,) for s in split], "slot int")
+    rows = np.array(settle(counts, owner, capacity), np.int64).reshape(-1, 4)
+    slot, home = rows[:, 0], owner[rows[:, 0]]
+    uses = np.bincount(slot, minlength=1 << bits)[slot]
+    table = pa.table({"slot": slot.astype(np.int32), "lo": rows[:, 1], "hi": rows[:, 2], "shard": rows[:, 3].astype(np.int32), "home_shard": home.astype(np.int32)})
+    # both tables have at most as many rows as there are slots and shards, whatever the input
+    one, more = (F.broadcast(spark.createDataFrame(table.filter(pa.array(x)))) for x in (uses == 1, uses > 1))
     out = F.col("shard"), F.col("home_shard"), (F.col("shard") != F.col("home_shard")).alias("moved")
-    # both small tables have at most SLOTS + shards rows, whatever the input
-    single = plan.join(F.broadcast(marked), "slot", "left_anti")
-    plain = keys.join(F.broadcast(single), "slot").select("doc_id", *out)
-    ranked = keys.join(F.broadcast(marked), "slot", "left_semi")
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("slot").orderBy("h", "doc_id")) - 1)
-    plan = plan.withColumnRenamed("slot", "of")
-    parted = ranked.join(F.broadcast(plan), (F.col("slot") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    plain = keys.join(one, "slot").select("doc_id", *out)
+    split = keys.join(F.broadcast(more.select("slot").distinct()), "slot", "left_semi").groupBy("slot", "h", "doc_id").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("slot").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    split = split.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n")).join(more, "slot").where("from < hi and upto > lo")
+    split = split.select("doc_id", "shard", "home_shard", (F.least("upto", "hi") - F.greatest("from", "lo")).alias("n"))
+    dealt = split.withColumn("k", F.explode(F.expr(f"sequence(0, (n - 1) div {DEALT})"))).repartition("shard", "doc_id", "k")
+    parted = dealt.select("doc_id", "shard", "home_shard", F.explode(F.expr(f"sequence(1, least({DEALT}, n - k * {DEALT}))")))
     return plain.unionAll(parted.select("doc_id", *out))

@@ -122,7 +122,7 @@ def test_ring_against_brute_force(spark, odd, none):
         at = (r.h % 2**64) >> 48
         home = owner[at]
         while load[owner[at]] >= limit:
-            at = (at + 1) % sharding.SLOTS
+            at = (at + 1) % len(owner)
         load[owner[at]] += 1
         want.append((r.doc_id, int(owner[at]), int(home), bool(owner[at] != home)))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
@@ -130,6 +130,18 @@ def test_ring_against_brute_force(spark, odd, none):
     assert sharding.shard(odd, shards=2).count() == odd.count() and sharding.shard(none).count() == 0
 
 
+def test_large_rings_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "DEALT", 7)
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, 90000, if(id % 3 = 1, null, id)) as doc_id", "1 as slot", "2 as n").repartition(3)
+    got = sharding.shard(docs, shards=16, vnodes=32, slack=0.1).toPandas()
+    assert got["shard"].value_counts().max() <= -(-110 * 3000 // 1600) and len(got) == 3000
+    assert (got.doc_id == 90000).sum() == got.doc_id.isna().sum() == 1000 and (got.moved == (got["shard"] != got.home_shard)).all()
+    many = sharding.shard(docs.where("doc_id <> 90000"), shards=4096)
+    assert sorted(r.doc_id for r in many.collect()) == list(range(2, 3000, 3))
+    assert len(np.unique(sharding.ring(600, 128))) == 600
+    assert {(r.doc_id, r.shard) for r in sharding.shard(spark.createDataFrame([("x",), ("5",)], "doc_id string"), shards=3).collect()} == {(None, r.shard) if r.doc_id is None else (5, r.shard) for r in sharding.shard(spark.createDataFrame([(None,), (5,)], "doc_id long"), shards=3).collect()}
+
+
 def test_few_keys_move_when_a_shard_is_added(spark):
     docs = spark.range(4000).withColumnRenamed("id", "doc_id")
     a = {r.doc_id: r.shard for r in sharding.shard(docs, shards=10, slack=0.25).collect()}

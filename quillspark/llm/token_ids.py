@@ -14,7 +14,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, lists
+from .common import keep, lists, whole
 from .pretoken import encoded
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -37,6 +37,21 @@ def load(path: str = VOCABULARY) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
+def encoder(ranks: dict[bytes, int]) -> Callable:
+    """From (bytes, offsets) of pieces to (token ids, offsets)."""
+    import tiktoken
+
+    single = tiktoken.Encoding("own", pat_str=_NO_SPLIT, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+    def encode(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, at = text.tobytes(), offsets.tolist()
+        found = [single(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
+        flat = np.fromiter((x for f in found for x in f), np.int32)
+        return flat, np.r_[0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
+
+    return encode
+
+
 def put(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(control bytes, their offsets, data bytes, their offsets) of runs of values below 2^32."""
     values = values.astype("<u4")
@@ -73,20 +88,11 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("packed", pa.binary()), ("tokens", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        single = tiktoken.Encoding("own", pat_str=_NO_SPLIT, mergeable_ranks=held.value, special_tokens={})._encode_single_piece
         total = np.zeros(max(held.value.values()) + 1, np.int64)
         small = zstandard.ZstdCompressor(level=1)
         kind = np.uint16 if len(total) <= 1 << 16 else np.uint32
 
-        def encode(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            raw, at = text.tobytes(), offsets.tolist()
-            found = [single(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
-            flat = np.fromiter((x for f in found for x in f), np.int32)
-            return flat, np.r_[0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
-
-        for doc_ids, _, _, ids, at in encoded(batches, encode):
+        for doc_ids, _, _, ids, at in encoded(batches, encoder(held.value)):
             total += np.bincount(ids, minlength=len(total))
             raw, n = ids.astype(kind).tobytes(), (at * kind().itemsize).tolist()
             packed = pa.array([small.compress(raw[a:b]) for a, b in zip(n[:-1], n[1:])], pa.binary())
@@ -97,7 +103,7 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             one = np.array([0, len(seen)])
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), lists(seen, one, pa.int32()), lists(total[seen], one, pa.int64())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens int, packed binary, tokens array<int>, counts array<long>")
+    return docs.select(whole("doc_id").alias("doc_id"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens int, packed binary, tokens array<int>, counts array<long>")
 
 
 def ranks(parts: DataFrame) -> np.ndarray:

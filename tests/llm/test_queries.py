@@ -103,38 +103,42 @@ def test_op1(spark, docs):
     assert np.mean(right) > 0.9
 
 
-def naive_pack(docs, groups, key):
-    """Bins as lists of (doc, piece), by trying every open bin in turn."""
+@pytest.fixture(scope="module")
+def encode():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    return lambda texts: [[*e.ids, 50256] for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def naive_pack(docs, groups, key, encode):
+    """Sequences as (their documents, their tokens), by trying every open bin in turn."""
     out = []
+    tokens = dict(zip((i for i, _ in docs), encode([t or "" for _, t in docs])))
     for g in range(groups):
-        pieces = []
-        for i, t in docs:
-            if key[i] % groups == g:
-                n = len(re.findall(r"\S+", t or "")) + 1
-                pieces += [(-min(2048, n - p * 2048), i, p) for p in range(-(-n // 2048))]
+        pieces = [(-len(ids[p : p + 2048]), i, p) for i, ids in tokens.items() if key[i] % groups == g for p in range(0, len(ids), 2048)]
         bins = []
         for size, i, p in sorted(pieces):
             home = next((b for b in bins if b[0] >= -size), None)
             if home is None:
-                home = [2048, []]
+                home = [2048, [], []]
                 bins.append(home)
             home[0] += size
-            home[1].append((i, p))
-        out += [b[1] for b in bins]
+            home[1].append(i)
+            home[2] += tokens[i][p : p + 2048]
+        out += [tuple(b[1:]) for b in bins]
     return sorted(out)
 
 
 def packed(rows):
-    bins = {}
-    for r in sorted(rows, key=lambda r: r.bin_offset):
-        bins.setdefault(r.bin_id, []).append((r.doc_id, r.piece))
-    return sorted(bins.values())
+    return sorted((r.doc_ids, r.tokens) for r in rows)
 
 
-def test_op4(spark, docs):
-    assert packed(QUERIES["op4_packing"](spark, DIR).collect()) == naive_pack(docs, 1, {i: 0 for i, _ in docs})
-    key = {r.doc_id: r.h for r in spark.read.parquet(f"{DIR}/documents.parquet").selectExpr("doc_id", "xxhash64(doc_id, 17) h").collect()}
-    assert packed(packing.pack(spark.read.parquet(f"{DIR}/documents.parquet"), group_docs=50).collect()) == naive_pack(docs, 4, key)
+def test_op4(spark, docs, encode):
+    assert packed(QUERIES["op4_packing"](spark, DIR).collect()) == naive_pack(docs, 1, {i: 0 for i, _ in docs}, encode)
+    key = {r.doc_id: r.h % 2**64 for r in spark.read.parquet(f"{DIR}/documents.parquet").selectExpr("doc_id", "xxhash64(doc_id, 17) h").collect()}
+    assert packed(packing.pack(spark.read.parquet(f"{DIR}/documents.parquet"), group_docs=50).collect()) == naive_pack(docs, 4, key, encode)
 
 
 def test_op6(spark, docs):
@@ -160,7 +164,7 @@ def test_op8_and_op10(spark, docs):
         assert token_of[token_ids.get(np.frombuffer(r.control, np.uint8), np.frombuffer(r.data, np.uint8), r.n_tokens)].tolist() == want[r.doc_id]
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, encode):
     """Each stage's decisions, made again one document at a time on what the stage before kept."""
     from test_joins import brute
 
@@ -178,7 +182,9 @@ def test_pipeline(spark):
     now = [(i, t) for i, t in now if i in first]
     for name, pattern in secrets.RULES.items():
         now = [(i, re.sub(pattern, f"[{name}]", t, flags=re.ASCII)) for i, t in now]
-    assert packed(corpus_pipeline.run(spark, folder).collect()) == naive_pack(now, 1, {i: 0 for i, _ in now})
+    result = corpus_pipeline.run(spark, folder)
+    assert packed(result.collect()) == naive_pack(now, 1, {i: 0 for i, _ in now}, encode)
+    assert sorted(map(tuple, packing.unpack(result).collect())) == sorted(now)
 
 
 def test_stages_keep_the_columns(spark, odd, none):

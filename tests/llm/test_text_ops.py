@@ -88,24 +88,32 @@ def test_first_fit_against_brute_force():
         assert packing.first_fit(lengths, 100) == want
 
 
-def test_pack(odd, none):
+def test_pack(spark, odd, none, reference_encoder):
     rows = packing.pack(odd, capacity=64, group_docs=4).collect()
-    n = {}
-    for r in odd.select("doc_id", "text").collect():
-        n[r.doc_id] = n.get(r.doc_id, 0) + len(re.findall(r"\S+", r.text or "")) + 1
-    got, bins = {}, {}
+    texts = odd.select("doc_id", "text").collect()
+    n, got = {}, {}
+    for r, ids in zip(texts, reference_encoder([r.text or "" for r in texts])):
+        n[r.doc_id] = n.get(r.doc_id, 0) + len(ids) + 1
     for r in rows:
-        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
-        bins.setdefault(r.bin_id, []).append((r.bin_offset, r.n_tokens))
-    assert got == n
-    for parts in bins.values():
-        at = 0
-        for offset, size in sorted(parts):
-            assert offset == at
-            at += size
-        assert at <= 64
-    assert packing.pack(none).count() == 0
-    assert sorted(map(repr, rows)) == sorted(map(repr, packing.pack(odd.repartition(3), capacity=64, group_docs=4).collect()))
+        assert r.n_tokens == len(r.tokens) == sum(r.lengths) <= 64 and len(r.doc_ids) == len(r.doc_nos) == len(r.first_tokens) == len(r.lengths)
+        for i, k in zip(r.doc_ids, r.lengths):
+            got[i] = got.get(i, 0) + k
+    assert got == n and len({r.bin_id for r in rows}) == len(rows)
+    back = packing.unpack(spark.createDataFrame(rows, packing.SCHEMA)).collect()
+    assert sorted(map(repr, map(tuple, back))) == sorted(repr((r.doc_id, r.text or "")) for r in texts)
+    assert packing.pack(none).count() == packing.unpack(packing.pack(none)).count() == 0
+    one = odd.dropDuplicates(["doc_id"])
+    assert sorted(map(repr, packing.pack(one, capacity=64, group_docs=4).collect())) == sorted(map(repr, packing.pack(one.repartition(3), capacity=64, group_docs=4).collect()))
+
+
+def test_pack_spreads_rows_of_one_id(spark):
+    docs = spark.range(40_000).selectExpr("if(id % 2 = 0, null, 5L) as doc_id", "'a b' as text", "1 as grp")
+    rows = packing.pack(docs, group_docs=2000).toPandas()
+    assert rows.n_tokens.sum() == 40_000 * 3
+    load = rows.groupby(rows.bin_id.str.split("-").str[0]).n_tokens.sum() / 3
+    assert len(load) == 20 and load.max() < 2400
+    assert packing.unpack(packing.pack(docs.limit(3000))).where("text = 'a b'").count() == 3000
+    assert [r.doc_ids for r in packing.pack(spark.createDataFrame([("x", "a")], "doc_id string, text string")).collect()] == [[None]]
 
 
 # -- sharding

@@ -8,8 +8,9 @@ positions of its pair at once, and the lists of the pairs to its left and right
 updated. Decoding looks the ids' bytes up in a table.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; strings
-of special tokens are ordinary text; repeated rows are encoded each; other columns
-are ignored; unknown or null ids decode to nothing.
+of special tokens are ordinary text; repeated rows are encoded each; an id that is no whole number counts as null and its row is
+encoded all the same; a very long text is encoded whole; of touching pairs of the same rank the left one is merged first; other columns
+are ignored, whatever their names; unknown or null ids decode to nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, ragged
+from .common import lists, ragged, whole
 from .pretoken import encoded
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -147,7 +148,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 same = np.array([np.array_equal(back[a:b], data[c:d]) for a, b, c, d in zip(back_at[:-1], back_at[1:], offsets[:-1], offsets[1:])])
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(at).astype(np.int32)), lists(ids, at, pa.int32()), pa.array(same)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
+    return docs.select(whole("doc_id").alias("doc_id"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens int, ids array<int>, round_trip boolean")
 
 
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -166,4 +167,4 @@ def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             raw = back.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string())], schema=schema)
 
-    return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(work, "doc_id long, text string")
+    return tokens.select(whole("doc_id").alias("doc_id"), "ids").mapInArrow(work, "doc_id long, text string")

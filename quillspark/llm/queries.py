@@ -42,7 +42,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_ids.encode(read(spark, sf_dir, "documents"))[0]
+    return token_ids.encode(read(spark, sf_dir, "documents"))
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

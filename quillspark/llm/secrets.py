@@ -1,15 +1,16 @@
 """Secret scanning with a trigram inverted index.
 
 Each rule's regular expression is turned into a Boolean query over byte
-trigrams that any match must contain. A partition's documents are indexed by
+trigrams that any match must contain. A partition's documents are indexed, a block of 1 MB at a time, by
 exactly the trigrams that the queries name, the postings are intersected and
 united, and only the documents left are given to the regex engine. A rule from
 which no mandatory trigram can be derived is run over every document.
 
 Defined cases: a null or empty text has no hits; a null doc_id is carried
-along; repeated rows are scanned each on its own; matches of one rule do not
-overlap (leftmost first); further columns are ignored by ``scan`` and kept by
-``redact``.
+along, and one that is no whole number is reported as null; repeated rows are scanned each on its own; matches of one rule do not
+overlap (leftmost first), several rules may report the same place; a very long text is a block of its own and scanned whole; further columns, whatever
+their names, are ignored by ``scan`` and kept by ``redact``; an empty table gives an empty result. A private key is taken up to its END line, or
+its BEGIN line alone where none follows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, whole
 
 #: name -> ASCII pattern in the syntax that Python's re and RE2 share.
 RULES: dict[str, str] = {
@@ -34,7 +35,7 @@ RULES: dict[str, str] = {
     "google_api_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "jwt": r"\beyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{5,}",
     "password_assignment": r"\b(?i:password|passwd)\s*[=:]\s*[^\s\"',;]{8,}",
-    "private_key": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----",
+    "private_key": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----(?:[0-9A-Za-z+/=:,.\s()-]*?-----END (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----)?",
     "slack_token": r"\bxox[abprs]-[0-9A-Za-z-]{10,}",
     "token_assignment": r"\b(?i:token|secret|api[_-]?key)\s*[=:]\s*[\"'](?i:[0-9a-z_-]{20,})[\"']",
     "hex_digest_key": r"\b[0-9a-f]{40}\b",
@@ -222,7 +223,7 @@ def scan(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
                                 column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, rule string, n_hits long, hits string")
+    return docs.select(whole("doc_id").alias("doc_id"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, rule string, n_hits long, hits string")
 
 
 def redact(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:

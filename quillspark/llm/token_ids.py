@@ -7,8 +7,9 @@ two-bit codes, four to a control byte. Decoding looks up the control bytes in a
 lengths and gathers the data with numpy.
 
 Defined cases: a null or empty text has no tokens and empty buffers; tokens of equal
-count rank by token id; repeated rows count and are encoded each; other columns are
-ignored; an empty table gives an empty result.
+count rank by token id; repeated rows count and are encoded each; an id that is no whole number counts as null and its row is
+encoded all the same; very long texts are encoded whole; other columns are
+ignored, whatever their names; a table without tokens has no row of ranks, so an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, lists, whole
+from .common import keep, lists, ragged, whole
 from .pretoken import encoded
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -67,13 +68,12 @@ def put(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return control, control_at, data, np.r_[0, np.cumsum(code.astype(np.int64) + 1)][offsets]
 
 
-def get(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
-    """The count values of one run."""
-    length = LENGTHS[control].ravel()[:count]
-    start = np.cumsum(length) - length
-    place = start[:, None] + np.arange(4)
+def get(control: np.ndarray, control_at: np.ndarray, data: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The values of runs whose control and data bytes follow each other, count of each run."""
+    length = LENGTHS[control].ravel()[ragged(control_at[:-1] * 4, count)]
+    place = (np.cumsum(length) - length)[:, None] + np.arange(4)
     used = np.arange(4) < length[:, None]
-    out = np.zeros((count, 4), np.uint8)
+    out = np.zeros((len(length), 4), np.uint8)
     out[used] = data[place[used]]
     return out.view("<u4").ravel()
 
@@ -113,15 +113,21 @@ def ranks(parts: DataFrame) -> np.ndarray:
     return rows["tokens"].to_numpy(np.int64)
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, np.ndarray]:
-    """((doc_id, n_tokens, control, data), the token id of each rank)."""
+SCHEMA = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("control", pa.binary()), ("data", pa.binary()), ("round_trip", pa.bool_())])
+COLUMNS = "kind string, doc_id long, n_tokens int, control binary, data binary, round_trip boolean"
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(kind, doc_id, n_tokens, control, data, round_trip): a row of kind document for each row, and one of kind ranks with the token id of each rank, coded alike.
+
+    round_trip tells whether the bytes, decoded by table lookup, gave the token ids again.
+    """
     parts = keep(tokenised(docs, vocabulary))
     token_of = ranks(parts)
     rank_of = np.zeros(int(token_of.max(initial=0)) + 1, np.uint32)
     rank_of[token_of] = np.arange(len(token_of))
-    held = docs.sparkSession.sparkContext.broadcast(rank_of)
+    held = docs.sparkSession.sparkContext.broadcast(rank_of)  # a vocabulary
     kind = np.uint16 if len(load(vocabulary)) <= 1 << 16 else np.uint32
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("control", pa.binary()), ("data", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         big = zstandard.ZstdDecompressor()
@@ -129,23 +135,32 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, np
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
                 raw = b"".join(big.decompress(p) for p in part.column(2).to_pylist())
-                at = np.r_[0, np.cumsum(part.column(1).to_numpy().astype(np.int64))]
-                control, control_at, data, data_at = put(held.value[np.frombuffer(raw, kind)], at)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _binary(control, control_at), _binary(data, data_at)], schema=schema)
-
-    out = parts.where("tokens is null").select("doc_id", "n_tokens", "packed").mapInArrow(work, "doc_id long, n_tokens int, control binary, data binary")
-    return out, token_of
-
-
-def decode(stored: DataFrame, token_of: np.ndarray) -> DataFrame:
-    """(doc_id, ids): the vocabulary's token ids again."""
-    held = stored.sparkSession.sparkContext.broadcast(np.asarray(token_of))
+                count = part.column(1).to_numpy().astype(np.int64)
+                at, ids = np.r_[0, np.cumsum(count)], np.frombuffer(raw, kind)
+                control, control_at, data, data_at = put(held.value[ids], at)
+                wrong = np.r_[0, np.cumsum(token_of[get(control, control_at, data, count)] != ids)][at]
+                yield pa.RecordBatch.from_arrays([pa.array(["document"] * len(part)), part.column(0), part.column(1), _binary(control, control_at), _binary(data, data_at), pa.array(wrong[1:] == wrong[:-1])], schema=SCHEMA)
+
+    out = parts.where("tokens is null").select("doc_id", "n_tokens", "packed").mapInArrow(work, COLUMNS)
+    control, _, data, _ = put(token_of, np.array([0, len(token_of)]))
+    table = pa.table([["ranks"], pa.array([None], pa.int64()), pa.array([len(token_of)], pa.int32()), [control.tobytes()], [data.tobytes()], [True]], schema=SCHEMA)
+    return out.unionAll(docs.sparkSession.createDataFrame(table)) if len(token_of) else out
+
+
+def decode(stored: DataFrame) -> DataFrame:
+    """(doc_id, ids): the vocabulary's token ids again. The one row of ranks reaches the driver."""
+    table = stored.where("kind = 'ranks'").select("n_tokens", "control", "data").first()
+    token_of = np.zeros(0, np.int64) if table is None else get(np.frombuffer(table[1], np.uint8), np.array([0, len(table[1])]), np.frombuffer(table[2], np.uint8), np.array([table[0]])).astype(np.int64)
+    held = stored.sparkSession.sparkContext.broadcast(token_of)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [held.value[get(np.frombuffer(c, np.uint8), np.frombuffer(d, np.uint8), n)] for n, c, d in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(flat, np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32())], schema=schema)
+            for i in range(0, len(batch), 500):
+                part = batch.slice(i, 500)
+                control, data = part.column(2).to_pylist(), part.column(3).to_pylist()
+                count = part.column(1).to_numpy().astype(np.int64)
+                found = get(np.frombuffer(b"".join(control), np.uint8), np.r_[0, np.cumsum([len(c) for c in control])].astype(np.int64), np.frombuffer(b"".join(data), np.uint8), count)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(held.value[found], np.r_[0, np.cumsum(count)], pa.int32())], schema=schema)
 
-    return stored.select("doc_id", "n_tokens", "control", "data").mapInArrow(work, "doc_id long, ids array<int>")
+    return stored.where("kind = 'document'").select("doc_id", "n_tokens", "control", "data").mapInArrow(work, "doc_id long, ids array<int>")

@@ -201,22 +201,27 @@ def test_variable_length_code():
     rng.shuffle(values)
     offsets = np.array([0, 0, 1, 5, 8, 8, 400, len(values)])
     control, ca, data, da = token_ids.put(values, offsets)
-    for i in range(len(offsets) - 1):
-        n = offsets[i + 1] - offsets[i]
-        got = token_ids.get(control[ca[i] : ca[i + 1]], data[da[i] : da[i + 1]], n)
-        assert got.tolist() == values[offsets[i] : offsets[i + 1]].tolist() and ca[i + 1] - ca[i] == -(-n // 4)
+    count = np.diff(offsets)
+    assert token_ids.get(control, ca, data, count).tolist() == values.tolist() and (np.diff(ca) == -(-count // 4)).all()
+    one = slice(ca[5], ca[6])
+    assert token_ids.get(control[one], np.array([0, ca[6] - ca[5]]), data[da[5] : da[6]], count[5:6]).tolist() == values[8:400].tolist()
     assert len(data) == sum(max(1, -(-int(v).bit_length() // 8)) for v in values)
 
 
 def test_token_output_round_trip(spark, odd, none, reference_encoder):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionAll(odd.select("doc_id", "text")).cache()
-    out, token_of = token_ids.encode(docs)
+    out = token_ids.encode(docs).cache()
     texts = docs.collect()
     want = reference_encoder([r.text or "" for r in texts])
-    got = token_ids.decode(out, token_of).collect()
+    got = token_ids.decode(out).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, ((t.doc_id, w) for t, w in zip(texts, want))))
+    assert out.where("round_trip").count() == len(texts) + 1
     flat = np.concatenate(want).astype(int)
     ids, counts = np.unique(flat, return_counts=True)
+    (table,) = out.where("kind = 'ranks'").collect()
+    token_of = token_ids.get(np.frombuffer(table.control, np.uint8), np.array([0, len(table.control)]), np.frombuffer(table.data, np.uint8), np.array([table.n_tokens]))
     assert token_of.tolist() == ids[np.lexsort((ids, -counts))].tolist()
-    empty, token_of = token_ids.encode(none)
-    assert empty.count() == 0 and len(token_of) == 0
+    assert token_ids.encode(none).count() == token_ids.decode(token_ids.encode(none)).count() == bpe.decode(bpe.encode(none)).count() == 0
+    named = spark.createDataFrame([("x", "a b")], "doc_id string, text string")
+    assert [(r.doc_id, r.n_tokens) for r in token_ids.encode(named).where("kind = 'document'").collect()] == [(None, 2)]
+    assert [(r.doc_id, r.ids) for r in bpe.encode(named).collect()] == [(None, reference_encoder(["a b"])[0])]

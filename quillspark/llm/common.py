@@ -7,6 +7,7 @@ not depend on the partition's size and no Python loop runs per word.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,6 +97,15 @@ def whole(column: str) -> Column:
     return F.col(column).try_cast("long")
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers outlive a task, and what they keep adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which decides for itself
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Table, blocks, bucket_of, keep, lists, mix, ragged, whole, words
+from .common import Table, blocks, bucket_of, keep, lists, mix, ragged, release, whole, words
 from .cores import classified, cores, leaders, placed
 
 #: Pairs of words: a changed word costs a pair of texts only two n-grams, so copies with every tenth word changed, at 0.8/1.2, are still found.
@@ -169,6 +169,7 @@ def _segments(source: DataFrame, of, bits: int) -> DataFrame:  # noqa: ANN001
                     yield pieces()
         if held.parts:
             yield pieces()
+        release()
 
     return _finer(source.mapInArrow(first, PIECES), bits, 5)
 
@@ -205,6 +206,7 @@ def _shared(bits: int):  # noqa: ANN202
 
     def work(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
+        release()
         ids, sizes, owner, keys = _unpacked(table, 5)
         order = np.argsort(keys)
         df = _runs(keys[order])[1]
@@ -229,6 +231,7 @@ def _alive(threshold: float):  # noqa: ANN202
     """The documents of a bucket that can have partners, their shared n-grams in the global order."""
 
     def work(table: pa.Table) -> pa.Table:
+        release()
         docs, sizes, owner, codes = _unpacked(table, 6)
         ids, which = np.unique(docs, return_inverse=True)
         size = np.zeros(len(ids), np.int64)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Bpe
-from .common import lists, mix, ragged, whole
+from .common import lists, mix, ragged, release, whole
 from .pretoken import encoded
 from .token_ids import VOCABULARY, encoder, load
 
@@ -91,6 +91,7 @@ def pack(docs: DataFrame, capacity: int = 2048, group_docs: int = 8192, seed: in
             yield pa.RecordBatch.from_arrays([key.field("grp"), key.field("doc_id"), pa.array([raw[a:b] for a, b in zip(n[:-1], n[1:])], pa.binary())], names=["grp", "doc_id", "packed"])
 
     def fill(table: pa.Table) -> pa.Table:
+        release()
         grp = table.column("grp")[0].as_py()
         ids, packed = table.column("doc_id").to_pylist(), table.column("packed").to_pylist()
         rows = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, packed[i]))

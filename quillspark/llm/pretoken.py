@@ -16,12 +16,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import blocks, ragged, span_hashes
+from .common import blocks, ragged, release, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 _CLASS: list[np.ndarray] = []
 #: Bytes of text whose pieces are encoded together.
-STRETCH = 24_000_000
+STRETCH = 12_000_000
 
 
 def classes() -> np.ndarray:
@@ -119,4 +119,6 @@ def encoded(batches: Iterator[pa.RecordBatch], encode: Callable) -> Iterator[tup
             stretch.add(batch.column(0)[first:last], data, offsets)
             if stretch.bytes >= STRETCH:
                 yield from stretch.flush(encode)
+                release()
     yield from stretch.flush(encode)
+    release()

@@ -6,9 +6,9 @@ class EngineError(Exception):
 
 
 class SyntaxProblem(EngineError):
-    def __init__(self, message: str, at: int = 0):
+    def __init__(self, message: str, at: int = 0, expected: tuple[str, ...] = ()):
         super().__init__(f"{message} (at character {at})")
-        self.at = at
+        self.at, self.expected = at, expected
 
 
 class NotFound(EngineError):

@@ -2,25 +2,72 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .stemming import STEMMERS
 
+#: Characters of text whose terms leave a worker together.
+_BLOCK = 1_000_000
+_LETTERS: list[np.ndarray] = []
+
 
 def terms(text: Column) -> Column:
     """Lower-case runs of letters."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda t: t != "")
 
 
+def _letters() -> np.ndarray:
+    if not _LETTERS:
+        _LETTERS.append(np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)]))
+    return _LETTERS[0]
+
+
+def words_of(text: str) -> list[str]:
+    """``terms`` of one text: everything but letters becomes a blank at once."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(_letters()[points], points, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split(" ")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, term, tf) of batches (key, text), row by row."""
+    for batch in batches:
+        names, held, rows, counts, found = batch.schema.names, 0, [], [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(rows, counts), pa.int64())), pa.array([t for f in found for t in f], pa.string()), pa.array([n for f in found for n in f.values()], pa.int64())], names=[names[0], "term", "tf"])
+
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            bag = Counter(words_of(text)) if text else Counter()
+            bag.pop("", None)
+            rows.append(i)
+            counts.append(len(bag))
+            found.append(bag)
+            held += len(text or "")
+            if held >= _BLOCK:
+                yield out()
+                held, rows, counts, found = 0, [], [], []
+        if rows:
+            yield out()
+
+
 def stop_words(language: str) -> list[str]:
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
+def stop_list(spark: SparkSession, path: str) -> list[str]:
+    """The words of a stop list, one to a line."""
+    return sorted({r.value.strip().lower() for r in spark.read.text(path).collect()} - {""})  # a list of a few hundred words
+
+
 def stem(c: Column, language: str) -> Column:
     """Stems of single terms, a batch at a time."""
     one = STEMMERS[language]
@@ -33,17 +80,21 @@ def stem(c: Column, language: str) -> Column:
     return work(c)
 
 
-def bag_of_words(rows: DataFrame, key: str, text: str, language: str | None = None, lemma: Callable[[Column], Column] | None = None) -> DataFrame:
+def bag_of_words(rows: DataFrame, key: str, text: str, language: str | None = None, lemma: Callable[[Column], Column] | None = None, stop: Sequence[str] | None = None, unique: bool = False) -> DataFrame:
     """(key, term, tf).
 
-    Without a language: plain terms. With one: stop words are left out and every
+    Without a language: plain terms. With one: stop words (those of the language, or the ones given) are left out and every
     token counts twice, as its lemma (itself, unless a lemma function is given) and as its stem.
-    Stems are made once per distinct term, not once per token.
+    Stems are made once per distinct term, not once per token. unique: no two rows have the same key, so that the terms of a row, counted
+    where it is read, need no shuffle.
     """
-    tokens = rows.select(key, F.explode(terms(F.col(text))).alias("term"))
+    kind = rows.schema[key].dataType.simpleString()
+    counted = rows.select(key, F.col(text).cast("string").alias("text")).mapInArrow(_counted, f"`{key}` {kind}, term string, tf long")
+    if not unique:
+        counted = counted.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
     if language is None:
-        return tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    counted = tokens.where(~F.col("term").isin(stop_words(language))).groupBy(key, "term").agg(F.count("*").alias("tf"))
+        return counted if stop is None else counted.where(~F.col("term").isin(list(stop)))
+    counted = counted.where(~F.col("term").isin(stop_words(language) if stop is None else list(stop)))
     forms = counted.select("term").distinct().withColumn("stem", stem(F.col("term"), language))
     forms = forms.withColumn("lemma", lemma(F.col("term")) if lemma else F.col("term"))
     both = counted.join(forms, "term").select(key, F.explode(F.array("lemma", "stem")).alias("term"), "tf")

@@ -65,6 +65,18 @@ def from_text(c: Column, t: SqlType) -> Column:
     return F.trim(c).try_cast(t.spark)
 
 
+#: What an error of ``strict`` begins with.
+BAD_VALUE = "bad value: "
+
+
+def strict(c: Column, t: SqlType) -> Column:
+    """As ``from_text``, but a value of another type is an error of the query."""
+    value = from_text(c, t)
+    if t.spark == T.StringType():
+        return value
+    return F.when(c.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit(f"{BAD_VALUE}no {t}: "), c))).otherwise(value)
+
+
 def literal(value: str, t: SqlType) -> Column:
     """A literal of a condition, typed by the column it is compared with; numbers stay 64 bits wide."""
     if t.name == "bool":

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,51 +42,84 @@ def without_term(bag: DataFrame, term: str) -> DataFrame:
     return bag.where(F.col("term") != term)
 
 
+@dataclass(frozen=True)
+class Analyzer:
+    """How texts become terms: plain, or by the stop words, lemmas and stems of a language."""
+
+    language: str | None = None
+    stop: tuple[str, ...] | None = None
+    lemma: Callable[[Column], Column] | None = None
+
+    def bag(self, rows: DataFrame, key: str, text: str, unique: bool = True) -> DataFrame:
+        return bag_of_words(rows, key, text, self.language, self.lemma, self.stop, unique)
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """An inverted index: (term, df), (key, term, w), (key, norm), and the number of documents.
+    """An inverted index: (term, df), and (key, term, w, norm), the norm being that of the whole document.
 
-    df and norm are stored beside the weights, so that a query reads only the postings of
-    its own terms.
+    df and the norm are stored beside the weights, so that a query reads only the postings of
+    its own terms. The bag is stored too: when rows come or go, only new ones are read as text.
     """
 
     key: str
     n: int
     df: DataFrame
     weighted: DataFrame
-    norm: DataFrame
-    language: str | None = None
+    analyzer: Analyzer = field(default=Analyzer())
+
+    @classmethod
+    def build(cls, rows: DataFrame, key: str, text: str, analyzer: Analyzer = Analyzer()) -> TextIndex:
+        return cls.of_bag(analyzer.bag(rows, key, text), rows.count(), key, analyzer)
 
     @classmethod
-    def build(cls, rows: DataFrame, key: str, text: str, language: str | None = None) -> TextIndex:
-        bag = bag_of_words(rows, key, text, language)
-        df, n = document_frequency(bag), rows.count()
+    def of_bag(cls, bag: DataFrame, n: int, key: str, analyzer: Analyzer = Analyzer()) -> TextIndex:
+        df = document_frequency(bag)
         weighted = weights(bag, df, n, key)
-        return cls(key, n, df, weighted, norms(weighted, key), language)
+        return cls(key, n, df, weighted.join(norms(weighted, key), key), analyzer)
 
-    def write(self, path: str) -> None:
-        self.df.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/df")
-        self.weighted.join(self.norm, self.key).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/weights")
+    @property
+    def norm(self) -> DataFrame:
+        return self.weighted.select(self.key, "norm").distinct()
+
+    @classmethod
+    def write(cls, path: str, rows: DataFrame, key: str, text: str, analyzer: Analyzer = Analyzer(), old: str | None = None, dead: DataFrame | None = None) -> TextIndex:
+        """Store the index of rows; with old, the path of one, of its rows but the dead ones and of rows besides."""
+        spark = rows.sparkSession
+        name = lambda p: f"{p}/bag/{uuid.uuid4().hex}"
+        rows.select(key).write.parquet(f"{path}/keys/new")
+        analyzer.bag(rows, key, text).write.parquet(name(path))
+        if old:
+            left = lambda df: df if dead is None else df.join(dead.select(key), key, "left_anti")
+            left(spark.read.option("recursiveFileLookup", True).parquet(f"{old}/keys")).write.parquet(f"{path}/keys/old")
+            left(spark.read.option("recursiveFileLookup", True).parquet(f"{old}/bag")).write.parquet(name(path))
+        n = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/keys").count()
+        bag = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/bag")
+        document_frequency(bag).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/df")
+        weighted = weights(bag, spark.read.parquet(f"{path}/df"), n, key)
+        weighted.join(norms(weighted, key), key).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/weights")
+        return cls.read(spark, path, key, n, analyzer)
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, key: str, n: int, language: str | None = None) -> TextIndex:
-        stored = spark.read.parquet(f"{path}/weights")
-        return cls(key, n, spark.read.parquet(f"{path}/df"), stored.select(key, "term", "w"), stored.select(key, "norm"), language)
+    def read(cls, spark: SparkSession, path: str, key: str, n: int | None = None, analyzer: Analyzer = Analyzer()) -> TextIndex:
+        if n is None:
+            n = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/keys").count()
+        return cls(key, n, spark.read.parquet(f"{path}/df"), spark.read.parquet(f"{path}/weights"), analyzer)
 
-    def query(self, text: str, spark: SparkSession) -> DataFrame:
-        """(term, qw): weights of the query's terms that the collection has; at most one row for each term of the query."""
-        asked = bag_of_words(spark.createDataFrame([(0, text)], "q int, text string"), "q", "text", self.language)
-        return self.df.join(F.broadcast(asked), "term").select("term", (F.log10(1 + F.col("tf")) * idf(self.n, F.col("df"))).alias("qw"))
+    def query(self, text: str) -> list[tuple[str, float]]:
+        """(term, weight) of the query's terms that the collection has; no more than the query has, so they come to the driver."""
+        asked = self.analyzer.bag(self.df.sparkSession.createDataFrame([(0, text)], "q int, text string"), "q", "text").select("term", "tf").collect()
+        found = dict(self.df.where(F.col("term").isin([t for t, _ in asked])).select("term", "df").collect()) if asked else {}
+        return [(t, math.log10(1 + tf) * math.log10(self.n / found[t])) for t, tf in sorted(asked) if t in found]
 
     def scores(self, text: str) -> DataFrame:
         """(key, score) of all documents of positive cosine with the query."""
-        spark = self.df.sparkSession
-        asked = self.query(text, spark)
-        size = asked.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-        dots = self.weighted.join(F.broadcast(asked), "term").groupBy(self.key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-        scored = dots.join(self.norm.dropDuplicates([self.key]), self.key).crossJoin(F.broadcast(size))
-        score = F.when((F.col("norm") > 0) & (F.col("qnorm") > 0), F.col("dot") / (F.col("norm") * F.col("qnorm"))).otherwise(0.0)
-        return scored.select(self.key, score.alias("score")).where("score > 0")
+        asked = self.query(text)
+        size = sum(w * w for _, w in asked) ** 0.5
+        weight = F.create_map(*(F.lit(x) for t, w in asked for x in (t, float(w))))[F.col("term")] if asked else F.lit(0.0)
+        hit = self.weighted.where(F.col("term").isin([t for t, _ in asked]))
+        dots = hit.groupBy(self.key).agg(F.sum(F.col("w") * weight).alias("dot"), F.max("norm").alias("norm"))
+        return dots.select(self.key, F.when((F.col("norm") > 0) & F.lit(size > 0), F.col("dot") / (F.col("norm") * F.lit(size or 1.0))).otherwise(0.0).alias("score")).where("score > 0")
 
     def top(self, text: str, k: int) -> DataFrame:
         """(key, score) of the k best; ties by key. Scores that differ only by rounding count as tied."""
@@ -92,7 +128,7 @@ class TextIndex:
 
 def info(name: str, index: TextIndex, path: str) -> DataFrame:
     """One row about a collection."""
-    return index.df.sparkSession.createDataFrame([(name, path, index.n, index.language or "simple")], "name string, path string, documents long, analyzer string")
+    return index.df.sparkSession.createDataFrame([(name, path, index.n, index.analyzer.language or "simple")], "name string, path string, documents long, analyzer string")
 
 
-__all__ = ["TextIndex", "bag_of_words", "document_frequency", "idf", "info", "norms", "postings", "terms", "weights", "without_term"]
+__all__ = ["Analyzer", "TextIndex", "bag_of_words", "document_frequency", "idf", "info", "norms", "postings", "terms", "weights", "without_term"]

@@ -1,23 +1,76 @@
-"""Visual words: codebooks, histograms, visual TF-IDF, and ranking by cosine.
+"""Visual words: local descriptors, codebooks, histograms, visual TF-IDF, and ranking by cosine.
 
-Descriptors are an input, (image, array of vectors): extracting them needs an image
-library, which may be plugged in through ``describe``.
+Pixels come from portable greymaps and pixmaps; other formats need an image library, which may be plugged in through ``describe``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def describe(images: DataFrame, extract: Callable[[bytes], np.ndarray], key: str = "path", content: str = "content") -> DataFrame:
+#: Vectors of a side of the blocks in which all pairs are compared.
+SIDE = 2048
+
+
+def pixels(raw: bytes) -> np.ndarray:
+    """Brightness from 0 to 1 of a binary greymap (P5) or pixmap (P6), a row for each line."""
+    head = re.match(rb"(P[56])(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)\s", raw)
+    if not head:
+        raise ValueError("neither a binary greymap nor a pixmap")
+    width, height, most = (int(head[i]) for i in (2, 3, 4))
+    colours = 3 if head[1] == b"P6" else 1
+    data = np.frombuffer(raw, np.uint8 if most < 256 else ">u2", width * height * colours, head.end()).reshape(height, width, colours) / most
+    return data @ np.array([0.299, 0.587, 0.114]) if colours == 3 else data[..., 0]
+
+
+def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The image at another size, between its pixels by their distances."""
+    if not image.size:
+        raise ValueError("an image without pixels")
+    place = [np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1) for n, m in zip((height, width), image.shape)]
+    low = [p.astype(np.int64) for p in place]
+    high = [np.minimum(a + 1, m - 1) for a, m in zip(low, image.shape)]
+    part = [p - a for p, a in zip(place, low)]
+    lines = image[low[0]] * (1 - part[0])[:, None] + image[high[0]] * part[0][:, None]
+    return lines[:, low[1]] * (1 - part[1]) + lines[:, high[1]] * part[1]
+
+
+def gradients(image: np.ndarray, patch: int = 16, side: int = 256) -> np.ndarray:
+    """One descriptor of 128 values for each patch that is not flat: of its 4 x 4 cells the strength of brightness changes in 8 directions, of length one.
+
+    A larger image is brought to ``side`` pixels first.
+    """
+    if max(image.shape) > side:
+        image = resize(image, *(max(1, round(n * side / max(image.shape))) for n in image.shape[::-1]))
+    if min(image.shape) < patch:
+        return np.zeros((0, 128))
+    dy, dx = np.gradient(image)
+    strength, turn = np.hypot(dx, dy), (np.floor((np.arctan2(dy, dx) + np.pi) / (2 * np.pi) * 8).astype(np.int64)) % 8
+    down, across = (n // patch for n in image.shape)
+    y, x = np.mgrid[: down * patch, : across * patch]
+    cell = y % patch * 4 // patch * 4 + x % patch * 4 // patch
+    place = ((y // patch * across + x // patch) * 16 + cell) * 8 + turn[: down * patch, : across * patch]
+    out = np.bincount(place.ravel(), strength[: down * patch, : across * patch].ravel(), down * across * 128).reshape(-1, 128)
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return (out / np.maximum(length, 1e-12))[length[:, 0] > 1e-9]
+
+
+def describe_pixels(raw: bytes) -> np.ndarray:
+    """The descriptors of an image file."""
+    return gradients(pixels(raw))
+
+
+def describe(images: DataFrame, extract: Callable[[bytes], np.ndarray] = describe_pixels, key: str = "path", content: str = "content") -> DataFrame:
     """(key, descriptors) by a function from the bytes of a file to a matrix of descriptors; files it can't read are left out."""
     kind = images.schema[key].dataType.simpleString()
 
@@ -52,22 +105,35 @@ def reduce_dimensions(rows: DataFrame, vector: str, k: int) -> DataFrame:
     return PCA(k=k, inputCol="_in", outputCol="_out").fit(data).transform(data).withColumn(vector, vector_to_array("_out")).drop("_in", "_out")
 
 
-def word_of(descriptor: Column, codebook: list[list[float]]) -> Column:
-    """Number of the nearest centre by squared distance, the lowest in a tie. Evaluated on the JVM."""
-    centres = F.lit(np.asarray(codebook, float).ravel().tolist())
-    size = len(codebook[0])
+def words_of(x: np.ndarray, codebook: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of each row by squared distance, the lowest in a tie."""
+    away = (x**2).sum(1)[:, None] + (codebook**2).sum(1) - 2 * (x @ codebook.T)
+    out = away.argmin(1)
+    # where rounding may have decided, by the differences themselves
+    close = away <= away.min(1, keepdims=True) + 1e-9 * (1 + np.abs(away).max(1, keepdims=True))
+    for i in np.flatnonzero(close.sum(1) > 1):
+        centres = np.flatnonzero(close[i])
+        out[i] = centres[((codebook[centres] - x[i]) ** 2).sum(1).argmin()]
+    return out
 
-    def away(i: Column) -> Column:
-        pairs = F.zip_with(descriptor, F.slice(centres, i * size + 1, F.lit(size)), lambda x, y: (x - y) * (x - y))
-        return F.struct(F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b).alias("d"), i.alias("i"))
 
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(codebook) - 1)), away))["i"]
+def histogram(descriptors: DataFrame, codebook: list[list[float]], key: str) -> DataFrame:
+    """(key, word, n) of the words that occur; descriptors has one row or more for each key. An image without descriptors has no row."""
+    kind = descriptors.schema[key].dataType.simpleString()
+    held = descriptors.sparkSession.sparkContext.broadcast(np.asarray(codebook, float))  # a codebook has a fixed size
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = held.value
+        for batch in batches:
+            some = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
+            count = np.diff(some.offsets.to_numpy())
+            flat = some.flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, book.shape[1])
+            word = np.concatenate([np.zeros(0, np.int64), *(words_of(flat[i : i + 4096], book) for i in range(0, len(flat), 4096))])
+            both, n = np.unique(np.repeat(np.arange(len(count)), count) * len(book) + word, return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(both // len(book))), pa.array((both % len(book)).astype(np.int32)), pa.array(n.astype(np.int64))], names=[key, "word", "n"])
 
-def histogram(descriptors: DataFrame, codebook: list[list[float]], key: str) -> DataFrame:
-    """(key, word, n) of the words that occur."""
-    each = descriptors.select(key, F.explode(F.transform("descriptors", lambda d: word_of(d, codebook))).alias("word"))
-    return each.groupBy(key, "word").agg(F.count("*").alias("n"))
+    each = descriptors.select(key, F.col("descriptors").cast("array<array<double>>")).mapInArrow(work, f"`{key}` {kind}, word int, n long")
+    return each.groupBy(key, "word").agg(F.sum("n").alias("n"))
 
 
 def tf_idf(hist: DataFrame, key: str) -> DataFrame:
@@ -89,6 +155,13 @@ def nearest(weighted: DataFrame, key: str, query: object, k: int) -> DataFrame:
     return scored.select(key, (F.col("dot") / (F.col("size") * F.col("own"))).alias("score")).orderBy(F.desc(F.round("score", 12)), key).limit(k)
 
 
+def nearest_to(hist: DataFrame, key: str, asked: DataFrame, k: int) -> DataFrame:
+    """(key, score): the k images nearest to one that is not among them; its histogram (word, n) joins the others before TF-IDF."""
+    new = "\0asked"
+    both = hist.select(F.col(key).cast("string").alias(key), "word", "n").unionByName(asked.select(F.lit(new).alias(key), "word", "n"))
+    return nearest(tf_idf(both, key), key, new, k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -105,7 +178,29 @@ def nearest_vectors(rows: DataFrame, key: str, vector: str, query: object, k: in
 
 
 def all_pairs(rows: DataFrame, key: str, vector: str, least: float = -1.0) -> DataFrame:
-    """(a, b, score) of all pairs a < b of cosine at least ``least``; every pair is looked at."""
-    left = rows.select(F.col(key).alias("a"), F.col(vector).alias("va"))
-    right = rows.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
-    return left.join(right, F.col("a") < F.col("b")).select("a", "b", cosine(F.col("va"), F.col("vb")).alias("score")).where(F.col("score") >= least)
+    """(a, b, score) of all pairs a < b of cosine at least ``least``; every pair is looked at, blocks of vectors at a time. Vectors without length, and nulls, have no pairs."""
+    kind = rows.schema[key].dataType.simpleString()
+    rows = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null and exists(v, x -> x <> 0)")
+    parts = max(1, -(-rows.count() // SIDE))
+    block = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+    # each vector meets every block once, in one order
+    tile = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(F.least(i, block).alias("row"), F.greatest(i, block).alias("col")))
+    placed = rows.withColumn("block", block).withColumn("tile", F.explode(tile)).select("key", "v", "block", "tile.row", "tile.col")
+
+    def work(table: pa.Table) -> pa.Table:
+        keys, row, col = table.column("key").combine_chunks(), table.column("row")[0].as_py(), table.column("col")[0].as_py()
+        x = np.array(table.column("v").to_pylist(), float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        block = table.column("block").to_numpy()
+        left, right = np.flatnonzero(block == row), np.flatnonzero(block == col)
+        score = x[left] @ x[right].T
+        i, j = np.nonzero(score >= least)
+        a, b = keys.take(pa.array(left[i])), keys.take(pa.array(right[j]))
+        # within a block each pair comes both ways
+        low, high = a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)
+        fine = low < high if row == col else low != high
+        swap = pa.array(low > high)
+        out = pa.table({"a": pa.compute.if_else(swap, b, a), "b": pa.compute.if_else(swap, a, b), "score": pa.array(score[i, j])})
+        return out.filter(pa.array(fine))
+
+    return placed.groupBy("row", "col").applyInArrow(work, f"a {kind}, b {kind}, score double")

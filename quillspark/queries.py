@@ -11,11 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.analysis import bag_of_words
-from .functions.types import SqlType
 from .operators import layouts, spatial, text, vision
-from .plans import ast as A
-from .plans import predicates
-from .plans.parser import parse
 from .session import Engine
 from .sources.checkpoints import shared_folder
 
@@ -37,31 +33,16 @@ def query(sql: str | None = None):  # noqa: ANN201
     return put
 
 
-_SQL_TYPES = {"int": "int", "bigint": "long", "double": "double", "float": "float", "string": "text", "timestamp_ntz": "timestamp", "timestamp": "timestamp", "boolean": "bool", "date": "date"}
-
-
-def select_from(df: DataFrame, statement: str, key: str) -> DataFrame:
-    """Run a SELECT of the dialect over a DataFrame in place of a stored table."""
-    (s,) = parse(statement)
-    types = {c: SqlType.parse(_SQL_TYPES[k]) for c, k in df.dtypes}
-    stands, order = {}, []
-    for i, e in enumerate(x for x in A.leaves(s.where) if isinstance(x, A.RANKED)):
-        if isinstance(e, A.Radius):
-            point = predicates.numbers(e.point)
-            away = predicates.distance(e.columns, point)
-            stands[id(e)] = predicates.box(e.columns, tuple(v - e.r for v in point), tuple(v + e.r for v in point)) & (away < e.r)
-            continue
-        near = spatial.closest(df, e.columns, predicates.numbers(e.point), e.k, key).select(F.col(key).alias(f"_k{i}"))
-        df = df.join(near, F.col(key) == F.col(f"_k{i}"), "left")
-        stands[id(e)] = F.col(f"_k{i}").isNotNull()
-    out = df if s.where is None else df.where(predicates.column(s.where, types, lambda e: stands[id(e)]))
-    out = out.orderBy(*order) if order else out
-    out = out.select(*(s.columns or types))
-    return out if s.limit is None else out.limit(s.limit)
+def engine(spark: SparkSession, sf_dir: str, **keys: str) -> Engine:
+    """A new engine with some of the given tables attached under their names; the value names the key column."""
+    e = Engine(spark, shared_folder(spark, "tables"))
+    for table, key in keys.items():
+        e.attach(table, read(spark, sf_dir, table), key)
+    return e
 
 
 def _dialect(name: str, table: str, key: str, statement: str, sql: str) -> None:
-    QUERIES[name] = lambda spark, d: select_from(read(spark, d, table), statement, key)
+    QUERIES[name] = lambda spark, d: engine(spark, d, **{table: key}).sql(statement)
     ORACLES[name] = sql
 
 
@@ -94,7 +75,9 @@ for _name, _table, _key, _columns, _where, _sql in [
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25")
 def limit_sorted(spark: SparkSession, d: str) -> DataFrame:
-    return select_from(read(spark, d, "orders").orderBy("o_orderkey"), "select o_orderkey, o_totalprice from orders limit 25;", "o_orderkey")
+    e = Engine(spark, shared_folder(spark, "tables"))
+    e.attach("orders", read(spark, d, "orders").orderBy("o_orderkey"), "o_orderkey")
+    return e.sql("select o_orderkey, o_totalprice from orders limit 25;")
 
 
 _DIST = "sqrt(CAST((p_size - 25.0) * (p_size - 25.0) AS DOUBLE) + (p_retailprice - 910.0) * (p_retailprice - 910.0))"
@@ -107,7 +90,22 @@ def knn_2d(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT p_partkey FROM (SELECT * FROM part ORDER BY {_DIST}, p_partkey LIMIT 50) WHERE p_size > 25")
 def knn_postfilter(spark: SparkSession, d: str) -> DataFrame:
-    return select_from(read(spark, d, "part"), "select p_partkey from part where p_size, p_retailprice in (25, 910) closest 50 and p_size > 25;", "p_partkey")
+    return engine(spark, d, part="p_partkey").sql("select p_partkey from part where p_size, p_retailprice in (25, 910) closest 50 and p_size > 25;")
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """The rows with their place in the order in which a ranking returns them."""
+    return layouts.numbered(df, "place").withColumn("place", F.col("place").cast("int"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {_DIST}, p_partkey)::INT AS place, p_partkey FROM part WHERE {_DIST} < 8 AND p_size <> 25")
+def radius_ordered(spark: SparkSession, d: str) -> DataFrame:
+    return placed(engine(spark, d, part="p_partkey").sql("select p_partkey from part where p_size, p_retailprice in (25, 910) radius 8 and p_size != 25;"))
+
+
+@query(f"WITH c AS (SELECT p_partkey, {_DIST} AS dist FROM part ORDER BY {_DIST}, p_partkey LIMIT 12) SELECT row_number() OVER (ORDER BY c.dist NULLS LAST, part.p_partkey)::INT AS place, part.p_partkey FROM part LEFT JOIN c USING (p_partkey) WHERE c.dist IS NOT NULL OR p_size = 1")
+def knn_or_filter(spark: SparkSession, d: str) -> DataFrame:
+    return placed(engine(spark, d, part="p_partkey").sql("select p_partkey from part where p_size, p_retailprice in (25, 910) closest 12 or p_size == 1;"))
 
 
 @query(f"SELECT p_partkey, round({_DIST}, 6) AS dist FROM part WHERE {_DIST} < 8")
@@ -116,27 +114,43 @@ def radius_2d(spark: SparkSession, d: str) -> DataFrame:
     return near.select("p_partkey", F.round(spatial.DIST, 6).alias("dist"))
 
 
-def _layout(name: str, table: str, kind: str, columns: tuple[str, ...], where: str, sql: str) -> None:
+def _indexed(name: str, table: str, key: str, kind: str, columns: str, where: str, sql: str, params: str = "") -> None:
+    """An index is created over the table, and the condition answered through it."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows, path = read(spark, d, table), shared_folder(spark, kind)
-        buckets = layouts.build(rows, kind, columns, path, rows.count())
-        (s,) = parse(f"select * from t where {where};")
-        types = {c: SqlType.parse(_SQL_TYPES[k]) for c, k in rows.dtypes}
-        stored = spark.read.parquet(path)
-        if buckets:
-            stored = stored.where(F.col(layouts.BUCKET) == layouts.bucket_of(F.lit(s.where.value).cast(types[columns[0]].spark), buckets)).drop(layouts.BUCKET)
-        return stored.where(predicates.column(s.where, types, lambda _: F.lit(False)))
+        return engine(spark, d, **{table: key}).sql(f"create index on {table} using {kind} ({columns}){params}; select * from {table} where {where};")
 
     QUERIES[name] = run
     ORACLES[name] = f"SELECT * FROM {table} WHERE {sql}"
 
 
-_layout("hash_lookup", "orders", "hash", ("o_custkey",), "o_custkey == 77", "o_custkey = 77")
-_layout("bptree_range", "orders", "bptree", ("o_totalprice",), "o_totalprice between 1000 and 50000", "o_totalprice BETWEEN 1000 AND 50000")
-_layout("seq_range", "customer", "seq", ("c_acctbal",), "c_acctbal between 0 and 1000", "c_acctbal BETWEEN 0 AND 1000")
-_layout("isam_range", "part", "isam", ("p_name",), 'p_name between "b" and "m"', "p_name BETWEEN 'b' AND 'm'")
-_layout("brin_range", "events", "brin", ("ts",), 'ts between "2024-01-03 00:00:00" and "2024-01-05 00:00:00"', "ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-05'")
-_layout("rtree_box", "part", "rtree", ("p_size", "p_retailprice"), "p_size, p_retailprice between [5, 902] and [15, 918]", "p_size BETWEEN 5 AND 15 AND p_retailprice BETWEEN 902 AND 918")
+_indexed("hash_lookup", "orders", "o_orderkey", "hash", "o_custkey", "o_custkey == 77", "o_custkey = 77")
+_indexed("hash_params", "customer", "c_custkey", "hash", "c_nationkey", "c_nationkey == 7", "c_nationkey = 7", " params (16)")
+_indexed("bptree_range", "orders", "o_orderkey", "bptree", "o_totalprice", "o_totalprice between 1000 and 50000", "o_totalprice BETWEEN 1000 AND 50000")
+_indexed("seq_range", "customer", "c_custkey", "seq", "c_acctbal", "c_acctbal between 0 and 1000", "c_acctbal BETWEEN 0 AND 1000")
+_indexed("isam_range", "customer", "c_custkey", "isam", "c_nationkey", "c_nationkey between 3 and 5", "c_nationkey BETWEEN 3 AND 5")
+_indexed("brin_range", "events", "event_id", "brin", "ts", 'ts between "2024-01-03 00:00:00" and "2024-01-05 00:00:00"', "ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-05'")
+_indexed("rtree_box", "part", "p_partkey", "rtree", "p_size, p_retailprice", "p_size, p_retailprice between [5, 902] and [15, 918]", "p_size BETWEEN 5 AND 15 AND p_retailprice BETWEEN 902 AND 918")
+_indexed("rtree_radius", "part", "p_partkey", "rtree", "p_size, p_retailprice", "p_size, p_retailprice in (25, 910) radius 8", f"{_DIST} < 8")
+
+
+@query("SELECT 'hash' AS kind, 'o_custkey' AS columns, true AS built, 0::BIGINT AS rows_behind")
+def index_state(spark: SparkSession, d: str) -> DataFrame:
+    e = engine(spark, d, orders="o_orderkey")
+    e.sql("create index on orders using hash (o_custkey); create index on orders using bptree (o_orderkey); drop index bptree on values o_orderkey on orders;")
+    return e.indexes("orders").where("built").select("kind", "columns", "built", "rows_behind")
+
+
+@query("SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders")
+def index_dump(spark: SparkSession, d: str) -> DataFrame:
+    e = engine(spark, d, orders="o_orderkey")
+    e.sql("create index on orders using isam (o_totalprice);")
+    return e.dump("orders", "o_totalprice").agg(F.sum("n").alias("n"), F.min("lo_o_totalprice").alias("lo"), F.max("hi_o_totalprice").alias("hi"))
+
+
+@query("SELECT * FROM orders WHERE o_orderkey IN (3, 7, 33, 1000)")
+def fetch_positions(spark: SparkSession, d: str) -> DataFrame:
+    return engine(spark, d, orders="o_orderkey").fetch("orders", [3, 7, 33, 1000]).drop("_rid")
 
 
 @query("SELECT event_id // 1200 AS block, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1")
@@ -187,6 +201,22 @@ def delete_select(spark: SparkSession, d: str) -> DataFrame:
     return _part_table(spark, d).sql("delete from part where p_partkey < 20; select p_partkey, p_size from part;")
 
 
+@query("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_partkey <> 40 UNION ALL SELECT 9000001, 15")
+def stored_index_select(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that came and went after the index was built are seen through it."""
+    return _part_table(spark, d).sql(
+        'create index on part using isam (p_size); insert into part (p_partkey, p_name, p_brand, p_type, p_size, p_retailprice) values (9000001, "new part", "B", "T", 15, 1.5);'
+        "delete from part where p_partkey == 40; select p_partkey, p_size from part where p_size between 10 and 20;"
+    )
+
+
+@query("SELECT * FROM (VALUES ('dropped')) t(state)")
+def drop_table(spark: SparkSession, d: str) -> DataFrame:
+    e = _part_table(spark, d)
+    e.sql("drop table part;")
+    return spark.createDataFrame([("there" if e.catalog.exists("part") else "dropped",)], "state string")
+
+
 @query("SELECT p_partkey, p_size FROM part WHERE p_size <= 25")
 def compact_select(spark: SparkSession, d: str) -> DataFrame:
     return _part_table(spark, d).sql("delete from part where p_size > 25; select p_partkey, p_size from part;")
@@ -206,11 +236,12 @@ _QUERY = f"{_WEIGHTS}, q AS (SELECT term, log10(1 + count(*)) AS t FROM (SELECT
 
 
 def _bag(spark: SparkSession, d: str) -> DataFrame:
-    return bag_of_words(read(spark, d, "documents"), "doc_id", "text")
+    return bag_of_words(read(spark, d, "documents"), "doc_id", "text", unique=True)
 
 
 def _index(spark: SparkSession, d: str) -> text.TextIndex:
-    return text.TextIndex.build(read(spark, d, "documents"), "doc_id", "text")
+    """Built, stored and read again."""
+    return text.TextIndex.write(shared_folder(spark, "text"), read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @query(f"{_BAG} SELECT doc_id, term, tf FROM bag")
@@ -249,9 +280,36 @@ def text_topk(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).top(_ASK, 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"{_QUERY} SELECT t.doc_id, lang FROM (SELECT doc_id FROM s WHERE score > 0 ORDER BY round(score, 12) DESC, doc_id LIMIT 40) t JOIN documents USING (doc_id) WHERE lang = 'de'")
+_BEST = f"{_QUERY}, b AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 12) DESC, doc_id)::INT AS place FROM s WHERE score > 0 QUALIFY place <= <K>)"
+
+
+@query(f"{_BEST.replace('<K>', '10')} SELECT place, doc_id FROM b")
+def text_match(spark: SparkSession, d: str) -> DataFrame:
+    return placed(engine(spark, d, documents="doc_id").sql(f'select doc_id from documents where text @@ "{_ASK}" top 10;'))
+
+
+@query(f"{_BEST.replace('<K>', '40')} SELECT doc_id, lang FROM b JOIN documents USING (doc_id) WHERE lang = 'de' ORDER BY place LIMIT 5")
 def text_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).top(_ASK, 40).join(read(spark, d, "documents"), "doc_id").where("lang = 'de'").select("doc_id", "lang")
+    return engine(spark, d, documents="doc_id").sql(f'select doc_id, lang from documents where text @@ "{_ASK}" top 40 and lang == "de" limit 5;')
+
+
+@query(f"{_BEST.replace('<K>', '10')} SELECT place, doc_id FROM b".replace("FROM documents)", "FROM (SELECT * FROM documents WHERE doc_id % 9 <> 4))").replace("FROM documents),", "FROM (SELECT * FROM documents WHERE doc_id % 9 <> 4)),"))
+def text_match_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index follows rows that are appended and deleted; only new ones are read as text."""
+    e = Engine(spark, shared_folder(spark, "tables"))
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    ask = f'select doc_id from docs where text @@ "{_ASK}" top 10;'
+    e.sql("create table docs (doc_id long primary key, text text, part int);")
+    e.append("docs", docs.where("doc_id % 9 > 1").withColumn("part", F.expr("int(doc_id % 9)")))
+    e.sql(ask)
+    e.append("docs", docs.where("doc_id % 9 <= 1").withColumn("part", F.expr("int(doc_id % 9)")))
+    return placed(e.sql(f"delete from docs where part == 4; {ask}"))
+
+
+@query(f"{_BAG} SELECT count(*) AS documents, (SELECT count(DISTINCT term) FROM bag) AS terms FROM documents")
+def text_collection(spark: SparkSession, d: str) -> DataFrame:
+    index = _index(spark, d)
+    return text.info("documents", index, "").select("documents", F.lit(index.df.count()).alias("terms"))
 
 
 @query(f"{_BAG} SELECT term, count(*) AS df FROM bag WHERE term <> 'the' GROUP BY 1")
@@ -290,11 +348,15 @@ raw AS (SELECT vec_id, word, n * idf AS raw FROM hist JOIN idf USING (word)),
 w AS (SELECT vec_id, word, raw / (sqrt(sum(raw * raw) OVER (PARTITION BY vec_id)) + 1e-10) AS w FROM raw)"""
 
 
+def _first_words(parts: DataFrame) -> list[list[float]]:
+    """A codebook that SQL can write down as well: the first descriptors by id. ``kmeans_vocab`` has one that is fitted to all."""
+    first = parts.orderBy("vec_id").limit(_WORDS // 8).collect()
+    return [list(v) for r in first for v in r["descriptors"]]
+
+
 def _visual_histogram(spark: SparkSession, d: str) -> DataFrame:
     parts = vision.cut_descriptors(read(spark, d, "embeddings"), "vec_id", "embedding", 8)
-    # the codebook has a fixed size: the first descriptors by id
-    first = parts.orderBy("vec_id").limit(_WORDS // 8).collect()
-    return vision.histogram(parts, [list(v) for r in first for v in r["descriptors"]], "vec_id")
+    return vision.histogram(parts, _first_words(parts), "vec_id")
 
 
 @query(f"{_HIST} SELECT vec_id, word, n FROM hist")
@@ -312,6 +374,17 @@ def bovw_knn(spark: SparkSession, d: str) -> DataFrame:
     return vision.nearest(vision.tf_idf(_visual_histogram(spark, d), "vec_id"), "vec_id", 7, 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query(f"{_VISUAL}, s AS (SELECT a.vec_id, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.word = b.word AND b.vec_id = 7 WHERE a.vec_id <> 7 GROUP BY 1), z AS (SELECT vec_id, sqrt(sum(w * w)) AS size FROM w GROUP BY 1), k AS (SELECT s.vec_id, row_number() OVER (ORDER BY round(dot / (z.size * (SELECT size FROM z WHERE vec_id = 7)), 12) DESC, s.vec_id::VARCHAR COLLATE C)::INT AS r FROM s JOIN z USING (vec_id)) SELECT vec_id FROM k WHERE r <= 10")
+def image_match(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors stand for image files: their descriptors are stored with the table and searched through the dialect."""
+    e, rows = Engine(spark, shared_folder(spark, "tables")), read(spark, d, "embeddings")
+    e.sql("create table pictures (vec_id long primary key, picture file);")
+    e.append("pictures", rows.select("vec_id", F.col("vec_id").cast("string").alias("picture")))
+    parts = vision.cut_descriptors(rows, "vec_id", "embedding", 8)
+    e.register_descriptors("pictures", "picture", parts, _first_words(parts))
+    return e.sql('select vec_id from pictures where picture <-> "7" top 10;')
+
+
 @query()
 def kmeans_vocab(spark: SparkSession, d: str) -> DataFrame:
     parts = vision.cut_descriptors(read(spark, d, "embeddings"), "vec_id", "embedding", 8)

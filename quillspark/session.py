@@ -5,49 +5,70 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
+import numpy as np
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import AlreadyExists, EngineError, Invalid, NotFound
-from .functions.types import SqlType, from_text
+from .errors import AlreadyExists, EngineError, Invalid, NotFound, SyntaxProblem
+from .functions.types import BAD_VALUE, SqlType, from_text
 from .operators import layouts, spatial, vision
-from .operators.text import TextIndex
+from .operators.text import Analyzer, TextIndex
 from .plans import ast as A
 from .plans import predicates
 from .plans.parser import parse
 from .sources.catalog import Catalog, Index, Table
-from .sources.storage import RID, Storage, read_csv
+from .sources.storage import RID, Storage, last_of_each, read_csv
 
 
 class Engine:
-    """Tables live under root, which all executors must be able to reach."""
+    """Tables live under root, which all executors must be able to reach.
+
+    extract: from the bytes of an image file to its descriptors. analyzers: by name (the first word among a spimi index's params that is
+    one) how texts become terms; English and Spanish are known.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, extract: Callable[[bytes], np.ndarray] = vision.describe_pixels, analyzers: dict[str, Analyzer] | None = None):
         self.spark = spark
         self.catalog = Catalog(spark, root)
         self.storage = Storage(spark, self.catalog)
-        self._descriptors: dict[tuple[str, str], DataFrame] = {}
+        self.extract = extract
+        self.analyzers = {"english": Analyzer("english"), "spanish": Analyzer("spanish"), **(analyzers or {})}
 
     # -- entry points
 
     def sql(self, script: str) -> DataFrame | None:
         """Run all statements of a script; the result of the last one."""
+        return self._all(parse(script))
+
+    def _all(self, statements: list) -> DataFrame | None:
         result = None
-        for statement in parse(script):
+        for statement in statements:
             result = getattr(self, f"_{type(statement).__name__.lower()}")(statement)
         return result
 
     def run(self, script: str) -> dict:
-        """The last result in the form that a service returns, errors included."""
+        """The last result in the form that a service returns.
+
+        Errors have status 400: of syntax with what was expected and where, of statements, and of Spark while it ran one. Anything else has 500.
+        """
         begun = time.time_ns()
         try:
             statements = parse(script)
-            df = self.sql(script)
+            df = self._all(statements)
             rows = [json.loads(r) for r in df.toJSON().toLocalIterator()] if df is not None else []
+        except SyntaxProblem as e:
+            return {"status": 400, "message": str(e), "expected": list(e.expected), "at": e.at}
         except EngineError as e:
             return {"status": 400, "message": str(e)}
+        except PySparkException as e:
+            return {"status": 400, "message": str(e).split("\n")[0]}
+        except Exception as e:  # a service answers whatever happens
+            return {"status": 500, "message": f"{type(e).__name__}: {e}"}
         kinds = dict(df.dtypes) if df is not None else {}
         last = statements[-1]
         return {
@@ -55,6 +76,41 @@ class Engine:
             "message": f"{type(last).__name__.lower()} took {(time.time_ns() - begun) / 1e6:.3f} ms",
         }
 
+    def attach(self, name: str, rows: DataFrame, key: str) -> None:
+        """Take a DataFrame for a table of this session that can be read and indexed, but not changed. The key, a whole number, stands for the row's position."""
+        kinds = {"bigint": "long", "string": "text", "timestamp_ntz": "timestamp", "boolean": "bool", "decimal(20,0)": "ulong"}
+        columns = tuple((c, kinds.get(k, k)) for c, k in rows.dtypes if kinds.get(k, k) in ("int", "long", "ulong", "float", "double", "text", "timestamp", "bool", "date"))
+        if self.catalog.exists(name):
+            raise AlreadyExists(f"table {name} exists")
+        if key not in dict(columns):
+            raise NotFound(f"no column {key} in {name}")
+        self.storage.attached[name] = rows.select(*(c for c, _ in columns))
+        self.catalog.attached[name] = Table(name, columns, key, tuple(Index("spimi", (c,)) for c, k in columns if k == "text"), parts=("attached",))
+
+    def upload(self, name: str, content: bytes) -> str:
+        """Store a file; the path under which COPY and ``<->`` find it."""
+        if not name or "/" in name or name.startswith("."):
+            raise Invalid(f"no name of a file: {name!r}")
+        path = f"{self.catalog.root}/_files/{name}"
+        self.catalog.files.write(path, content)
+        return path
+
+    def fetch(self, table: str, positions: Sequence[int]) -> DataFrame:
+        """(_rid, columns): the live rows at some positions, which ``positions`` tells."""
+        return self.storage.fetch(self.catalog.get(table), positions)
+
+    def positions(self, table: str) -> DataFrame:
+        """(_rid, key) of the live rows."""
+        t = self.catalog.get(table)
+        return self.storage.scan(t).select(RID, t.key)
+
+    def load_collection(self, table: str, path: str, encoding: str = "ISO-8859-1") -> int:
+        """Append a CSV file of texts; of rows that repeat the primary key the last one counts. The number of rows appended."""
+        t = self.catalog.get(table)
+        rows = read_csv(self.spark, path, t.types, encoding=encoding).withColumn("_at", F.monotonically_increasing_id())
+        now = self._appended(t, last_of_each(rows, t.key, "_at").select(*t.types))
+        return now.rows - t.rows
+
     def info(self) -> DataFrame:
         return self.catalog.info()
 
@@ -71,14 +127,69 @@ class Engine:
             if i.layout:
                 parts = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(i.layout)
                 files, size = parts.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-            behind = self.storage.read(t).where(F.col(RID) > i.upto).count()
+            behind = self.storage.read(t, t.parts[i.parts :]).count()
             rows.append((i.kind, ",".join(i.columns), i.layout is not None, files, size, behind))
         return self.spark.createDataFrame(rows, "kind string, columns string, built boolean, files long, bytes long, rows_behind long")
 
+    def dump(self, name: str, *columns: str) -> DataFrame:
+        """What each file of an index holds: its rows and the range of each of the index's columns; of a text index the terms with their df."""
+        index = self.catalog.get(name).index_on(*columns)
+        if index is None or index.layout is None:
+            raise NotFound(f"no index over {', '.join(columns)} is built")
+        if index.kind == "spimi":
+            return self.spark.read.parquet(f"{index.layout}/df")
+        return layouts.dump(self.spark.read.parquet(index.layout), columns)
+
+    # -- images
+
     def register_descriptors(self, table: str, column: str, descriptors: DataFrame, codebook: list[list[float]]) -> None:
-        """Descriptors (name, descriptors) of the files that a file column names, for ``<->`` searches."""
-        hist = vision.histogram(descriptors.select(F.col(descriptors.columns[0]).alias("name"), F.col(descriptors.columns[1]).alias("descriptors")), codebook, "name")
-        self._descriptors[table, column] = vision.tf_idf(hist, "name")
+        """Store descriptors (name, descriptors) of the files that a file column names, as histograms of the codebook's words, for ``<->`` searches."""
+        path = self._images(table, column)
+        self.catalog.files.delete(path)
+        self.catalog.files.write(f"{path}/codebook.json", json.dumps([list(map(float, c)) for c in codebook]))
+        self.add_descriptors(table, column, descriptors)
+
+    def add_descriptors(self, table: str, column: str, descriptors: DataFrame) -> None:
+        """Add images to those stored."""
+        named = descriptors.select(F.col(descriptors.columns[0]).cast("string").alias("name"), F.col(descriptors.columns[1]).alias("descriptors"))
+        vision.histogram(named, self._codebook(table, column), "name").write.mode("append").parquet(f"{self._images(table, column)}/words")
+
+    def index_images(self, table: str, column: str, words: int = 1000) -> None:
+        """Describe the files that a file column names, fit a codebook to all of their descriptors, and store their histograms."""
+        found = vision.describe(self._contents(self.table(table).select(F.col(column).alias("path")).where("path is not null")), self.extract, "path")
+        self.register_descriptors(table, column, found, vision.vocabulary(found, words))
+
+    def add_image(self, table: str, column: str, path: str) -> None:
+        """Describe one more file with the stored codebook."""
+        self.add_descriptors(table, column, self._described(path))
+
+    def image_words(self, table: str, column: str, name: str | None = None) -> DataFrame:
+        """(name, word, n): the stored histograms, or that of one image."""
+        if not self.catalog.files.exists(f"{self._images(table, column)}/words"):
+            raise Invalid(f"no descriptors for {table}.{column}")
+        words = self.spark.read.parquet(f"{self._images(table, column)}/words")
+        return words if name is None else words.where(F.col("name") == F.lit(name))
+
+    def _images(self, table: str, column: str) -> str:
+        t = self.catalog.get(table)
+        self._columns(t, (column,))
+        return f"{self.catalog.folder(table)}/_images-{column}"
+
+    def _codebook(self, table: str, column: str) -> list[list[float]]:
+        path = f"{self._images(table, column)}/codebook.json"
+        if not self.catalog.files.exists(path):
+            raise Invalid(f"no descriptors for {table}.{column}")
+        return json.loads(self.catalog.files.read(path))
+
+    def _contents(self, paths: DataFrame) -> DataFrame:
+        """(path, content) of files. Each is opened by the executor that describes it."""
+        files = self.spark.read.format("binaryFile").load([r.path for r in paths.distinct().toLocalIterator()])
+        return files.select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content")
+
+    def _described(self, path: str) -> DataFrame:
+        if not self.catalog.files.exists(path):
+            raise NotFound(f"no file {path}")
+        return vision.describe(self.spark.read.format("binaryFile").load(path).select(F.lit(path).alias("path"), "content"), self.extract, "path")
 
     # -- definitions
 
@@ -100,6 +211,7 @@ class Engine:
 
     def _droptable(self, s: A.DropTable) -> DataFrame:
         self.catalog.drop(s.table)
+        self.storage.attached.pop(s.table, None)
         return self._said(f"table {s.table} dropped")
 
     def _createindex(self, s: A.CreateIndex) -> DataFrame:
@@ -119,7 +231,7 @@ class Engine:
         index = next((i for i in t.indexes if i.kind == s.kind and i.columns == s.columns), None)
         if index is None:
             raise NotFound(f"no {s.kind} index on {', '.join(s.columns)}")
-        self.catalog.put(replace(t, indexes=tuple(i for i in t.indexes if i != index)))
+        self.catalog.update(t.name, lambda now: replace(now, indexes=tuple(i for i in now.indexes if (i.kind, i.columns) != (index.kind, index.columns))))
         if index.layout:
             self.catalog.files.delete(index.layout)
         return self._said(f"index {s.kind} dropped")
@@ -139,7 +251,9 @@ class Engine:
         bad = [c for c, v in row.first().asDict().items() if v is None]
         if bad:
             raise Invalid(f"no {t.types[bad[0]]}: {given[bad[0]]!r}")
-        self.storage.append(t, row)
+        t = self.storage.append(t, row)
+        if self.storage.worn(t):
+            self.compact(s.table)
         return self._said("1 row inserted")
 
     def _copy(self, s: A.Copy) -> DataFrame:
@@ -147,35 +261,33 @@ class Engine:
         if not self.catalog.files.exists(s.path):
             raise NotFound(f"no file {s.path}")
         before = t.rows
-        t = self.storage.append(t, read_csv(self.spark, s.path, t.types, s.limit))
+        t = self._appended(t, read_csv(self.spark, s.path, t.types, s.limit))
         copied = t.rows - before
         for index in t.indexes:
             t = self._built(t, index)
         return self._said(f"{copied} rows copied")
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Append a DataFrame; its columns are matched by name."""
-        self.storage.append(self.catalog.get(table), rows)
+    def _appended(self, t: Table, rows: DataFrame) -> Table:
+        """Append rows; a value that its column can't hold is an error, and nothing is appended then."""
+        try:
+            return self.storage.append(t, rows)
+        except PySparkException as e:
+            if BAD_VALUE in str(e):
+                raise Invalid(str(e)[str(e).index(BAD_VALUE) :].split("\n")[0].split(" SQLSTATE")[0]) from None
+            raise
+
+    def append(self, table: str, rows: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Append a DataFrame; its columns are matched by name. batch: see ``Storage.append``."""
+        self.storage.append(self.catalog.get(table), rows, batch)
 
     def _delete(self, s: A.Delete) -> DataFrame:
         t = self.catalog.get(s.table)
         self._columns(t, predicates.used_columns(s.where))
-        ranked = [e for e in A.leaves(s.where) if isinstance(e, A.RANKED)]
-        if ranked:
-            hit = self._filtered(t, s.where)[0].select(RID)
-            t, n = self._bury(t, hit)
-        else:
-            t, n = self.storage.delete(t, predicates.column(s.where, t.types, lambda _: F.lit(False)))
+        t, n = self.storage.bury(t, self._filtered(t, s.where)[0])
         if self.storage.worn(t):
             self.compact(s.table)
         return self._said(f"{n} rows deleted")
 
-    def _bury(self, t: Table, hit: DataFrame) -> tuple[Table, int]:
-        path = f"{self.catalog.folder(t.name)}/graves-{uuid.uuid4().hex}"
-        hit.write.parquet(path)
-        n = self.spark.read.parquet(path).count()
-        return self.catalog.put(replace(t, graves=(*t.graves, path), dead=t.dead + n)), n
-
     def compact(self, table: str) -> None:
         """Rewrite the live rows and build the indexes anew."""
         t = self.storage.compact(self.catalog.get(table))
@@ -188,27 +300,31 @@ class Engine:
         """The table with the index built over its live rows; the old layout goes once the new one is in the catalog."""
         old = index.layout
         path = f"{self.catalog.folder(t.name)}/{index.kind}-{uuid.uuid4().hex}"
-        rows = self.storage.scan(t)
-        n = t.rows - t.dead
+        n = t.rows - t.dead if t.name not in self.catalog.attached else self.storage.scan(t).count()
         if index.kind == "spimi":
-            if n:
-                TextIndex.build(rows, RID, index.columns[0], self._language(index)).write(path)
-            mark = f"{t.snapshot}.{t.next_rid}.{t.dead}.{rows.count() if n else 0}"
+            # with an index over the first parts only the rows of the others are read as text
+            rows = self.storage.alive(t, self.storage.read(t, t.parts[index.parts :])) if old else self.storage.scan(t)
+            held = TextIndex.write(path, rows, RID, index.columns[0], self._analyzer(index), old, self.storage.graves(t)) if n else None
+            mark = f"{t.snapshot}.{len(t.parts)}.{t.dead}.{held.n if held else 0}"
         else:
-            mark = str(layouts.build(rows, index.kind, index.columns, path, n)) if n else "0"
-        index = replace(index, layout=path if n else None, upto=t.next_rid - 1 if n else -1, params=(*(p for p in index.params if not p.startswith("~")), f"~{mark}"))
-        t = self.catalog.put(t.with_index(index))
+            mark = str(layouts.build(self.storage.scan(t), index.kind, index.columns, path, n, self._params(index))) if n else "0"
+        new = replace(index, layout=path if n else None, parts=len(t.parts) if n else 0, params=(*self._params(index), f"~{mark}"))
+        # if the table was compacted meanwhile, the layout's parts are no more
+        now = self.catalog.update(t.name, lambda x: x.with_index(new) if x.snapshot == t.snapshot else x)
         if old:
             self.catalog.files.delete(old)
-        return t
+        return now
 
     @staticmethod
     def _mark(index: Index) -> str:
         return next((p[1:] for p in index.params if p.startswith("~")), "")
 
     @staticmethod
-    def _language(index: Index) -> str | None:
-        return next((p for p in index.params if p in ("english", "spanish")), None)
+    def _params(index: Index) -> tuple[str, ...]:
+        return tuple(p for p in index.params if not p.startswith("~"))
+
+    def _analyzer(self, index: Index) -> Analyzer:
+        return next((self.analyzers[p] for p in index.params if p in self.analyzers), Analyzer())
 
     def _rows(self, t: Table, where: object) -> DataFrame:
         """Live rows among which those that meet the condition are, read through an index where one fits."""
@@ -225,8 +341,9 @@ class Engine:
             if index.kind == "hash":
                 kind = t.types[e.column].spark
                 rows = rows.where(F.col(layouts.BUCKET) == layouts.bucket_of(F.lit(e.value).cast(kind), int(self._mark(index)))).drop(layouts.BUCKET)
-            late = self.storage.read(t).where(F.col(RID) > index.upto)
-            return self.storage.alive(t, rows.select(RID, *t.types).unionByName(late))
+            rows = rows.select(RID, *t.types)
+            late = t.parts[index.parts :]
+            return self.storage.alive(t, rows.unionByName(self.storage.read(t, late)) if late else rows)
         return self.storage.scan(t)
 
     # -- queries
@@ -268,18 +385,20 @@ class Engine:
             near = spatial.closest(self.storage.scan(t), e.columns, predicates.numbers(e.point), e.k, t.key)
             return near.select(RID, F.col(spatial.DIST).alias("_by"))
         if isinstance(e, A.ImageMatch):
-            if (t.name, e.column) not in self._descriptors:
-                raise Invalid(f"no descriptors for {t.name}.{e.column}")
-            best = vision.nearest(self._descriptors[t.name, e.column], "name", e.file, e.k)
+            words = self.image_words(t.name, e.column)
+            if self.image_words(t.name, e.column, e.file).isEmpty():  # a new image
+                best = vision.nearest_to(words, "name", vision.histogram(self._described(e.file), self._codebook(t.name, e.column), "path"), e.k)
+            else:
+                best = vision.nearest(vision.tf_idf(words, "name"), "name", e.file, e.k)
             return self.storage.scan(t).join(best, F.col(e.column) == F.col("name")).select(RID, (-F.col("score")).alias("_by"))
         index = t.index_on(e.column)
         if index is not None and index.kind == "spimi":
-            if not self._mark(index).startswith(f"{t.snapshot}.{t.next_rid}.{t.dead}."):  # rows came or went since
+            if not self._mark(index).startswith(f"{t.snapshot}.{len(t.parts)}.{t.dead}."):  # rows came or went since
                 t = self._built(t, index)
                 index = t.index_on(e.column)
             if index.layout is None:
                 return self.spark.createDataFrame([], f"{RID} long, _by double")
-            held = TextIndex.read(self.spark, index.layout, RID, int(self._mark(index).split(".")[3]), self._language(index))
+            held = TextIndex.read(self.spark, index.layout, RID, int(self._mark(index).split(".")[3]), self._analyzer(index))
         else:
             held = TextIndex.build(self.storage.scan(t), RID, e.column)
         return held.top(e.text, e.k).select(RID, (-F.col("score")).alias("_by"))

@@ -1,12 +1,14 @@
 """Catalog: declared columns, primary key, indexes and the current snapshot of each table.
 
-Each change writes a new numbered description; the highest complete one holds, so a
-writer that is lost midway leaves the table as it was.
+Each change writes a new numbered description; the highest one holds. A description appears
+whole and never replaces another, so a writer that is lost midway leaves the table as it was, and of two
+writers that start from the same one the second finds its number taken and applies its change to what the first left.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,7 @@ class Index:
     columns: tuple[str, ...]
     params: tuple[str, ...] = ()
     layout: str | None = None  # folder of the derived table; None: not built yet
-    upto: int = -1  # highest row id that it holds
+    parts: int = 0  # how many of the table's parts, from the first, it holds
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,7 @@ class Table:
     dead: int = 0
     parts: tuple[str, ...] = field(default=())  # folders that hold the rows
     graves: tuple[str, ...] = field(default=())  # folders of deleted row ids
+    batches: tuple[tuple[str, int], ...] = field(default=())  # the last micro-batch of each stream that has been appended
 
     @property
     def types(self) -> dict[str, SqlType]:
@@ -53,6 +56,7 @@ class Table:
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
+        self.attached: dict[str, Table] = {}  # tables of this session only
 
     def folder(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -61,37 +65,52 @@ class Catalog:
         return [n for n in self.files.names(f"{self.folder(table)}/_catalog") if n.endswith(".json") and not n.startswith(".")]
 
     def exists(self, table: str) -> bool:
-        return bool(self._versions(table))
+        return table in self.attached or bool(self._versions(table))
 
     def get(self, table: str) -> Table:
+        return self._at(table)[1]
+
+    def _at(self, table: str) -> tuple[int, Table]:
+        """The number of the description that holds, and the table."""
+        if table in self.attached:
+            return 0, self.attached[table]
         for name in reversed(self._versions(table)):
-            try:
-                d = json.loads(self.files.read(f"{self.folder(table)}/_catalog/{name}"))
-            except ValueError:
-                continue  # cut off while it was written
-            d["indexes"] = tuple(Index(i["kind"], tuple(i["columns"]), tuple(i["params"]), i["layout"], i["upto"]) for i in d["indexes"])
-            return Table(**{k: tuple(map(tuple, v)) if k == "columns" else tuple(v) if k in ("parts", "graves") else v for k, v in d.items()})
+            d = json.loads(self.files.read(f"{self.folder(table)}/_catalog/{name}"))
+            d["indexes"] = tuple(Index(i["kind"], tuple(i["columns"]), tuple(i["params"]), i["layout"], i["parts"]) for i in d["indexes"])
+            return int(name.split(".")[0]), Table(**{k: tuple(map(tuple, v)) if k in ("columns", "batches") else tuple(v) if k in ("parts", "graves") else v for k, v in d.items()})
         raise NotFound(f"no table {table}")
 
-    def put(self, table: Table) -> Table:
-        versions = self._versions(table.name)
-        number = int(versions[-1].split(".")[0]) + 1 if versions else 0
-        self.files.write(f"{self.folder(table.name)}/_catalog/{number:012d}.json", json.dumps(asdict(table)))
-        for old in versions[:-1]:
-            self.files.delete(f"{self.folder(table.name)}/_catalog/{old}")
-        return table
+    def update(self, table: str, change: Callable[[Table], Table]) -> Table:
+        """Apply a change to the table as it is now; again, if another writer was faster."""
+        while True:
+            number, now = self._at(table)
+            after = change(now)
+            if after == now:
+                return now
+            if table in self.attached:
+                self.attached[table] = after
+                return after
+            if self._write(after, number + 1):
+                # the one before stays for readers that have just listed it
+                for old in self._versions(table)[:-2]:
+                    self.files.delete(f"{self.folder(table)}/_catalog/{old}")
+                return after
+
+    def _write(self, table: Table, number: int) -> bool:
+        return self.files.write_new(f"{self.folder(table.name)}/_catalog/{number:012d}.json", json.dumps(asdict(table)))
 
     def create(self, table: Table) -> Table:
-        if self.exists(table.name):
+        if self.exists(table.name) or not self._write(table, 0):
             raise AlreadyExists(f"table {table.name} exists")
-        return self.put(table)
+        return table
 
     def drop(self, table: str) -> None:
         self.get(table)
+        self.attached.pop(table, None)
         self.files.delete(self.folder(table))
 
     def tables(self) -> list[str]:
-        return [n for n in self.files.names(self.root) if self.exists(n)]
+        return sorted({*self.attached, *(n for n in self.files.names(self.root) if self.exists(n))})
 
     def info(self) -> DataFrame:
         """(table, column, type, primary_key, index), a row for each column."""

@@ -1,24 +1,29 @@
-"""Cutting the lineage of a DataFrame in the folder that all executors share."""
+"""The folder that all executors share, and cutting the lineage of a DataFrame in it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's own folder; where neither is set, a temporary one, but on a single machine only."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if named is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return (named or sc.getCheckpointDir()).rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows and partitions, read from a checkpoint from now on."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def shared_folder(df_or_spark: object, prefix: str) -> str:
-    """A new folder name under the shared folder, or under a temporary one where none is set."""
-    import uuid
-
-    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
-    return f"{root.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{shared_root(spark)}/{prefix}-{uuid.uuid4().hex}"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -33,10 +37,34 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
+    def write(self, path: str, content: str | bytes) -> None:
+        fs, p = self._at(path)
+        self._put(fs.create(p, True), content)
+
+    def write_new(self, path: str, content: str) -> bool:
+        """Whether the file was written; one that is there already is left as it is."""
         fs, p = self._at(path)
-        stream = fs.create(p, True)
+        if fs.exists(p):
+            return False
+        aside = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+        self._put(fs.create(aside, False), content)
+        try:
+            # a rename fails where the target has come to be in the meantime, and readers see whole files only
+            context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.conf)
+            context.rename(context.makeQualified(aside), context.makeQualified(p), self._no_options())
+            return True
+        except Py4JJavaError:
+            fs.delete(aside, False)
+            if fs.exists(p):
+                return False
+            raise
+
+    def _no_options(self) -> object:
+        return SparkContext._gateway.new_array(getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+
+    @staticmethod
+    def _put(stream: object, content: str | bytes) -> None:
         try:
-            stream.write(bytearray(text.encode("utf-8")))
+            stream.write(bytearray(content.encode("utf-8") if isinstance(content, str) else content))
         finally:
             stream.close()

@@ -19,14 +19,11 @@ def csv_stream(engine: Engine, table: str, folder: str) -> DataFrame:
 
 
 def append_stream(engine: Engine, table: str, rows: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append each micro-batch to a table. A batch that is replayed after a failure is not appended twice."""
-    done = f"{checkpoint.rstrip('/')}/appended"
+    """Append each micro-batch to a table, once: its number is committed together with its rows, so a batch that is replayed after a failure changes nothing."""
+    stream = checkpoint.rstrip("/")
 
     def put(batch: DataFrame, number: int) -> None:
-        files = engine.catalog.files
-        if not files.exists(f"{done}/{table}-{number}"):
-            engine.append(table, batch)
-            files.write(f"{done}/{table}-{number}", "")
+        engine.append(table, batch, (stream, number))
 
     writer = rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -50,13 +50,56 @@ def test_bag_counts_lemma_and_stem(spark):
     assert stemmed == {(1, "runners"): 1, (1, "runner"): 1, (1, "running"): 1, (1, "run"): 3}
 
 
+def test_words_of_a_text_are_those_of_the_expression(spark):
+    from quillspark.functions.analysis import terms, words_of
+
+    texts = ["The CAT's  hat—x2y", "", "ÉTÉ çà ½ Ⅷ ² 日本語 ñandú\n_a_", "ſß ﬁ Σίσυφος 😀a"]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(terms(F.col("t")).alias("x")).collect()]
+    assert [[w for w in words_of(t) if w] for t in texts] == got
+    twice = spark.createDataFrame([(1, "a b"), (1, "a"), (None, "c"), (2, None)], "id int, t string")
+    assert sorted(map(repr, map(tuple, bag_of_words(twice, "id", "t").collect()))) == sorted(["(1, 'a', 2)", "(1, 'b', 1)", "(None, 'c', 1)"])
+
+
+def test_pixels_and_gradients():
+    grey = b"P5 4 2 255\n" + bytes(range(8))
+    image = vision.pixels(grey)
+    assert image.shape == (2, 4) and image[1, 3] == 7 / 255
+    assert vision.pixels(b"P6\n1 1\n255\n\xff\xff\xff")[0, 0] == pytest.approx(1)
+    with pytest.raises(ValueError):
+        vision.pixels(b"GIF89a")
+    assert np.allclose(vision.resize(image, 4, 2), image) and vision.resize(np.full((5, 7), 0.5), 3, 9).tolist() == np.full((9, 3), 0.5).tolist()
+    assert np.allclose(vision.resize(np.array([[0.0, 1.0]]), 4, 1), [[0, 0.25, 0.75, 1]])
+    ramp = np.tile(np.arange(32.0), (32, 1))
+    d = vision.gradients(ramp)
+    assert d.shape == (4, 128) and np.allclose(np.linalg.norm(d, axis=1), 1) and (d.reshape(-1, 8).max(0) > 0).sum() == 1
+    assert len(vision.gradients(np.zeros((64, 64)))) == 0 and len(vision.gradients(np.ones((3, 3)))) == 0
+
+
+def test_nearest_words_and_pairs(spark):
+    rng = np.random.default_rng(5)
+    x, book = rng.standard_normal((300, 6)), rng.standard_normal((40, 6))
+    book[7] = book[3]
+    assert vision.words_of(x, book).tolist() == ((x[:, None] - book) ** 2).sum(2).argmin(1).tolist()
+    v = rng.standard_normal((90, 8))
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)] + [(100, [0.0] * 8), (101, None)], "id long, v array<double>")
+    side, vision.SIDE = vision.SIDE, 20
+    try:
+        got = {(r.a, r.b): r.score for r in vision.all_pairs(rows, "id", "v", 0.3).collect()}
+    finally:
+        vision.SIDE = side
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    want = {(i, j): s[i, j] for i in range(90) for j in range(i + 1, 90) if s[i, j] >= 0.3}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
 def test_idf_facts(spark, tmp_path):
     df = spark.createDataFrame([(1, "apple banana"), (2, "apple orange"), (3, "banana")], "id int, t string")
     index = text.TextIndex.build(df, "id", "t")
     got = {r.term: r.x for r in index.df.select("term", text.idf(3, F.col("df")).alias("x")).collect()}
     assert got == pytest.approx({"apple": np.log10(1.5), "banana": np.log10(1.5), "orange": np.log10(3)})
-    index.write(str(tmp_path / "i"))
-    stored = text.TextIndex.read(spark, str(tmp_path / "i"), "id", 3)
+    stored = text.TextIndex.write(str(tmp_path / "i"), df, "id", "t")
+    assert text.TextIndex.read(spark, str(tmp_path / "i"), "id").n == 3 and not stored.query("unknown")
     assert [r.id for r in stored.top("orange banana", 3).collect()] == [r.id for r in index.top("orange banana", 3).collect()] == [2, 3, 1]
     assert text.info("c", index, "p").first().documents == 3
 

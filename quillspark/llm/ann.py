@@ -34,7 +34,7 @@ from .vectors import matrix, usable
 CODES = 16
 PAIR = 2
 #: Rows of a data shard and of a block of queries.
-SHARD, QUERIES = 16_384, 16_384
+SHARD, QUERIES = 16_384, 131_072
 #: Rounding of sums in single precision, as a share of the vectors' lengths.
 SLACK, ROUND, TINY = np.float32(1e-5), np.float32(1e-6), np.float32(1e-30)
 

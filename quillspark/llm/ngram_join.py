@@ -55,6 +55,8 @@ MASS, CHUNK, PART = 3_000_000, 400_000, 1_000_000
 POSTED, CROWD = 600_000, 4096
 #: Bits by which fragments are told apart in one shuffle; more of them take another, so that the pieces of a chunk stay large.
 LEVEL = 11
+#: Buckets of the table of sets, in bits; Spark takes no more than 100,000.
+BUCKETS = 16
 #: Pairs of min-hashes of a document.
 SKETCH = 5
 #: Bits of a hash, of its key in a fragment, and of the frequency class before it in a code, which has six bytes.
@@ -196,7 +198,7 @@ def _finer(rows: DataFrame, bits: int, width: int) -> DataFrame:
             if held.parts:
                 yield pieces()
 
-        rows = rows.repartition(1 << done, "part").sortWithinPartitions("part").mapInArrow(work, PIECES)
+        rows = rows.repartitionById(1 << done, F.col("part")).sortWithinPartitions("part").mapInArrow(work, PIECES)
         done = new
     return rows
 
@@ -279,9 +281,9 @@ def _alive_sets(rows: DataFrame, n: int, threshold: float) -> Table:
     """(doc_id, size, kept, grams) of the documents that share enough n-grams with others."""
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(30, max(0, math.ceil(math.log2(max(1, volume / 7 / MASS)))))
-    shared = _segments(rows, _of_texts(n), bits).repartition(1 << bits, "part").groupBy("part").applyInArrow(_shared(bits), PIECES)
-    alive = _finer(shared, bits, 6).repartition(1 << bits, "part").groupBy("part").applyInArrow(_alive(threshold), "doc_id long, size long, kept long, grams binary")
-    return Table(alive, 1 << bits, "doc_id")
+    shared = _segments(rows, _of_texts(n), bits).repartitionById(1 << bits, F.col("part")).groupBy("part").applyInArrow(_shared(bits), PIECES)
+    alive = _finer(shared, bits, 6).repartitionById(1 << bits, F.col("part")).groupBy("part").applyInArrow(_alive(threshold), "doc_id long, size long, kept long, grams binary")
+    return Table(alive, 1 << min(bits, BUCKETS), "doc_id")
 
 
 # Postings on their way: one row holds those of many documents in one fragment, side is the part of a crowded n-gram's postings in the tile (row, col).

@@ -1,8 +1,8 @@
 """Quality classification by co-training.
 
-Two views of a document get a classifier each: what its text looks like, and what
+Two views of a document get a classifier each: its text (how it looks, and its words), and what
 is known about the page (source, language, length). Both are additive
-logistic models over binned or hashed indicators. Over some rounds each labels the
+logistic models over binned or hashed indicators; the words of a text, hashed, count by their share of its different words. Over some rounds each labels the
 unlabelled documents that it is sure of and hands them to the other. Held-out
 labelled documents then calibrate each view and set how the two are combined, and
 every document is scored.
@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, blocks, keep, lists, whole, words
+from .common import WORD, blocks, keep, lists, ragged, whole, words
 
 STATS = 14
 BINS = 12
 META_SIZE = 4096
+#: Buckets of hashed words, and their weight as a whole beside the indicators.
+WORDS, SHARE = 4096, 3.0
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -88,26 +90,57 @@ def metadata(batch: pa.RecordBatch, first: int, last: int) -> np.ndarray:
     return np.array([known[r] if r in known else known.setdefault(r, _meta_code(*r)) for r in rows], np.int64).reshape(-1, 4)
 
 
+def vocabulary(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, offsets): the buckets of the different words of each document of a block."""
+    h, doc, *_ = words(data, offsets)
+    pairs = np.unique(doc * WORDS + (h >> np.uint64(64 - 12)).astype(np.int64))
+    return (pairs % WORDS).astype(np.uint16), np.searchsorted(pairs, np.arange(len(offsets)) * WORDS)
+
+
+#: What a view sees of some documents: indicators, a row for each, and buckets of words with their offsets.
+Sparse = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def take(x: Sparse, rows: np.ndarray) -> Sparse:
+    fixed, flat, at = x
+    count = np.diff(at)[rows]
+    return fixed[rows], flat[ragged(at[:-1][rows], count)], np.r_[0, np.cumsum(count)]
+
+
+def joined(a: Sparse, b: Sparse) -> Sparse:
+    return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.r_[a[2], b[2][1:] + a[2][-1]]
+
+
 class Additive:
-    """Logistic regression over indicators, full-batch with Adam and L2."""
+    """Logistic regression over indicators and words, full-batch with Adam and L2."""
 
     def __init__(self, size: int):
         self.w = np.zeros(size + 1)
-
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 200, l2: float = 1e-3) -> Additive:
-        m = v = np.zeros_like(self.w)
-        flat, total = x.ravel(), weight.sum()
+        self.words = np.zeros(WORDS)
+
+    def fit(self, x: Sparse, y: np.ndarray, weight: np.ndarray, steps: int = 200, l2: float = 1e-3) -> Additive:
+        fixed, flat, at = x
+        n, size = len(fixed), len(self.w)
+        all_w = np.r_[self.w, self.words]
+        m = v = np.zeros_like(all_w)
+        count, total = np.diff(at), weight.sum()
+        owner, part = np.repeat(np.arange(n), count), np.repeat(SHARE / np.maximum(count, 1), count)
         for t in range(1, steps + 1):
+            self.w, self.words = all_w[:size], all_w[size:]
             g = (1 / (1 + np.exp(-self.score(x))) - y) * weight / total
-            grad = np.bincount(flat, np.repeat(g, x.shape[1]), len(self.w))
-            grad[-1] = g.sum()
-            grad[:-1] += l2 * self.w[:-1] / x.shape[1]
+            grad = np.r_[np.bincount(fixed.ravel(), np.repeat(g, fixed.shape[1]), size), np.bincount(flat, g[owner] * part, WORDS)]
+            grad[size - 1] = g.sum()
+            grad += l2 / fixed.shape[1] * np.r_[all_w[: size - 1], 0, all_w[size:]]
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-            self.w = self.w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            all_w = all_w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        self.w, self.words = all_w[:size], all_w[size:]
         return self
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.w[x].sum(1) + self.w[-1], -30, 30)
+    def score(self, x: Sparse) -> np.ndarray:
+        fixed, flat, at = x
+        count = np.diff(at)
+        said = np.bincount(np.repeat(np.arange(len(count)), count), self.words[flat], len(count)) / np.maximum(count, 1) if len(flat) else 0
+        return np.clip(self.w[fixed].sum(1) + self.w[-1] + SHARE * said, -30, 30)
 
 
 def _logistic(z: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -122,11 +155,16 @@ def _logistic(z: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
     return w
 
 
-#: From (models, calibration) of both views: (view that is sure, class, statistics, metadata) of documents to be handed on.
-Pool = Callable[[list, list], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+def view(k: int, stats: np.ndarray, meta: np.ndarray, said: tuple[np.ndarray, np.ndarray], edges: np.ndarray) -> Sparse:
+    """What view 0 (text) or 1 (metadata) sees."""
+    return (bins(stats, edges), *said) if k == 0 else (meta, said[0][:0], np.zeros(len(meta) + 1, np.int64))
+
 
+#: From (models, calibration) of both views: (view that is sure, class, statistics, metadata, words) of documents to be handed on.
+Pool = Callable[[list, list], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]
 
-def cotrain(stats: np.ndarray, meta: np.ndarray, y: np.ndarray, edges: np.ndarray, pool: Pool, rounds: int = 4) -> dict:
+
+def cotrain(stats: np.ndarray, meta: np.ndarray, said: tuple[np.ndarray, np.ndarray], y: np.ndarray, edges: np.ndarray, pool: Pool, rounds: int = 4) -> dict:
     """Fit both views. y is 1 good, 0 bad; every third row is held out for calibration."""
     if not len(y) or len(np.unique(y)) < 2:
         return {}
@@ -134,24 +172,24 @@ def cotrain(stats: np.ndarray, meta: np.ndarray, y: np.ndarray, edges: np.ndarra
     held, seen = rows[::3], np.setdiff1d(rows, rows[::3])
     if len(np.unique(y[held])) < 2 or len(np.unique(y[seen])) < 2:
         held = seen = rows
-    views, sizes = [bins(stats, edges), meta], (STATS * BINS, META_SIZE)
-    own = [(x[seen], y[seen].astype(float), np.ones(len(seen))) for x in views]  # training rows of each view, targets, weights
+    views, sizes = [view(k, stats, meta, said, edges) for k in range(2)], (STATS * BINS, META_SIZE)
+    own = [(take(x, seen), y[seen].astype(float), np.ones(len(seen))) for x in views]  # training rows of each view, targets, weights
     models, calibration, handed = [None, None], [None, None], [0, 0]
     for r in range(rounds + 1):
         for k, x in enumerate(views):
             models[k] = Additive(sizes[k]).fit(*own[k])
-            calibration[k] = _logistic(models[k].score(x[held])[:, None], y[held])
+            calibration[k] = _logistic(models[k].score(take(x, held))[:, None], y[held])
         if r == rounds:
             break
-        sure, cls, s, m = pool(models, calibration)
+        sure, cls, s, m, w = pool(models, calibration)
         for k in range(2):
             mine = np.flatnonzero(sure == 1 - k)
             handed[k] += len(mine)
-            more = (bins(s[mine], edges), m[mine])[k]
-            own[k] = tuple(np.concatenate(x) for x in zip(own[k], (more, cls[mine].astype(float), np.full(len(mine), 0.5))))
+            x, target, weight = own[k]
+            own[k] = joined(x, take(view(k, s, m, w, edges), mine)), np.r_[target, cls[mine]], np.r_[weight, np.full(len(mine), 0.5)]
         if not len(sure):
             break
-    both = np.stack([a * m.score(x[held]) + b for (a, b), m, x in zip(calibration, models, views)], 1)
+    both = np.stack([a * m.score(take(x, held)) + b for (a, b), m, x in zip(calibration, models, views)], 1)
     return {"edges": edges, "models": models, "calibration": calibration, "combine": _logistic(both, y[held]), "handed": handed}
 
 
@@ -159,12 +197,14 @@ def bins(stats: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(edges[:, j], stats[:, j], "right") + j * BINS for j in range(stats.shape[1])], 1)
 
 
-def predict(model: dict, stats: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probability of good quality by text, by metadata, and combined."""
+def predict(model: dict, data: np.ndarray, offsets: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probability of good quality by text, by metadata, and combined, of the documents of a block."""
     if not model:
-        one = np.ones(len(stats))
+        one = np.ones(len(offsets) - 1)
         return one, one, one
-    z = np.stack([a * m.score(x) + b for (a, b), m, x in zip(model["calibration"], model["models"], (bins(stats, model["edges"]), meta))], 1)
+    stats = statistics(data, offsets).astype(np.float32).astype(float)  # as they are kept for the fit
+    said = vocabulary(data, offsets)
+    z = np.stack([a * m.score(view(k, stats, meta, said, model["edges"])) + b for k, ((a, b), m) in enumerate(zip(model["calibration"], model["models"]))], 1)
     total = z @ model["combine"][:-1] + model["combine"][-1]
     return tuple(1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in (z[:, 0], z[:, 1], total))
 
@@ -175,6 +215,11 @@ def _columns(docs: DataFrame) -> list:
     return [whole("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), *((F.col(c) if c in there else F.lit(None)).cast(k).alias(c) for c, k in kinds.items())]
 
 
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), "<u2"), np.r_[0, np.cumsum([len(r) // 2 for r in raw])].astype(np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, per_round: int = 400, sure: float = 0.97, seed: int = 11) -> dict:
     """Co-train on the labelled documents of docs and all others. sure: the certainty from which a document is handed on."""
     known = labels.select(whole("doc_id").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y is not null")
@@ -183,19 +228,20 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, per_roun
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in blocks(batch.column(1)):
-                s, m = statistics(data, offsets), metadata(batch, first, last)
-                n = np.arange(last - first + 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], lists(s.ravel(), n * STATS, pa.float32()), lists(m.ravel(), n * 4, pa.int32())], names=["id", "s", "m"])
+                s, m, (said, at) = statistics(data, offsets), metadata(batch, first, last), vocabulary(data, offsets)
+                n, raw, at = np.arange(last - first + 1), said.astype("<u2").tobytes(), (at * 2).tolist()
+                w = pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], lists(s.ravel(), n * STATS, pa.float32()), lists(m.ravel(), n * 4, pa.int32()), w], names=["id", "s", "m", "w"])
 
     # at most max_labelled ids are broadcast
     known = F.broadcast(keep(known))
-    all_rows = keep(docs.select(*_columns(docs)).mapInArrow(features, "id long, s array<float>, m array<int>"))
-    rows = all_rows.join(known, "id").groupBy("id").agg(F.max("y").alias("y"), F.min(F.struct("s", "m")).alias("x")).select("id", "y", "x.s", "x.m").toArrow().sort_by("id")
+    all_rows = keep(docs.select(*_columns(docs)).mapInArrow(features, "id long, s array<float>, m array<int>, w binary"))
+    rows = all_rows.join(known, "id").groupBy("id").agg(F.max("y").alias("y"), F.min(F.struct("s", "m", "w")).alias("x")).select("id", "y", "x.s", "x.m", "x.w").toArrow().sort_by("id")
     if not rows.num_rows:
         return {}
     cuts = [k / BINS for k in range(1, BINS)]
     edges = np.array(all_rows.agg(*(F.percentile_approx(F.col("s")[i], cuts, 10_000).alias(str(i)) for i in range(STATS))).first()).T.astype(float)
-    rest = all_rows.join(known, "id", "left_anti").select(F.xxhash64("id", "s", "m").alias("h"), "s", "m")
+    rest = all_rows.join(known, "id", "left_anti").select(F.xxhash64("id", "s", "m").alias("h"), "s", "m", "w")
     taken: list[list[int]] = [[], []]  # hashes of what each view has been handed
 
     def pool(models: list, calibration: list) -> tuple:
@@ -204,26 +250,29 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, per_roun
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 h, s, m = batch.column(0).to_numpy(), *(batch.column(i).flatten().to_numpy().reshape(len(batch), -1) for i in (1, 2))
-                for k, x in enumerate((bins(s.astype(float), edges), m.astype(np.int64))):
+                said = _unpacked(batch.column(3))
+                for k in range(2):
+                    x = view(k, s.astype(float), m.astype(np.int64), said, edges)
                     (a, b), fresh = calibration[k], ~np.isin(h, done[1 - k])
                     p = 1 / (1 + np.exp(-np.clip(a * models[k].score(x) + b, -30, 30)))
                     for cls, certainty in ((1, p), (0, 1 - p)):
                         at = np.flatnonzero(fresh & (certainty >= sure))
                         at = at[np.lexsort((h[at], -certainty[at]))][:per_round]
-                        take = pa.array(at)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), cls, np.int32)), pa.array(certainty[at]), *(batch.column(i).take(take) for i in range(3))], names=["view", "cls", "certainty", "h", "s", "m"])
+                        some = pa.array(at)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), cls, np.int32)), pa.array(certainty[at]), *(batch.column(i).take(some) for i in range(4))], names=["view", "cls", "certainty", "h", "s", "m", "w"])
 
         best = F.row_number().over(Window.partitionBy("view", "cls").orderBy(F.desc("certainty"), "h"))
-        got = rest.mapInArrow(work, "view int, cls int, certainty double, h long, s array<float>, m array<int>").dropDuplicates(["view", "cls", "h"])
+        got = rest.mapInArrow(work, "view int, cls int, certainty double, h long, s array<float>, m array<int>, w binary").dropDuplicates(["view", "cls", "h"])
         got = got.withColumn("best", best).where(F.col("best") <= per_round).toArrow().sort_by([("view", "ascending"), ("cls", "ascending"), ("best", "ascending")])
-        n, view, h = got.num_rows, got.column("view").to_numpy(), got.column("h").to_numpy()
+        n, which, h = got.num_rows, got.column("view").to_numpy(), got.column("h").to_numpy()
         for k in range(2):
-            taken[1 - k] += h[view == k].tolist()
-        return view, got.column("cls").to_numpy(), *(got.column(c).combine_chunks().flatten().to_numpy().reshape(n, k) for c, k in (("s", STATS), ("m", 4)))
+            taken[1 - k] += h[which == k].tolist()
+        s, m = (got.column(c).combine_chunks().flatten().to_numpy().reshape(n, k) for c, k in (("s", STATS), ("m", 4)))
+        return which, got.column("cls").to_numpy(), s.astype(float), m.astype(np.int64), _unpacked(got.column("w"))
 
     n = rows.num_rows
     flat = lambda c, k: rows.column(c).combine_chunks().flatten().to_numpy().reshape(n, k)
-    return cotrain(flat("s", STATS).astype(float), flat("m", 4).astype(np.int64), rows.column("y").to_numpy(), edges, pool)
+    return cotrain(flat("s", STATS).astype(float), flat("m", 4).astype(np.int64), _unpacked(rows.column("w")), rows.column("y").to_numpy(), edges, pool)
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
@@ -233,7 +282,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in blocks(batch.column(1)):
-                a, b, p = predict(held.value, statistics(data, offsets).astype(np.float32).astype(float), metadata(batch, first, last))
+                a, b, p = predict(held.value, data, offsets, metadata(batch, first, last))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], pa.array(a), pa.array(b), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "p_text", "p_meta", "quality", "keep"])
 
     return docs.select(*_columns(docs)).mapInArrow(work, "doc_id long, p_text double, p_meta double, quality double, keep int")
@@ -246,8 +295,8 @@ def good(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            view = pa.RecordBatch.from_arrays([batch.column(names.index(c)) if c in names else pa.nulls(len(batch)) for c in ("doc_id", "text", "source", "lang", "n_chars")], names=["a", "b", "c", "d", "e"])
-            ok = [predict(held.value, statistics(d, o).astype(np.float32).astype(float), metadata(view, i, j))[2] >= threshold for i, j, d, o in blocks(view.column(1))]
+            seen = pa.RecordBatch.from_arrays([batch.column(names.index(c)) if c in names else pa.nulls(len(batch)) for c in ("doc_id", "text", "source", "lang", "n_chars")], names=["a", "b", "c", "d", "e"])
+            ok = [predict(held.value, d, o, metadata(seen, i, j))[2] >= threshold for i, j, d, o in blocks(seen.column(1))]
             yield batch.filter(pa.array(np.concatenate(ok))) if ok else batch
 
     return docs.mapInArrow(work, docs.schema)

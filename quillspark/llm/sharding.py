@@ -1,6 +1,6 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has a fixed number of slots for its virtual nodes (at least sixteen for each); each shard owns several virtual nodes. Keys are
+The ring has a fixed number of slots for its virtual nodes (at least eight for each); each shard owns several virtual nodes. Keys are
 placed in ring order (slot, hash, key): a key goes to the first shard clockwise
 from its slot that is not full, a shard being full at
 ceil((1 + slack) * keys / shards). Which shard takes how many keys of a slot
@@ -32,7 +32,7 @@ SLOT_BITS, DEALT = 16, 10_000
 
 
 def slot_bits(shards: int, vnodes: int) -> int:
-    return max(SLOT_BITS, math.ceil(math.log2(shards * vnodes)) + 4)
+    return max(SLOT_BITS, math.ceil(math.log2(shards * vnodes)) + 3)
 
 
 def ring(shards: int, vnodes: int) -> np.ndarray:

@@ -33,14 +33,14 @@ def test_sql(spark, name):
 
 
 @functools.lru_cache(maxsize=None)
-def feature(raw: bytes, salt: int | None) -> int:
+def feature(raw: bytes, salt: int | None, bits: int = toxicity.BITS) -> int:
     a = LOWER[np.frombuffer(raw, np.uint8)]
     h = int(span_hashes(a, np.array([0]), np.array([len(a)]))[0])
     if salt is not None:
         from quillspark.llm.common import mix
 
         h = int(mix(np.array([(h + salt) % 2**64], np.uint64))[0])
-    return h >> (64 - toxicity.BITS)
+    return h >> (64 - bits)
 
 
 def naive_toxicity(text: str, theta: np.ndarray, bias: float) -> tuple[float, list[int]]:
@@ -96,7 +96,11 @@ def test_op1(spark, docs):
         z = []
         for k, x in enumerate(([sum(e <= v for e in model["edges"][:, j]) + j * quality.BINS for j, v in enumerate(s)], quality._meta_code(*about[i]))):
             (a, b), w = model["calibration"][k], model["models"][k].w
-            z.append(a * np.clip(sum(w[c] for c in x) + w[-1], -30, 30) + b)
+            total = sum(w[c] for c in x) + w[-1]
+            if k == 0:
+                said = {feature(m[0], None, 12) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())}
+                total += quality.SHARE * sum(model["models"][0].words[c] for c in said) / max(1, len(said))
+            z.append(a * np.clip(total, -30, 30) + b)
         p = 1 / (1 + np.exp(-np.clip(z[0] * model["combine"][0] + z[1] * model["combine"][1] + model["combine"][2], -30, 30)))
         assert abs(got[i].quality - p) < 1e-6 and got[i].keep == int(got[i].quality >= 0.5)
     right = [got[r.doc_id].keep == r.quality for r in tables[1].collect() if r.doc_id in got]

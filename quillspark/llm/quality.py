@@ -212,7 +212,7 @@ def predict(model: dict, data: np.ndarray, offsets: np.ndarray, meta: np.ndarray
 def _columns(docs: DataFrame) -> list:
     there = set(docs.columns)
     kinds = {"source": "string", "lang": "string", "n_chars": "long"}
-    return [whole("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), *((F.col(c) if c in there else F.lit(None)).cast(k).alias(c) for c, k in kinds.items())]
+    return [whole("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), *((F.col(c) if c in there else F.lit(None)).try_cast(k).alias(c) for c, k in kinds.items())]
 
 
 def _unpacked(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +222,7 @@ def _unpacked(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, per_round: int = 400, sure: float = 0.97, seed: int = 11) -> dict:
     """Co-train on the labelled documents of docs and all others. sure: the certainty from which a document is handed on."""
-    known = labels.select(whole("doc_id").alias("id"), F.col("quality").cast("int").alias("y")).where("id is not null and y is not null")
+    known = labels.select(whole("doc_id").alias("id"), F.col("quality").try_cast("int").alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_labelled)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,12 +291,14 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
 def good(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """The documents kept, with all their columns; no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    n, longest, text = len(docs.columns), max(map(len, docs.columns)), docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = pa.RecordBatch.from_arrays([batch.column(names.index(c)) if c in names else pa.nulls(len(batch)) for c in ("doc_id", "text", "source", "lang", "n_chars")], names=["a", "b", "c", "d", "e"])
+            seen = pa.RecordBatch.from_arrays([pa.nulls(len(batch)), batch.column(text), *batch.columns[n:]], names=["a", "b", "c", "d", "e"])
             ok = [predict(held.value, d, o, metadata(seen, i, j))[2] >= threshold for i, j, d, o in blocks(seen.column(1))]
-            yield batch.filter(pa.array(np.concatenate(ok))) if ok else batch
+            out = batch.select(list(range(n)))
+            yield out.filter(pa.array(np.concatenate(ok))) if ok else out
 
-    return docs.mapInArrow(work, docs.schema)
+    about = [c.alias(f"seen{'_' * longest}{i}") for i, c in enumerate(_columns(docs)[2:])]  # no column's names
+    return docs.select("*", *about).mapInArrow(work, docs.schema)

@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 12000, seed: int
     occurrences of telling ones reach the driver.
     """
     theta = np.zeros(1 << BITS)
-    known = labels.select(whole("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).where("id is not null and y is not null")
+    known = labels.select(whole("doc_id").alias("id"), F.col("toxic").try_cast("int").alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_train)
     # at most max_train ids are broadcast
     chosen = docs.select(whole("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "id")

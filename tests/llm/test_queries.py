@@ -196,3 +196,18 @@ def test_stages_keep_the_columns(spark, odd, none):
         out.collect()
         assert stage(spark, none, DIR).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, none, DIR).count() == 0
+
+
+def test_ids_that_are_no_numbers_count_as_null(spark):
+    from quillspark.llm import ann, vector_dedup
+
+    docs = spark.createDataFrame([("x", "a text. with words", "high"), ("7", "other words here", "3"), (None, None, None)], "doc_id string, text string, n_chars string")
+    labels = spark.createDataFrame([("7", "1", "no"), ("x", "good", "0"), ("8", None, None)], "doc_id string, quality string, toxic string")
+    want = sorted([None, 7, None], key=repr)
+    assert sorted((r.doc_id for r in quality.score(docs, quality.train(docs, labels)).collect()), key=repr) == want
+    assert sorted((r.doc_id for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()), key=repr) == want
+    assert quality.good(docs, {}).count() == toxicity.clean(docs, toxicity.train(docs, labels)).count() == 3
+    assert [(r.doc_id, r.rule) for r in secrets.scan(docs, {"words": "words", "x": "with"}).orderBy("rule").collect()].count((7, "words")) == 1
+    vectors = spark.createDataFrame([("x", [1.0, 0.0]), ("50", [1.0, 0.1]), ("3", [1.0, 0.0])], "vec_id string, embedding array<double>")
+    assert sorted(map(tuple, vector_dedup.near_classes(vectors).collect())) == [(3, 3, 1), (50, 3, 1)]
+    assert [tuple(r)[:3] for r in ann.neighbours(vectors).collect()] == [(50, 1, 3)]

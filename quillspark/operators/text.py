@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +106,11 @@ class TextIndex:
             n = spark.read.option("recursiveFileLookup", True).parquet(f"{path}/keys").count()
         return cls(key, n, spark.read.parquet(f"{path}/df"), spark.read.parquet(f"{path}/weights"), analyzer)
 
+    def without(self, term: str) -> TextIndex:
+        """The index without a term's postings and df; documents keep the norms they had."""
+        other = F.col("term") != F.lit(term)
+        return replace(self, df=self.df.where(other), weighted=self.weighted.where(other))
+
     def query(self, text: str) -> list[tuple[str, float]]:
         """(term, weight) of the query's terms that the collection has; no more than the query has, so they come to the driver."""
         asked = self.analyzer.bag(self.df.sparkSession.createDataFrame([(0, text)], "q int, text string"), "q", "text").select("term", "tf").collect()

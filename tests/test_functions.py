@@ -100,6 +100,8 @@ def test_idf_facts(spark, tmp_path):
     assert got == pytest.approx({"apple": np.log10(1.5), "banana": np.log10(1.5), "orange": np.log10(3)})
     stored = text.TextIndex.write(str(tmp_path / "i"), df, "id", "t")
     assert text.TextIndex.read(spark, str(tmp_path / "i"), "id").n == 3 and not stored.query("unknown")
+    less = stored.without("banana")
+    assert {r.term for r in less.df.collect()} == {"apple", "orange"} and less.top("banana", 3).count() == 0 and [r.id for r in less.top("apple banana", 3).collect()] == [1, 2]
     assert [r.id for r in stored.top("orange banana", 3).collect()] == [r.id for r in index.top("orange banana", 3).collect()] == [2, 3, 1]
     assert text.info("c", index, "p").first().documents == 3
 

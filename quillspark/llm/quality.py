@@ -44,8 +44,8 @@ META_SIZE = 4096
 WORDS, SHARE = 4096, 3.0
 
 
-def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """STATS content statistics of each document of a block, one row each."""
+def content(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(STATS content statistics of each document of a block, one row each; the buckets of its different words, with their offsets)."""
     n = len(offsets) - 1
     size = np.maximum(np.diff(offsets), 1)
 
@@ -71,11 +71,19 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     mean_length = np.bincount(doc, length, n) / some
     spread = np.sqrt(np.maximum(np.bincount(doc, length**2, n) / some - mean_length**2, 0))
     letters = np.maximum(per_doc(WORD[data]), 1)
-    return np.stack([
+    # the order is that of the hashes, so words of one bucket stand together
+    bucket, of = (h[order] >> np.uint64(64 - 12)).astype(np.uint16), doc[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(bucket.astype(np.int64)) != 0) | (np.diff(of) != 0)][: len(h)])
+    stats = np.stack([
         per_doc(symbol) / size, per_doc(run) / size, per_doc(upper) / letters, per_doc((data >= 48) & (data <= 57)) / size, per_doc(space) / size,
         mean_length, spread, np.bincount(doc[1:], same, n) / some if len(h) > 1 else np.zeros(n), twice / some,
         np.bincount(doc[order], fresh, n) / some / np.maximum(1, np.log2(some + 1)), per_doc(bar) / size, per_doc(data == 10) / some, per_doc(data == 33) / some, per_doc((data == 46) | (data == 44)) / some,
     ], 1)
+    return stats, (bucket[first], np.searchsorted(of[first], np.arange(n + 1)))
+
+
+def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return content(data, offsets)[0]
 
 
 def _meta_code(source: object, lang: object, n_chars: object) -> list[int]:
@@ -90,13 +98,6 @@ def metadata(batch: pa.RecordBatch, first: int, last: int) -> np.ndarray:
     return np.array([known[r] if r in known else known.setdefault(r, _meta_code(*r)) for r in rows], np.int64).reshape(-1, 4)
 
 
-def vocabulary(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, offsets): the buckets of the different words of each document of a block."""
-    h, doc, *_ = words(data, offsets)
-    pairs = np.unique(doc * WORDS + (h >> np.uint64(64 - 12)).astype(np.int64))
-    return (pairs % WORDS).astype(np.uint16), np.searchsorted(pairs, np.arange(len(offsets)) * WORDS)
-
-
 #: What a view sees of some documents: indicators, a row for each, and buckets of words with their offsets.
 Sparse = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -177,7 +178,8 @@ def cotrain(stats: np.ndarray, meta: np.ndarray, said: tuple[np.ndarray, np.ndar
     models, calibration, handed = [None, None], [None, None], [0, 0]
     for r in range(rounds + 1):
         for k, x in enumerate(views):
-            models[k] = Additive(sizes[k]).fit(*own[k])
+            # later rounds go on from the weights of the one before
+            models[k] = Additive(sizes[k]).fit(*own[k]) if r == 0 else models[k].fit(*own[k], steps=60)
             calibration[k] = _logistic(models[k].score(take(x, held))[:, None], y[held])
         if r == rounds:
             break
@@ -202,8 +204,8 @@ def predict(model: dict, data: np.ndarray, offsets: np.ndarray, meta: np.ndarray
     if not model:
         one = np.ones(len(offsets) - 1)
         return one, one, one
-    stats = statistics(data, offsets).astype(np.float32).astype(float)  # as they are kept for the fit
-    said = vocabulary(data, offsets)
+    stats, said = content(data, offsets)
+    stats = stats.astype(np.float32).astype(float)  # as they are kept for the fit
     z = np.stack([a * m.score(view(k, stats, meta, said, model["edges"])) + b for k, ((a, b), m) in enumerate(zip(model["calibration"], model["models"]))], 1)
     total = z @ model["combine"][:-1] + model["combine"][-1]
     return tuple(1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in (z[:, 0], z[:, 1], total))
@@ -228,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, per_roun
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in blocks(batch.column(1)):
-                s, m, (said, at) = statistics(data, offsets), metadata(batch, first, last), vocabulary(data, offsets)
+                (s, (said, at)), m = content(data, offsets), metadata(batch, first, last)
                 n, raw, at = np.arange(last - first + 1), said.astype("<u2").tobytes(), (at * 2).tolist()
                 w = pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:last], lists(s.ravel(), n * STATS, pa.float32()), lists(m.ravel(), n * 4, pa.int32()), w], names=["id", "s", "m", "w"])

@@ -20,7 +20,6 @@ ignored, whatever their names; an empty table, or one without a query, gives an
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np

@@ -9,7 +9,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 import numpy as np
-
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F

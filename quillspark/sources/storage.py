@@ -6,12 +6,12 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Invalid
-from ..functions.types import SqlType, from_text, strict
+from ..functions.types import SqlType, strict
 from .catalog import Catalog, Table
 
 RID = "_rid"

@@ -389,7 +389,7 @@ class Engine:
                 best = vision.nearest_to(words, "name", vision.histogram(self._described(e.file), self._codebook(t.name, e.column), "path"), e.k)
             else:
                 best = vision.nearest(vision.tf_idf(words, "name"), "name", e.file, e.k)
-            return self.storage.scan(t).join(best, F.col(e.column) == F.col("name")).select(RID, (-F.col("score")).alias("_by"))
+            return self.storage.scan(t).join(best, F.col(e.column) == F.col("name")).select(RID, (-F.round("score", 12)).alias("_by"))
         index = t.index_on(e.column)
         if index is not None and index.kind == "spimi":
             if not self._mark(index).startswith(f"{t.snapshot}.{len(t.parts)}.{t.dead}."):  # rows came or went since
@@ -400,7 +400,11 @@ class Engine:
             held = TextIndex.read(self.spark, index.layout, RID, int(self._mark(index).split(".")[3]), self._analyzer(index))
         else:
             held = TextIndex.build(self.storage.scan(t), RID, e.column)
-        return held.top(e.text, e.k).select(RID, (-F.col("score")).alias("_by"))
+        # scores that differ only by rounding are tied; ties go by the table's key, here at the cut and later in the order
+        scored = held.scores(e.text).select(RID, (-F.round("score", 12)).alias("_by"))
+        if t.name not in self.catalog.attached:  # there the row id is the key
+            scored = scored.join(self.storage.scan(t).select(RID, F.col(t.key).alias("_key")), RID)
+        return scored.orderBy("_by", *scored.columns[2:], RID).limit(e.k).select(RID, "_by")
 
     # -- helpers
 

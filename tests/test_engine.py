@@ -140,6 +140,16 @@ def test_text_index_reads_only_new_rows_as_text(engine, spark):
     assert e.dump("logs", "body").count() == held.df.count()
 
 
+def test_text_ties_go_by_key(engine, spark):
+    """Rows of equal score that were appended against the order of their keys."""
+    engine.sql("create table twins (id int primary key, body text);")
+    for ids_ in ((9, 7), (8, 3), (5, 2)):
+        engine.append("twins", spark.createDataFrame([(i, "grey wolf") for i in ids_], "id int, body string").coalesce(1))
+    engine.append("twins", spark.createDataFrame([(1, "blue sky"), (4, "grey sky blue")], "id int, body string"))
+    ask = lambda k: [r.id for r in engine.sql(f'select id from twins where body @@ "wolf" top {k};').collect()]
+    assert ask(3) == [2, 3, 5] and ask(9) == [2, 3, 5, 7, 8, 9]
+
+
 def test_analyzers(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -37,17 +37,26 @@ def words_of(text: str) -> list[str]:
     return np.where(_letters()[points], points, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split(" ")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, term, tf) of batches (key, text), row by row."""
+def _bag(text: str | None) -> dict[str, int]:
+    bag = Counter(words_of(text)) if text else Counter()
+    bag.pop("", None)
+    return bag
+
+
+def _counted(batches: Iterator[pa.RecordBatch], count: Callable[[str | None], dict[str, int]] = _bag, whole: bool = False) -> Iterator[pa.RecordBatch]:
+    """(key, term, tf) of batches (key, text), row by row; whole: (key, terms, tfs), a row for each text."""
     for batch in batches:
         names, held, rows, counts, found = batch.schema.names, 0, [], [], []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(rows, counts), pa.int64())), pa.array([t for f in found for t in f], pa.string()), pa.array([n for f in found for n in f.values()], pa.int64())], names=[names[0], "term", "tf"])
+            terms, tfs = pa.array([t for f in found for t in f], pa.string()), pa.array([n for f in found for n in f.values()], pa.int64())
+            if whole:
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, tfs)], names=[names[0], "terms", "tfs"])
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(rows, counts), pa.int64())), terms, tfs], names=[names[0], "term", "tf"])
 
         for i, text in enumerate(batch.column(1).to_pylist()):
-            bag = Counter(words_of(text)) if text else Counter()
-            bag.pop("", None)
+            bag = count(text)
             rows.append(i)
             counts.append(len(bag))
             found.append(bag)
@@ -99,3 +108,19 @@ def bag_of_words(rows: DataFrame, key: str, text: str, language: str | None = No
     forms = forms.withColumn("lemma", lemma(F.col("term")) if lemma else F.col("term"))
     both = counted.join(forms, "term").select(key, F.explode(F.array("lemma", "stem")).alias("term"), "tf")
     return both.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+
+
+def repeats(rows: DataFrame, key: str) -> bool:
+    """Whether two rows have the same key; reads the keys only."""
+    return not rows.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def bags_by_row(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terms, tfs): the plain bag of words of each row, as two arrays; keys must not repeat."""
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.col(text).cast("string").alias("text")).mapInArrow(lambda batches: _counted(batches, whole=True), f"`{key}` {kind}, terms array<string>, tfs array<long>")
+
+
+def gathered(bag: DataFrame, key: str) -> DataFrame:
+    """(key, terms, tfs) of (key, term, tf)."""
+    return bag.groupBy(key).agg(F.collect_list(F.struct("term", F.col("tf").cast("long").alias("tf"))).alias("b")).select(key, F.col("b.term").alias("terms"), F.col("b.tf").alias("tfs"))

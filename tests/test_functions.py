@@ -106,6 +106,22 @@ def test_idf_facts(spark, tmp_path):
     assert text.info("c", index, "p").first().documents == 3
 
 
+@pytest.mark.parametrize("frequent", [0, 2, 1000])
+def test_stored_weights_do_not_depend_on_what_is_broadcast(spark, tmp_path, monkeypatch, frequent):
+    monkeypatch.setattr(text, "FREQUENT", frequent, raising=False)
+    monkeypatch.setattr(text, "_RUN", 4, raising=False)
+    rows = spark.createDataFrame([(1, "a b c a"), (2, "a b"), (3, "c d d e f g"), (4, None), (5, " 7 "), (None, "b h"), (6, "d e")], "id int, t string")
+    stored, built = text.TextIndex.write(str(tmp_path / "i"), rows, "id", "t"), text.TextIndex.build(rows.where("id is not null"), "id", "t")
+    assert stored.n == 7 and stored.df.where("term = 'b'").first().df == 3
+    assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "i" / "bag")).count() == 7  # a row for each document
+    some = text.TextIndex.write(str(tmp_path / "j"), rows.where("id is not null"), "id", "t")
+    got, want = ({(r.id, r.term): (r.w, r.norm) for r in i.weighted.collect()} for i in (some, built))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    twice = spark.createDataFrame([(1, "a b"), (1, "a"), (2, "c")], "id int, t string")
+    index = text.TextIndex.write(str(tmp_path / "k"), twice, "id", "t")
+    assert sorted((r.id, r.term, round(r.w, 9)) for r in index.weighted.collect()) == sorted((i, t, round(float(np.log10(1 + tf) * np.log10(3)), 9)) for i, t, tf in ((1, "a", 2), (1, "b", 1), (2, "c", 1)))
+
+
 def test_csv_and_images(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("id,name\n1,año\n2,\"x, y\"\n1,última\n".encode("latin-1"))
     rows = read_csv(spark, str(tmp_path / "a.csv"), {"id": SqlType("int"), "name": SqlType("varchar", 20)}, encoding="ISO-8859-1")

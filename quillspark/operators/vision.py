@@ -18,8 +18,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of a side of the blocks in which all pairs are compared.
-SIDE = 2048
+#: Vectors of a side of the blocks in which all pairs are compared, at most; a block is compared with a strip of the other at a time.
+SIDE, STRIP = 16384, 1024
+#: Blocks of a table that would fit into fewer, so that all cores have work.
+_LEAST_BLOCKS = 8
 
 
 def pixels(raw: bytes) -> np.ndarray:
@@ -180,27 +182,38 @@ def nearest_vectors(rows: DataFrame, key: str, vector: str, query: object, k: in
 def all_pairs(rows: DataFrame, key: str, vector: str, least: float = -1.0) -> DataFrame:
     """(a, b, score) of all pairs a < b of cosine at least ``least``; every pair is looked at, blocks of vectors at a time. Vectors without length, and nulls, have no pairs."""
     kind = rows.schema[key].dataType.simpleString()
-    rows = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null and exists(v, x -> x <> 0)")
-    parts = max(1, -(-rows.count() // SIDE))
+    rows = rows.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("key is not null and v is not null and exists(v, x -> x <> 0)")
+    n = rows.count()
+    parts = max(1, -(-n // SIDE), min(_LEAST_BLOCKS, n // STRIP))
     block = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
     # each vector meets every block once, in one order
     tile = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(F.least(i, block).alias("row"), F.greatest(i, block).alias("col")))
     placed = rows.withColumn("block", block).withColumn("tile", F.explode(tile)).select("key", "v", "block", "tile.row", "tile.col")
 
-    def work(table: pa.Table) -> pa.Table:
-        keys, row, col = table.column("key").combine_chunks(), table.column("row")[0].as_py(), table.column("col")[0].as_py()
-        x = np.array(table.column("v").to_pylist(), float)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        keys, row, col, v = table.column("key").combine_chunks(), table.column("row")[0].as_py(), table.column("col")[0].as_py(), table.column("v").combine_chunks()
+        if pa.compute.count_distinct(pa.compute.list_value_length(v)).as_py() > 1:
+            raise ValueError("vectors of different lengths")
+        x = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         block = table.column("block").to_numpy()
         left, right = np.flatnonzero(block == row), np.flatnonzero(block == col)
-        score = x[left] @ x[right].T
-        i, j = np.nonzero(score >= least)
-        a, b = keys.take(pa.array(left[i])), keys.take(pa.array(right[j]))
-        # within a block each pair comes both ways
-        low, high = a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)
-        fine = low < high if row == col else low != high
-        swap = pa.array(low > high)
-        out = pa.table({"a": pa.compute.if_else(swap, b, a), "b": pa.compute.if_else(swap, a, b), "score": pa.array(score[i, j])})
-        return out.filter(pa.array(fine))
+        # single precision leaves out what is surely too far; the rest is scored in double
+        rough = x.astype(np.float32)
+        other = np.ascontiguousarray(rough[right].T)
+        for start in range(0, len(left), STRIP):
+            some = left[start : start + STRIP]
+            i, j = np.divmod(np.flatnonzero(rough[some] @ other >= np.float32(least - 1e-4)), max(1, len(right)))
+            for cut in range(0, len(i), 1 << 16):
+                m, n = some[i[cut : cut + (1 << 16)]], right[j[cut : cut + (1 << 16)]]
+                score = np.einsum("ij,ij->i", x[m], x[n])
+                a, b = keys.take(pa.array(m)), keys.take(pa.array(n))
+                # within a block each pair comes both ways
+                low, high = a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)
+                fine = (low < high if row == col else low != high) & (score >= least)
+                swap = pa.array(low > high)
+                out = pa.RecordBatch.from_arrays([pa.compute.if_else(swap, b, a), pa.compute.if_else(swap, a, b), pa.array(score)], names=["a", "b", "score"])
+                yield out.filter(pa.array(fine))
 
     return placed.groupBy("row", "col").applyInArrow(work, f"a {kind}, b {kind}, score double")

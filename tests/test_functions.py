@@ -93,6 +93,18 @@ def test_nearest_words_and_pairs(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_blocks_of_pairs_are_few(spark, monkeypatch):
+    """A vector is sent once for each block: with n vectors the blocks grow as n / SIDE, and a block is compared in strips."""
+    monkeypatch.setattr(vision, "STRIP", 7)
+    v = np.random.default_rng(6).standard_normal((3000, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id long, v array<float>")
+    got = {(r.a, r.b): r.score for r in vision.all_pairs(rows, "id", "v", 0.999).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(s >= 0.999, 1)))}
+    assert got.keys() == want and want and all(abs(got[k] - s[k]) < 1e-9 for k in got)
+
+
 def test_idf_facts(spark, tmp_path):
     df = spark.createDataFrame([(1, "apple banana"), (2, "apple orange"), (3, "banana")], "id int, t string")
     index = text.TextIndex.build(df, "id", "t")

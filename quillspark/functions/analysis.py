@@ -89,15 +89,36 @@ def stem(c: Column, language: str) -> Column:
     return work(c)
 
 
-def bag_of_words(rows: DataFrame, key: str, text: str, language: str | None = None, lemma: Callable[[Column], Column] | None = None, stop: Sequence[str] | None = None, unique: bool = False) -> DataFrame:
+def _counter(language: str, stop: Sequence[str]) -> Callable[[str | None], dict[str, int]]:
+    """The bag of a text in which every token that is no stop word counts as itself and as its stem."""
+    one, left_out = STEMMERS[language], frozenset(stop)
+
+    def count(text: str | None) -> dict[str, int]:
+        plain = _bag(text)
+        out = {t: n for t, n in plain.items() if t not in left_out}
+        for t, n in list(out.items()):
+            s = one(t)
+            out[s] = out.get(s, 0) + n
+        return out
+
+    return count
+
+
+def bag_of_words(rows: DataFrame, key: str, text: str, language: str | None = None, lemma: Callable[[Column], Column] | None = None, stop: Sequence[str] | None = None, unique: bool | None = False) -> DataFrame:
     """(key, term, tf).
 
     Without a language: plain terms. With one: stop words (those of the language, or the ones given) are left out and every
     token counts twice, as its lemma (itself, unless a lemma function is given) and as its stem.
-    Stems are made once per distinct term, not once per token. unique: no two rows have the same key, so that the terms of a row, counted
-    where it is read, need no shuffle.
+    Stems are made where a text is read, once per distinct term of it at most; with a lemma function once per distinct term of all. unique: no two
+    rows have the same key, so that the terms of a row, counted where it is read, need no shuffle; None finds that out.
     """
     kind = rows.schema[key].dataType.simpleString()
+    if unique is None:
+        unique = not repeats(rows, key)
+    if language is not None and lemma is None:
+        count = _counter(language, stop_words(language) if stop is None else stop)
+        both = rows.select(key, F.col(text).cast("string").alias("text")).mapInArrow(lambda batches: _counted(batches, count), f"`{key}` {kind}, term string, tf long")
+        return both if unique else both.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
     counted = rows.select(key, F.col(text).cast("string").alias("text")).mapInArrow(_counted, f"`{key}` {kind}, term string, tf long")
     if not unique:
         counted = counted.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
@@ -105,7 +126,7 @@ def bag_of_words(rows: DataFrame, key: str, text: str, language: str | None = No
         return counted if stop is None else counted.where(~F.col("term").isin(list(stop)))
     counted = counted.where(~F.col("term").isin(stop_words(language) if stop is None else list(stop)))
     forms = counted.select("term").distinct().withColumn("stem", stem(F.col("term"), language))
-    forms = forms.withColumn("lemma", lemma(F.col("term")) if lemma else F.col("term"))
+    forms = forms.withColumn("lemma", lemma(F.col("term")))
     both = counted.join(forms, "term").select(key, F.explode(F.array("lemma", "stem")).alias("term"), "tf")
     return both.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 

@@ -319,7 +319,7 @@ def text_remove_term(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def text_bow_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    return bag_of_words(read(spark, d, "documents"), "doc_id", "text", "english")
+    return bag_of_words(read(spark, d, "documents"), "doc_id", "text", "english", unique=None)
 
 
 # -- vectors and visual words

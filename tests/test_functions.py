@@ -50,6 +50,17 @@ def test_bag_counts_lemma_and_stem(spark):
     assert stemmed == {(1, "runners"): 1, (1, "runner"): 1, (1, "running"): 1, (1, "run"): 3}
 
 
+def test_stemmed_bag_reads_texts_once(spark):
+    df = spark.createDataFrame([(1, "The runners running, RUN!"), (2, "runs ran"), (None, "boats"), (3, None)], "id int, t string")
+    bag = lambda rows, **k: bag_of_words(rows, "id", "t", "english", **k)
+    found = bag(df)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = lambda b: sorted(map(repr, map(tuple, b.collect())))
+    assert rows(found) == rows(bag(df, unique=None)) == rows(bag(df, lemma=lambda c: c))
+    twice = df.union(df)
+    assert rows(bag(twice, unique=None)) == rows(bag(twice)) == rows(bag(twice, lemma=lambda c: c)) != rows(found)
+
+
 def test_words_of_a_text_are_those_of_the_expression(spark):
     from quillspark.functions.analysis import terms, words_of
 
